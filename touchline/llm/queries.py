@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, mixing
-from touchline.llm.shared import documents
+from touchline.llm import exact_dedup, langid, mixing, quality, secret_scan
+from touchline.llm.shared import documents, table
+
+
+def _remainder(divisor: int):
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +20,32 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.fit_profiles(docs.filter(_remainder(4) != 2))
+    held_out = (F.coalesce(_remainder(4), F.lit(0)) == 2).alias("held_out")
+    return langid.predict(docs, profiles).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"), _remainder(3) != 1)
+    return scored.select("doc_id", (F.coalesce(_remainder(3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_spans(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
