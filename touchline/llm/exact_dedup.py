@@ -2,8 +2,9 @@
 
 Texts are normalised (every byte of ``[\\x20\\x09-\\x0D]`` removed) and range-partitioned by
 content with Spark's sampled splitters; each partition is sorted externally, so equal texts
-stand next to each other and a full comparison with the neighbour ends a run.  A salt follows
-the text in the sort key: a text that a third of all rows hold is cut into ``salts`` runs over
+stand next to each other and a full comparison with the neighbour ends a run.  The splitters
+hold a short prefix and a hash of the text in place of all of it, so that the sample which the
+driver sees stays small, also for long texts.  A salt follows the text in the sort key: a text that a third of all rows hold is cut into ``salts`` runs over
 many partitions, and the runs of one text are united afterwards, one small row each, by length
 and SHA-256 of the normalised bytes.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from touchline.llm.shared import text_or_empty
 
+#: Code points of the text that a splitter holds.
+PREFIX = 32
 BLANKS = r"[\x20\x09-\x0D]"
 
 
@@ -31,10 +34,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("doc_id"),
         F.regexp_replace(text, BLANKS, "").alias("body"),
         F.length(text).alias("points"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).alias("salt"),
     )
-    run = Window.partitionBy("body", "salt").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
-    members = base.repartitionByRange("body", "salt").select(
+    base = base.select(
+        "*",
+        F.substring("body", 1, PREFIX).alias("prefix"),
+        F.xxhash64("body").alias("mark"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"),
+    )
+    run = Window.partitionBy("prefix", "mark", "body", "salt").orderBy(F.desc("points"), F.asc_nulls_last("doc_id"))
+    members = base.repartitionByRange("prefix", "mark", "salt").select(
         "doc_id",
         "points",
         F.row_number().over(run).alias("place"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, langid, minhash, mixing, quality, secret_scan, warc
+from touchline.llm import exact_dedup, langid, minhash, mixing, quality, secret_scan, substring_dedup, warc
 from touchline.llm.shared import documents, table
 
 
@@ -32,6 +32,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(_remainder(3), F.lit(0)) == 1).alias("held_out"), "score", "predicted")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = substring_dedup.mark_repeats(documents(spark, sf_dir))
+    return marked.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(documents(spark, sf_dir))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_warc": op9_warc,
