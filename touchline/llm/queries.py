@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import exact_dedup, langid, minhash, mixing, quality, secret_scan, substring_dedup, warc
+from touchline.llm import decontam, exact_dedup, langid, minhash, mixing, quality, secret_scan, substring_dedup, warc
 from touchline.llm.shared import documents, table
 
 
@@ -15,6 +15,10 @@ def _remainder(divisor: int):
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -55,6 +59,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
