@@ -226,6 +226,12 @@ def fit(train: DataFrame) -> QualityModel:
     return model
 
 
+def labelled(stats: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """(doc_id, stats, label) of every pair of a row of statistics and a label of its id."""
+    known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label")).filter("label is not null")
+    return stats.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "stats", "label")
+
+
 def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score of every row of (doc_id, stats)."""
 
@@ -237,6 +243,19 @@ def score(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, all columns; narrow, so no text is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(at)
+            scores = [model.score(statistics(text.slice(i, j - i))) for i, j in slices(text)]
+            yield batch.filter(pa.array(np.concatenate(scores) >= least)) if scores else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """doc_id, score, predicted of every row of ``docs``.
 
@@ -245,7 +264,5 @@ def classify(docs: DataFrame, labels: DataFrame, train_rows, id_col: str = "doc_
     and other columns of either table are ignored.
     """
     stats = stash(document_statistics(docs, id_col, text_col), "stats")
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col(label_col).cast("double").alias("label")).filter("label is not null")
-    train = stats.filter(train_rows).join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "stats", "label")
-    model = fit(train)
+    model = fit(labelled(stats.filter(train_rows), labels, label_col))
     return score(stats, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import decontam, exact_dedup, langid, minhash, mixing, quality, secret_scan, substring_dedup, warc
+from touchline.llm import decontam, exact_dedup, langid, minhash, mixing, quality, secret_scan, substring_dedup, token_files, warc
 from touchline.llm.shared import documents, table
 
 
@@ -19,6 +19,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+#: The vocabulary of the token files, and the id that ends a document.
+VOCABULARY, END_ID = "word_bpe_49k.json", 2
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_tokens(documents(spark, sf_dir), vocabulary(), END_ID)
+    return token_files.read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -60,6 +75,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_token_files": op2_token_files,
     "op3_source_mix": op3_source_mix,
     "op4_language_id": op4_language_id,
     "op5_quality": op5_quality,
