@@ -36,6 +36,7 @@ BATCH = 32
 MISS = 1e-5
 ROUNDS = 2
 BLOCK = 1024
+LISTED = 8
 
 _draw = np.random.default_rng(11)
 _LOW = _draw.integers(0, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -202,12 +203,12 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blockwise(mixed: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of different components within buckets, compared in blocks of about ``BLOCK`` by ``BLOCK``.
+def _placed(mixed: DataFrame) -> DataFrame:
+    """(key, lb, rb, side, rep, label): the members of buckets, dealt to block pairs.
 
-    ``mixed`` has (key, rep, label) of buckets with more than one component.  Members of a
-    bucket's largest component are not compared with each other, and each block pair is one
-    group, so a bucket of any size is spread over tasks of bounded size.
+    Left blocks (side 0) hold those outside the bucket's largest component, right blocks all, so
+    members of the largest are not compared with each other.  A block pair is one group of about
+    ``BLOCK`` by ``BLOCK`` rows; a bucket of any size is spread over groups of bounded size.
     """
     counts = mixed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     bucket = counts.groupBy(F.col("key").alias("bucket")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("major"))
@@ -218,25 +219,83 @@ def _blockwise(mixed: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     shape = ["key", "lb", "rb", "side", "rep", "label"]
     left = rows.filter("label <> major").withColumn("lb", own_left).withColumn("rb", F.explode(every_right)).withColumn("side", F.lit(0))
     right = rows.withColumn("rb", own_right).withColumn("lb", F.explode(every_left)).withColumn("side", F.lit(1))
-    placed = left.select(shape).union(right.select(shape))
-    placed = placed.join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).select(*shape, "sig")
+    return left.select(shape).union(right.select(shape))
+
+
+def _blockwise(placed: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, key, lb, rb) of pairs of different components that the signatures do not rule out.
+
+    A member with more than ``LISTED`` such partners in a block is not listed with them; it gets
+    one row with a null b, and ``_within`` compares it.
+    """
     bounds = least_matches(threshold, HASHES)
+    rows = placed.join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r")).select("key", "lb", "rb", "side", "rep", "label", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            side, rep, label = (group.column(i).to_numpy() for i in (3, 4, 5))
+            key, lb, rb, side, rep, label = (group.column(i).to_numpy() for i in range(6))
             sig = _matrix(group.column(6))
             right = np.flatnonzero(side == 1)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
+            found: list[tuple[int, int | None]] = []
             for x in np.flatnonzero(side == 0).tolist():
                 other = right[label[right] != label[x]]
                 near = other[similar_signatures(np.broadcast_to(sig[x], (len(other), HASHES)), sig[other], bounds)]
-                found.append((np.minimum(rep[near], rep[x]), np.maximum(rep[near], rep[x])))
+                mine = int(rep[x])
+                found += [(min(mine, y), max(mine, y)) for y in rep[near].tolist()] if len(near) <= LISTED else [(mine, None)]
             if found:
-                a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                a, b = zip(*found, strict=True)
+                at = [pa.array(np.full(len(a), c[0])) for c in (key, lb, rb)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *at], names=["a", "b", "key", "lb", "rb"])
+
+    ordered = rows.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb")
+    return ordered.mapInArrow(run, "a long, b long, key long, lb int, rb int")
+
 
-    return placed.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb").mapInArrow(run, "a long, b long").distinct()
+def _within(over: DataFrame, placed: DataFrame, reps: DataFrame, sets: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Links (u, v) of the members in ``over`` (a, key, lb, rb), verified inside their block pair.
+
+    The full sets come to the block, so its pairs never become rows.  Partners are tried from the
+    most alike downwards, and one that is connected by then is not compared.
+    """
+    part, whole = similar
+    bounds = least_matches(part / whole, HASHES)
+    group = ["key", "lb", "rb"]
+    left = placed.filter("side = 0").join(over.select(*group, F.col("a").alias("rep")), [*group, "rep"], "left_semi")
+    right = placed.filter("side = 1").join(over.select(group).distinct(), group, "left_semi")
+    rows = left.unionByName(right).join(reps.select(F.col("rep").alias("r"), "sig"), F.col("rep") == F.col("r"))
+    rows = rows.join(sets.select(F.col("id").alias("i"), "members"), F.col("rep") == F.col("i")).select(*group, "side", "rep", "label", "sig", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 3):
+            side, rep, label = (table.column(i).to_numpy() for i in (3, 4, 5))
+            sig, packed = _matrix(table.column(6)), table.column(7)
+            parent = {x: x for x in label.tolist()}
+
+            def root(x: int, parent=parent) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            right, links = np.flatnonzero(side == 1), []
+            for x in np.flatnonzero(side == 0).tolist():
+                near = right[similar_signatures(np.broadcast_to(sig[x], (len(right), HASHES)), sig[right], bounds)]
+                alike = (sig[near] == sig[x]).sum(axis=1)
+                own = np.frombuffer(packed[x].as_py(), dtype=np.uint64)
+                for y in near[np.argsort(-alike, kind="stable")].tolist():
+                    p, q = root(int(label[x])), root(int(label[y]))
+                    if p == q:
+                        continue
+                    other = np.frombuffer(packed[y].as_py(), dtype=np.uint64)
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if whole * both >= part * (len(own) + len(other) - both):
+                        parent[max(p, q)] = min(p, q)
+                        links.append((int(rep[x]), int(rep[y])))
+            if links:
+                u, v = zip(*links, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "u long, v long")
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -268,14 +327,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rank = F.xxhash64(F.lit(turn), "rep")
         hubs = labelled.groupBy(F.col("key").alias("bucket")).agg(F.min_by(F.struct("rep", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
         open_rows = labelled.join(hubs, F.col("key") == F.col("bucket"))
+        inside = None
         if turn < ROUNDS:
             pairs = open_rows.filter("label <> hub.label").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
             pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
             pairs = stash(_survivors(pairs, reps, threshold), "pairs")
             tested = pairs if tested is None else tested.union(pairs)
         else:
-            pairs = _blockwise(open_rows.select("key", "rep", "label"), reps, threshold).join(tested, ["a", "b"], "left_anti")
+            placed = stash(_placed(open_rows.select("key", "rep", "label")), "placed")
+            block = stash(_blockwise(placed, reps, threshold), "block")
+            pairs = block.filter("b is not null").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+            inside = _within(block.filter("b is null"), placed, reps, sets, similar)
         links = _verified(pairs, sets, similar)
+        links = links if inside is None else links.union(inside)
         node = labels.select("node", "label")
         edges = links.join(node, F.col("u") == F.col("node")).select(F.col("label").alias("lu"), "v").join(node, F.col("v") == F.col("node")).select(F.col("lu").alias("u"), F.col("label").alias("v"))
         merged = components(edges)

@@ -35,8 +35,26 @@ _LAST = (1 << 63) - 1
 
 
 def sketch_bits(octets: int) -> int:
-    """Enough cells for about one and a half times the words of so many bytes of text, within the bounds."""
-    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, octets / 6 * 1.5))))))
+    """Enough cells for about three times the words of so many bytes of text, within the bounds."""
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, octets / 6 * 3))))))
+
+
+def pack(bitmap: np.ndarray, codec: pa.Codec) -> bytes:
+    """A sparse bitmap as the gaps between its marks, a byte each with 255 as an escape, compressed."""
+    gaps = np.diff(np.flatnonzero(np.unpackbits(bitmap, bitorder="little")), prepend=-1) - 1
+    escapes = gaps // 255
+    out = np.full(len(gaps) + int(escapes.sum()), 255, dtype=np.uint8)
+    out[np.arange(len(gaps)) + np.cumsum(escapes)] = gaps % 255
+    return len(out).to_bytes(4, "little") + codec.compress(out.tobytes(), asbytes=True)
+
+
+def unpack(data: bytes, size: int) -> np.ndarray:
+    """The bitmap of ``size`` bytes that ``pack`` was given."""
+    coded = np.frombuffer(pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True), dtype=np.uint8)
+    marks = np.cumsum(np.where(coded == 255, 255, coded.astype(np.int64) + 1))[coded != 255] - 1
+    bits = np.zeros(size * 8, dtype=np.uint8)
+    bits[marks] = 1
+    return np.packbits(bits, bitorder="little")
 
 
 def _cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +107,7 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray
         for r in range(DEPTH):
             for b, (once, more) in enumerate(zip(np.split(sketch.once[r], blocks), np.split(sketch.more[r], blocks), strict=True)):
                 if once.any():
-                    packed = [pa.array([codec.compress(x.tobytes(), asbytes=True)], pa.binary()) for x in (once, more)]
+                    packed = [pa.array([pack(x, codec)], pa.binary()) for x in (once, more)]
                     yield pa.RecordBatch.from_arrays([pa.array([r * blocks + b], pa.int32()), *packed], names=["block", "once", "more"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +115,7 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray
         size = (1 << (bits - 3)) // blocks
         for batch in batches:
             for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                once, more = (np.frombuffer(pa.decompress(x, size, "zstd", asbytes=True), dtype=np.uint8) for x in packed)
+                once, more = (unpack(x, size) for x in packed)
                 if block in held:
                     had, twice = held[block]
                     held[block] = had | once, twice | more | (had & once)
