@@ -10,33 +10,47 @@ from pyspark.sql import functions as F
 MAX_GOALS = 10
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, also where the body repeats it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def poisson(mu: Column, most: int = MAX_GOALS) -> Column:
     """array<double>: P(k goals), k = 0..most, of a Poisson rate."""
     return F.array(*[F.exp(-mu) * F.pow(mu, F.lit(k)) / F.lit(float(math.factorial(k))) for k in range(most + 1)])
 
 
-def tau(h: int, a: int, mu_home: Column, mu_away: Column, rho: Column) -> Column:
-    """Low-score correction of one cell; 1 beyond the four lowest cells."""
-    factor = {
-        (0, 0): 1 - mu_home * mu_away * rho,
-        (0, 1): 1 + mu_home * rho,
-        (1, 0): 1 + mu_away * rho,
-        (1, 1): 1 - rho,
-    }.get((h, a))
-    return F.lit(1.0) if factor is None else F.greatest(factor, F.lit(1e-10))
+def corrected(h: Column, a: Column, mu_home: Column, mu_away: Column, rho: Column) -> Column:
+    """Low-score correction of a cell; 1 beyond the four lowest cells."""
+    least = F.lit(1e-10)
+    return (
+        F.when((h == 0) & (a == 0), F.greatest(1 - mu_home * mu_away * rho, least))
+        .when((h == 0) & (a == 1), F.greatest(1 + mu_home * rho, least))
+        .when((h == 1) & (a == 0), F.greatest(1 + mu_away * rho, least))
+        .when((h == 1) & (a == 1), F.greatest(1 - rho, least))
+        .otherwise(F.lit(1.0))
+    )
 
 
 def cells(mu_home: Column, mu_away: Column, rho: Column | float = 0.0, most: int = MAX_GOALS) -> Column:
     """array<array<double>> that sums to one: independent Poisson goals with the correction."""
     rho = rho if isinstance(rho, Column) else F.lit(float(rho))
-    home, away = poisson(mu_home, most), poisson(mu_away, most)
-    rows = [F.array(*[F.get(home, F.lit(h)) * F.get(away, F.lit(a)) * tau(h, a, mu_home, mu_away, rho) for a in range(most + 1)]) for h in range(most + 1)]
-    return normalised(F.array(*rows))
+
+    def grid(goals: Column) -> Column:
+        return F.transform(goals["home"], lambda p, h: F.transform(goals["away"], lambda q, a: p * q * corrected(h, a, goals["mh"], goals["ma"], goals["rho"])))
+
+    given = F.struct(poisson(mu_home, most).alias("home"), poisson(mu_away, most).alias("away"), mu_home.alias("mh"), mu_away.alias("ma"), rho.alias("rho"))
+    return normalised(let(given, grid))
 
 
 def normalised(grid: Column) -> Column:
-    total = F.aggregate(grid, F.lit(0.0), lambda s, row: s + F.aggregate(row, F.lit(0.0), lambda t, x: t + x))
-    return F.transform(grid, lambda row: F.transform(row, lambda x: x / total))
+    def total(rows: Column) -> Column:
+        return F.aggregate(rows, F.lit(0.0), lambda s, row: s + F.aggregate(row, F.lit(0.0), lambda t, x: t + x))
+
+    def scaled(known: Column) -> Column:
+        return F.transform(known["rows"], lambda row: F.transform(row, lambda x: x / known["total"]))
+
+    return let(grid, lambda rows: let(F.struct(rows.alias("rows"), total(rows).alias("total")), scaled))
 
 
 def flat(grid: Column) -> Column:

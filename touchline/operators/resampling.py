@@ -69,6 +69,7 @@ def simulate_season(fixtures: DataFrame, table: DataFrame, by: str, n_sims: int
         return pd.DataFrame(out)
 
     kind = f"{by} string, Team string, expected_points double, title double, top_four double, relegation double"
+    table = table.select(*[F.col(c).alias(c) for c in (by, "Team", "points", "gd")])  # new columns, also where both come from one table
     return fixtures.groupBy(by).cogroup(table.groupBy(by)).applyInPandas(run, kind)
 
 
