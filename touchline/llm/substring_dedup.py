@@ -1,7 +1,7 @@
 """Substring dedup: windows of words that occur earlier are cut out of every later text.
 
 1. Each partition counts the hashes of its windows in a count-min sketch whose counters stop at
-   two; the merged sketch has a fixed upper size and overestimates every count, so a window it
+   two, sent as its occupied cells only; the merged sketch has a fixed upper size and overestimates every count, so a window it
    puts below two occurs once.
 2. Only windows estimated to be repeated are grouped, exactly, by a 96-bit hash; the group's
    smallest (document, start) is its first occurrence.  Map-side aggregation leaves one row of a
@@ -30,6 +30,8 @@ DEPTH = 2
 LEAST_BITS, MOST_BITS = 16, 30
 BLOCK_BYTES = 1 << 18
 MERGERS = 16
+#: A task sends its part of the sketch after so many windows (8 bytes each).
+PART_WINDOWS = 8_000_000
 _BASES = (0x5851F42D4C957F2D, 0x27BB2EE687B0B0FD)
 _LAST = (1 << 63) - 1
 
@@ -39,9 +41,9 @@ def sketch_bits(octets: int) -> int:
     return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, octets / 6 * 3))))))
 
 
-def pack(bitmap: np.ndarray, codec: pa.Codec) -> bytes:
-    """A sparse bitmap as the gaps between its marks, a byte each with 255 as an escape, compressed."""
-    gaps = np.diff(np.flatnonzero(np.unpackbits(bitmap, bitorder="little")), prepend=-1) - 1
+def pack(marks: np.ndarray, codec: pa.Codec) -> bytes:
+    """The ascending places of a bitmap's marks as the gaps between them, a byte each with 255 as an escape, compressed."""
+    gaps = np.diff(marks, prepend=-1) - 1
     escapes = gaps // 255
     out = np.full(len(gaps) + int(escapes.sum()), 255, dtype=np.uint8)
     out[np.arange(len(gaps)) + np.cumsum(escapes)] = gaps % 255
@@ -49,7 +51,7 @@ def pack(bitmap: np.ndarray, codec: pa.Codec) -> bytes:
 
 
 def unpack(data: bytes, size: int) -> np.ndarray:
-    """The bitmap of ``size`` bytes that ``pack`` was given."""
+    """The bitmap of ``size`` bytes whose marks ``pack`` was given."""
     coded = np.frombuffer(pa.decompress(data[4:], int.from_bytes(data[:4], "little"), "zstd", asbytes=True), dtype=np.uint8)
     marks = np.cumsum(np.where(coded == 255, 255, coded.astype(np.int64) + 1))[coded != 255] - 1
     bits = np.zeros(size * 8, dtype=np.uint8)
@@ -61,28 +63,21 @@ def _cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & np.uint64((1 << bits) - 1), hashes >> np.uint64(64 - bits)
 
 
-class Sketch:
-    """Count-min rows as two bitmaps: counted at all, counted at least twice."""
+def sketch_part(hashes: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(block, cells counted, cells counted at least twice) of the sketch of some hashes.
 
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.once = np.zeros((DEPTH, 1 << (bits - 3)), dtype=np.uint8)
-        self.more = np.zeros_like(self.once)
-
-    def add(self, hashes: np.ndarray) -> None:
-        for r, cells in enumerate(_cells(hashes, self.bits)):
-            cells = np.sort(cells)
-            if not len(cells):
-                continue
-            start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-            many = np.diff(np.append(start, len(cells))) > 1
-            cells = cells[start]
-            byte, bit = (cells >> np.uint64(3)).astype(np.int64), np.left_shift(1, (cells & np.uint64(7)).astype(np.uint8)).astype(np.uint8)
-            at = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-            where, seen = byte[at], np.bitwise_or.reduceat(bit, at)
-            again = np.bitwise_or.reduceat(np.where(many, bit, 0).astype(np.uint8), at)
-            self.more[r, where] |= again | (self.once[r, where] & seen)
-            self.once[r, where] |= seen
+    Row r's blocks are numbered from r * blocks; cells are ascending places within their block.
+    Only cells that occur are held, so memory follows the hashes and not the sketch.
+    """
+    for r, cells in enumerate(_cells(hashes, bits)):
+        cells = np.sort(cells).astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+        many = np.diff(np.append(start, len(cells))) > 1
+        cells, size = cells[start], (1 << bits) // blocks
+        edges = np.searchsorted(cells, np.arange(blocks + 1) * size)
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            mine = cells[edges[b] : edges[b + 1]] - b * size
+            yield r * blocks + b, mine, mine[many[edges[b] : edges[b + 1]]]
 
 
 def repeated(hashes: np.ndarray, more: np.ndarray, bits: int) -> np.ndarray:
@@ -98,17 +93,24 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray
     blocks = max(1, (1 << (bits - 3)) // BLOCK_BYTES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, codec = Sketch(bits), pa.Codec("zstd", compression_level=1)
+        codec, held, size = pa.Codec("zstd", compression_level=1), [], 0
+
+        def part() -> pa.RecordBatch:
+            rows = [(b, pack(once, codec), pack(more, codec)) for b, once, more in sketch_part(np.concatenate(held), bits, blocks)]
+            numbers, once, more = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["block", "once", "more"])
+
         for batch in batches:
             for i, j in slices(batch.column(0)):
                 raw, offsets = text_bytes(batch.column(0).slice(i, j - i))
                 starts, ends, at = words(raw, offsets)
-                sketch.add(rolling(hash_words(raw, starts, ends), at, width, _BASES[0])[0])
-        for r in range(DEPTH):
-            for b, (once, more) in enumerate(zip(np.split(sketch.once[r], blocks), np.split(sketch.more[r], blocks), strict=True)):
-                if once.any():
-                    packed = [pa.array([pack(x, codec)], pa.binary()) for x in (once, more)]
-                    yield pa.RecordBatch.from_arrays([pa.array([r * blocks + b], pa.int32()), *packed], names=["block", "once", "more"])
+                held.append(rolling(hash_words(raw, starts, ends), at, width, _BASES[0])[0])
+                size += len(held[-1])
+                if size > PART_WINDOWS:
+                    yield part()
+                    held, size = [], 0
+        if size:
+            yield part()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
