@@ -14,6 +14,7 @@ A corpus far beyond the sketch's size is filtered less, and step 2 groups more;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -88,9 +89,13 @@ def repeated(hashes: np.ndarray, more: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray:
-    """The "at least twice" bitmaps over all windows of ``texts`` (one string column)."""
-    blocks = max(1, (1 << (bits - 3)) // BLOCK_BYTES)
+def _blocks(bits: int) -> int:
+    return max(1, (1 << (bits - 3)) // BLOCK_BYTES)
+
+
+def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> list[tuple[int, bytes]]:
+    """(block, packed) of the "at least twice" bitmaps over all windows of ``texts`` (one string column)."""
+    blocks = _blocks(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, held, size = pa.Codec("zstd", compression_level=1), [], 0
@@ -123,15 +128,29 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> np.ndarray
                     held[block] = had | once, twice | more | (had & once)
                 else:
                     held[block] = once, more
+        codec = pa.Codec("zstd", compression_level=1)
         for block, (_, more) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([more.tobytes()], pa.binary())], names=["block", "more"])
+            marks = np.flatnonzero(np.unpackbits(more, bitorder="little"))
+            if len(marks):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(marks, codec)], pa.binary())], names=["block", "more"])
 
     parts = texts.mapInArrow(count, "block int, once binary, more binary").repartition(MERGERS, "block").mapInArrow(merge, "block int, more binary").toArrow()
-    out = np.zeros((DEPTH * blocks, (1 << (bits - 3)) // blocks), dtype=np.uint8)
-    for batch in parts.to_batches():
-        for block, more in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            out[block] = np.frombuffer(more.as_buffer(), dtype=np.uint8)
-    return out.reshape(DEPTH, -1)
+    return list(zip(*(c.to_pylist() for c in parts.columns), strict=True))
+
+
+_opened: dict[str, np.ndarray] = {}
+
+
+def opened(key: str, packed: list[tuple[int, bytes]], bits: int) -> np.ndarray:
+    """The bitmaps of a merged sketch, unpacked once in a worker; it keeps those of one sketch."""
+    if key not in _opened:
+        _opened.clear()
+        blocks = _blocks(bits)
+        out = np.zeros((DEPTH * blocks, (1 << (bits - 3)) // blocks), dtype=np.uint8)
+        for block, data in packed:
+            out[block] = unpack(data, out.shape[1])
+        _opened[key] = out.reshape(DEPTH, -1)
+    return _opened[key]
 
 
 def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bits: int | None = None) -> DataFrame:
@@ -146,10 +165,10 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("place"), F.col(text_col).alias("text"))
     if bits is None:
         bits = sketch_bits(base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
-    shared = docs.sparkSession.sparkContext.broadcast(merged_sketch(base.select("text"), bits, width))
+    shared, key = docs.sparkSession.sparkContext.broadcast(merged_sketch(base.select("text"), bits, width)), uuid.uuid4().hex
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more = shared.value
+        more = opened(key, shared.value, bits)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(batch.column(1)):
@@ -174,7 +193,7 @@ def mark_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        more = shared.value
+        more = opened(key, shared.value, bits)
         for batch in batches:
             text, firsts = batch.column(1), batch.column(2)
             for i, j in slices(text):
