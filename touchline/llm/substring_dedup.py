@@ -30,9 +30,9 @@ DEPTH = 2
 #: Bounds of log2 of the cells of a sketch row; two rows of 2**30 one-bit "repeated" marks are 256 MB.
 LEAST_BITS, MOST_BITS = 16, 30
 BLOCK_BYTES = 1 << 18
-MERGERS = 16
+MERGERS = 64
 #: A task sends its part of the sketch after so many windows (8 bytes each).
-PART_WINDOWS = 8_000_000
+PART_WINDOWS = 4_000_000
 _BASES = (0x5851F42D4C957F2D, 0x27BB2EE687B0B0FD)
 _LAST = (1 << 63) - 1
 
@@ -60,8 +60,9 @@ def unpack(data: bytes, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _cells(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return hashes & np.uint64((1 << bits) - 1), hashes >> np.uint64(64 - bits)
+def _row_cells(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
+    """The cells of a sketch row: the low bits of the hashes, then the high ones."""
+    return hashes >> np.uint64(64 - bits) if row else hashes & np.uint64((1 << bits) - 1)
 
 
 def sketch_part(hashes: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -70,8 +71,10 @@ def sketch_part(hashes: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[in
     Row r's blocks are numbered from r * blocks; cells are ascending places within their block.
     Only cells that occur are held, so memory follows the hashes and not the sketch.
     """
-    for r, cells in enumerate(_cells(hashes, bits)):
-        cells = np.sort(cells).astype(np.int64)
+    for r in range(DEPTH):
+        cells = _row_cells(hashes, bits, r)
+        cells.sort()
+        cells = cells.view(np.int64)
         start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
         many = np.diff(np.append(start, len(cells))) > 1
         cells, size = cells[start], (1 << bits) // blocks
@@ -84,7 +87,8 @@ def sketch_part(hashes: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[in
 def repeated(hashes: np.ndarray, more: np.ndarray, bits: int) -> np.ndarray:
     """Which windows the merged sketch counts at least twice."""
     out = np.ones(len(hashes), dtype=bool)
-    for r, cells in enumerate(_cells(hashes, bits)):
+    for r in range(DEPTH):
+        cells = _row_cells(hashes, bits, r)
         out &= (more[r, (cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
 
@@ -98,6 +102,7 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> list[tuple
     blocks = _blocks(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _opened.clear()
         codec, held, size = pa.Codec("zstd", compression_level=1), [], 0
 
         def part() -> pa.RecordBatch:
@@ -118,11 +123,12 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> list[tuple
             yield part()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _opened.clear()
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         size = (1 << (bits - 3)) // blocks
         for batch in batches:
-            for block, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                once, more = (unpack(x, size) for x in packed)
+            for block, *packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                once, more = (unpack(x.as_py(), size) for x in packed)
                 if block in held:
                     had, twice = held[block]
                     held[block] = had | once, twice | more | (had & once)
