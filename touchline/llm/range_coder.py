@@ -20,8 +20,8 @@ ID_LIMIT = 1 << 16
 _TOTAL = 15
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
 _WORD, _SHIFT, _LOW = np.uint64(48), np.uint64(16), np.uint64((1 << 32) - 1)
-_ONE, _TWO = 11, 12  # log2 of the slots of the order-1 and order-2 tables
-_NIBBLES = (1, 16, 256, 1024)  # contexts of the four half bytes; the last is hashed
+_ONE, _TWO = 9, 10  # log2 of the slots of the order-1 and order-2 tables
+_NIBBLES = (1, 16, 256, 256)  # contexts of the four half bytes; the last is hashed
 _RATE = 4
 _TARGET = (np.arange(16)[None, :] > np.arange(16)[:, None]) * ((1 << _TOTAL) - 16) + np.arange(16)[None, :]
 _TARGET = _TARGET.astype(np.int32)

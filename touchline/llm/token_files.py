@@ -32,8 +32,8 @@ from touchline.llm.shared import new_path, stash
 from touchline.llm.warc import _open
 
 MAGIC, END = b"TLTK1\n", b"TLTK"
-BLOCK_IDS = 4096
-LANES = 2048
+BLOCK_IDS = 2048
+LANES = 1024
 #: A task starts another file after so many ids.
 FILE_IDS = LANES * BLOCK_IDS * 2
 #: Words whose ids a worker remembers at most.
