@@ -27,7 +27,7 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) -> (node, component) for every node with an edge to another; the component is its smallest node."""
+    """Edges (u, v) -> (node, component); the component is its smallest node, which has no row of its own."""
     edges = stash(edges.filter("u <> v").distinct(), "edges")
     mark = None
     while True:
