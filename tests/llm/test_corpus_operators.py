@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -177,6 +178,29 @@ def test_decontamination(spark, docs, table):
     assert decontam.contaminated_pairs(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_order(spark):
+    rng, bag = random.Random(11), lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in (3, 5, 32, 40, 60, 100)} | {1: ["la"] * 40, 2: [f"r{j % 20}" for j in range(45)]}
+    filler, docs = lambda n: [f"f{rng.randrange(500)}" for _ in range(n)], {}
+    for i, w in items.items():
+        h, q = len(w) // 2, len(w) // 4
+        docs[i * 10] = filler(30) + w[h:] + w[:h] + filler(30)  # halves swapped
+        docs[i * 10 + 1] = w[q:] + w[:q]
+        docs[i * 10 + 2] = filler(7) + w[: len(w) - len(w) // 8]  # cut off by the end
+        docs[i * 10 + 3] = filler(9) + w[:h] + filler(h) + w[h:]  # apart: too far for most
+        docs[i * 10 + 4] = w + w
+    want = {}
+    for d, words in docs.items():
+        for i, w in items.items():
+            best = max((sum((bag(x) & bag(w)).values()) / sum((bag(x) | bag(w)).values()), -s) for s in range(len(words)) for x in [words[s : s + len(w)]])
+            if best[0] >= 0.75:
+                want[d, i] = (pytest.approx(best[0]), -best[1])
+    assert {(1000, 100), (600, 60), (400, 40), (320, 32)} <= set(want)
+    texts = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontam.contaminated_pairs(texts, bench).collect()} == want
+
+
 def test_language_id(spark):
     rng = random.Random(5)
     words = {"aa": ["der", "und", "nicht", "schon", "auch"], "bb": ["the", "and", "with", "that", "other"]}

@@ -6,8 +6,8 @@ lower-cased words; the weight of a shingle is how often it occurs, so similarity
 minima over the sum of maxima).
 
 1. Windows: a window that reaches the threshold shares at least three quarters of the item's
-   shingles, in their order.  So windows are placed, for each item size, where that many shared
-   shingles fall on nearby diagonals (document position minus item position); all others are
+   shingles, in any order.  So windows are placed, for each item size, at every start from which
+   that many positions of the window hold a shingle of some item of the size; all others are
    skipped without loss.
 2. Every placed window gets a 64-bit SimHash of its words.
 3. Multi-index Hamming blocks: fingerprints are cut into ``RADIUS`` + 1 blocks; two fingerprints
@@ -71,25 +71,33 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     return items.withColumn("size", F.size("words")).withColumn("width", F.least("size", F.lit(WIDTH)))
 
 
+def _ranges(need: str, low: str, high: str) -> str:
+    """Disjoint ranges of the starts from ``low`` to ``high`` whose ``n`` positions have ``need`` or more of the sorted ``at``."""
+    return f"""if(size(at) >= {need}, filter(transform(sequence(0, size(at) - {need}), i -> struct(
+        greatest({low}, at[i + {need} - 1] - n + 1, if(i > 0, at[i - 1] + 1, 0)) as lo, least({high}, at[i]) as hi)), r -> r.lo <= r.hi), array())"""
+
+
 def _placed(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, size, start) of the windows worth a fingerprint."""
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # five values at most
     found = None
     for width in widths:
         own = items.filter(F.col("width") == width).withColumn("hashes", shingle_hashes("words", width))
-        own = own.select("size", F.posexplode_outer("hashes").alias("q", "item_hash")).groupBy("item_hash", "size", "q").agg(F.count(F.lit(1)).alias("times"))
-        hashed = docs.withColumn("hashes", shingle_hashes("words", width)).select("doc_id", F.posexplode_outer("hashes").alias("p", "hash"))
+        own = own.select("size", F.explode_outer("hashes").alias("item_hash")).distinct()
+        hashed = docs.select("doc_id", (F.size("words") - (width - 1)).alias("total"), shingle_hashes("words", width).alias("hashes"))
+        hashed = hashed.select("doc_id", "total", F.posexplode_outer("hashes").alias("p", "hash"))
         own = F.broadcast(own) if own.count() <= 50 * BROADCAST_ROWS else own
-        hits = hashed.join(own, F.col("hash") == F.col("item_hash")).select("doc_id", "size", (F.col("size") - width + 1).alias("n"), (F.col("p") - F.col("q")).alias("diagonal"))
+        hits = hashed.join(own, F.col("hash") == F.col("item_hash")).select("doc_id", "size", (F.col("size") - width + 1).alias("n"), "total", "p")
         found = hits if found is None else found.union(hits)
     if found is None:
         return docs.select("doc_id", F.lit(0).alias("size"), F.lit(0).alias("start")).limit(0)
-    lines = found.groupBy("doc_id", "size", "n", "diagonal").agg(F.count(F.lit(1)).alias("shared"))
-    # a window may lack this share of the item's shingles before its first and after its last shared one
-    slack = F.floor(F.col("n") * ((1 - threshold) / (1 + threshold)) + 1e-9).cast("int")
-    spread = lines.withColumn("start", F.explode(F.sequence(F.col("diagonal") - slack, F.col("diagonal") + slack)))
-    dense = spread.groupBy("doc_id", "size", "n", "start").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= F.col("n") * threshold - 1e-9)
-    return dense.select("doc_id", "size", F.greatest("start", F.lit(0)).alias("start")).distinct()
+    # texts that share an id: the shortest has the fewest whole windows
+    lines = found.groupBy("doc_id", "size", "n").agg(F.sort_array(F.collect_set("p")).alias("at"), F.min("total").alias("total"))
+    # of a whole window this share must be the item's; one cut off by the end of the text has fewer shingles, and may do with less
+    lines = lines.withColumn("whole", F.ceil(F.col("n") * (2 * threshold / (1 + threshold)) - 1e-9).cast("int")).withColumn("part", F.ceil(F.col("n") * threshold - 1e-9).cast("int"))
+    ranges = F.expr(f"concat({_ranges('whole', '0', 'total - n')}, {_ranges('part', 'total - n + 1', 'total')})")
+    dense = lines.filter("size(at) >= part").select("doc_id", "size", F.explode_outer(ranges).alias("r"))
+    return dense.select("doc_id", "size", F.explode_outer(F.expr("sequence(r.lo, r.hi)")).alias("start")).filter("start is not null")
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
