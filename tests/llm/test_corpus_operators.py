@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from touchline.llm import components, decontam, exact_dedup, langid, minhash, mixing, quality, range_coder, secret_scan, substring_dedup, token_files, warc
+from touchline.llm import components, decontam, exact_dedup, kernels, langid, minhash, mixing, quality, range_coder, secret_scan, substring_dedup, token_files, warc
 from touchline.llm.queries import END_ID, vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +76,17 @@ def test_near_components(docs, table, empty):
     assert minhash.near_components(empty).count() == 0
 
 
+def test_slices_of_few_words(spark):
+    for n in range(7):
+        few, long = np.arange(n, dtype=np.uint64), np.arange(30, dtype=np.uint64)
+        alone = kernels.shingles(few, np.array([0, n]), 5)[0]
+        beside = kernels.shingles(np.concatenate([few, long]), np.array([0, n, n + 30]), 5)[0]
+        assert len(alone) == (max(n - 4, 1) if n else 0) and (alone == beside[: len(alone)]).all()
+    short = spark.sparkContext.parallelize([(1, "two words"), (2, "just three words"), (3, "two words")], 3).toDF("doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_components(short).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
 def test_substring_dedup(docs, table, empty):
     seen, want = set(), {}
     for i, text, *_ in table:

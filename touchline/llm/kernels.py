@@ -102,7 +102,7 @@ def shingles(hashes: np.ndarray, doc_offsets: np.ndarray, width: int) -> tuple[n
     n = np.diff(doc_offsets)
     total = len(hashes)
     value = hashes.copy()
-    for j in range(1, width):
+    for j in range(1, min(width, total)):
         value[: total - j] = mix64(value[: total - j] * _A + hashes[j:])
     counts = np.where(n >= width, n - width + 1, (n > 0).astype(n.dtype))
     out_offsets = np.concatenate([[0], np.cumsum(counts)])
