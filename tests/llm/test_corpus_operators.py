@@ -10,8 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from touchline.llm import components, decontam, exact_dedup, kernels, langid, minhash, mixing, quality, range_coder, secret_scan, substring_dedup, token_files, warc
-from touchline.llm.queries import END_ID, vocabulary
+from touchline.llm import components, decontam, exact_dedup, kernels, langid, minhash, mixing, quality, secret_scan, substring_dedup, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, salt int, body string, label int"
@@ -129,28 +128,6 @@ def test_mix(docs, table, empty):
     assert mixing.mix(empty).count() == 0
 
 
-def test_tokens_round_trip(docs, table, empty):
-    from tokenizers import Tokenizer
-
-    plain, at = Tokenizer.from_file(vocabulary()), 0
-    got = {r.doc_id: r for r in token_files.read_tokens(token_files.write_tokens(docs, vocabulary(), END_ID)).collect()}
-    assert sorted(got) == [r[0] for r in table]
-    for i, text, *_ in table:
-        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, END_ID], "<u4")
-        assert (got[i].start, got[i].n_tokens, zlib.crc32(bytes(got[i].ids))) == (at, len(ids), zlib.crc32(ids.tobytes()))
-        at += len(ids)
-    assert token_files.read_tokens(token_files.write_tokens(empty, vocabulary(), END_ID)).count() == 0
-
-
-def test_range_coder():
-    rng = np.random.default_rng(1)
-    blocks = [rng.integers(0, 65536, 500), np.zeros(0, int), np.tile([5, 6, 7], 300), np.array([65535]), rng.zipf(1.3, 700) % 49000]
-    coded = range_coder.encode_blocks([b.astype(np.uint32) for b in blocks])
-    for a, b in zip(range_coder.decode_blocks(coded, [len(b) for b in blocks]), blocks, strict=True):
-        assert (a == b).all()
-    assert len(coded[2]) < 200
-
-
 def test_warc(spark, empty):
     pages = [(1, "u1", "<p>a</p>"), (2, "u2", "<p>a</p>"), (3, "u3", None), (4, "u4", ""), (5, None, "北" * 5000)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")

@@ -93,6 +93,20 @@ def hash_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
+def same_spans(raw: np.ndarray, starts: np.ndarray, size: np.ndarray, other: np.ndarray, other_starts: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether every span equals its counterpart; ``other`` ends with eight bytes that no span uses."""
+    if not np.array_equal(size, other_size):
+        return False
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    a, b = (np.ndarray(shape=(len(x) - 7,), dtype="<u8", buffer=x, strides=(1,)) for x in (padded, other))
+    while len(starts):
+        if ((a[starts] ^ b[other_starts]) & _MASKS[np.minimum(size, 8)]).any():
+            return False
+        more = np.flatnonzero(size > 8)
+        starts, other_starts, size = starts[more] + 8, other_starts[more] + 8, size[more] - 8
+    return True
+
+
 def shingles(hashes: np.ndarray, doc_offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every ``width`` consecutive words of one text.
 

@@ -1,226 +1,277 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block of ids is coded by itself: all models start afresh.  For every id, an order-2 and an
-order-1 table (contexts: the last two ids, the last id) each predict one id with a confidence.
-Two adaptive models of which prediction holds, one seeing the confidences and one seeing what
-held last, are mixed by a weight that follows the better one.  An id that neither table predicts
-is coded by an adaptive order-0 model, four bits at a time.
-
-The coder is a carryless 64-bit range coder with 16-bit output words.  Blocks are coded side by
-side, one numpy lane each, so that the time per id is that of a few dozen vector operations
-divided by the number of lanes.
+A block of ids is coded by itself: its model starts afresh, and its alphabet (the distinct ids,
+any unsigned 32-bit values) stands in front.  Three orders predict every id:
+
+* order 0: the frequencies of the block's ids so far, over the whole alphabet;
+* order 1 and order 2: the id that followed the last one or two ids, with how often running it did.
+
+The three predictions are mixed linearly, and the mixture drives the arithmetic coder.  The weights
+are learned: of every pair of confidences, the block counts how often either guess was right.
+
+A block is cut into lanes, which are coded side by side, one numpy element each, and share one
+model: what is learned in a lane serves all.  The coder has 64-bit state and 32-bit output words;
+a carry goes into the words already written.
 """
 
 from __future__ import annotations
 
+import struct
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Ids must fit in 16 bits.
-ID_LIMIT = 1 << 16
-_TOTAL = 15
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_WORD, _SHIFT, _LOW = np.uint64(48), np.uint64(16), np.uint64((1 << 32) - 1)
-_ONE, _TWO = 9, 10  # log2 of the slots of the order-1 and order-2 tables
-_NIBBLES = (1, 16, 256, 256)  # contexts of the four half bytes; the last is hashed
-_RATE = 4
-_TARGET = (np.arange(16)[None, :] > np.arange(16)[:, None]) * ((1 << _TOTAL) - 16) + np.arange(16)[None, :]
-_TARGET = _TARGET.astype(np.int32)
-
-
-class _Models:
-    """The state of all lanes."""
-
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.one, self.two = np.zeros(lanes << _ONE, np.int32), np.zeros(lanes << _TWO, np.int32)
-        self.seen, self.past = np.full((2, lanes * 32), 32768, np.int32), np.full((2, lanes * 27), 32768, np.int32)
-        self.weight = np.full((2, lanes), 128, np.int32)
-        self.history = np.zeros(lanes, np.int64)
-        self.nibble = [np.tile((np.arange(16) << (_TOTAL - 4)).astype(np.int32), (lanes * n, 1)) for n in _NIBBLES]
-
-    def predict(self, n: int) -> None:
-        """For the first ``n`` lanes: predictions, and the three branches' frequencies."""
-        lane, p1, p2 = self.lane[:n], self.prev1[:n], self.prev2[:n]
-        self.i1 = (lane << _ONE) + ((p1 * 0x9E3779B1 >> 16) & ((1 << _ONE) - 1))
-        self.i2 = (lane << _TWO) + (((p1 * 0x85EBCA6B + p2 * 0xC2B2AE35) >> 16) & ((1 << _TWO) - 1))
-        e1, e2 = self.one[self.i1], self.two[self.i2]
-        self.g1, self.k1, self.g2, self.k2 = e1 & 0xFFFF, e1 >> 16, e2 & 0xFFFF, e2 >> 16
-        self.a = (lane << 5) + (self.k2 << 2) + self.k1 + ((self.g1 == self.g2) << 4)
-        self.b = lane * 27 + self.history[:n]
-        self.by_a, self.by_b = self.seen[:, self.a], self.past[:, self.b]
-        w = self.weight[:, :n]
-        mixed = np.clip((self.by_a * w + self.by_b * (256 - w)) >> 9, 64, (1 << _TOTAL) - 64)
-        self.f2 = mixed[0]
-        self.f1 = ((((1 << _TOTAL) - mixed[0]) * mixed[1]) >> _TOTAL) + 1
-
-    def update(self, n: int, ids: np.ndarray, branch: np.ndarray) -> None:
-        """Learn the ids of the first ``n`` lanes; ``branch``: 0 order-2, 1 order-1, 2 order-0."""
-        for level in (0, 1):
-            hit = np.where(branch == level, 65535, 0)
-            a, b = self.by_a[level], self.by_b[level]
-            if level:
-                off = branch > 0
-                at, bt, h, a, b = self.a[off], self.b[off], hit[off], a[off], b[off]
-            else:
-                off, at, bt, h = slice(0, n), self.a, self.b, hit
-            nearer = np.abs(h - a) <= np.abs(h - b)
-            w = self.weight[level, :n][off]
-            self.weight[level, :n][off] = np.where(nearer, w + ((256 - w) >> 4), w - (w >> 4))
-            self.seen[level, at] = a + ((h - a) >> _RATE)
-            self.past[level, bt] = b + ((h - b) >> _RATE)
-        for table, at, guess, sure in ((self.one, self.i1, self.g1, self.k1), (self.two, self.i2, self.g2, self.k2)):
-            right = guess == ids
-            table[at] = np.where(right | (sure > 0), guess, ids) | (np.where(right, np.minimum(sure + 1, 3), np.maximum(sure - 1, 0)) << 16)
-        self.history[:n] = (self.history[:n] % 9) * 3 + branch
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
-
-    def nibble_rows(self, step: int, lanes: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        n = _NIBBLES[step]
-        return lanes * n + (prefix if step < 3 else (prefix * 0x9E3779B1 >> 12) & (n - 1))
-
-    def learn_nibble(self, step: int, rows: np.ndarray, cdf: np.ndarray, symbol: np.ndarray) -> None:
-        self.nibble[step][rows] = cdf + ((_TARGET[symbol] - cdf) >> _RATE)
-
-
-def _interval(cdf: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    row = np.arange(len(symbol))
-    start = cdf[row, symbol]
-    end = np.where(symbol == 15, 1 << _TOTAL, cdf[row, np.minimum(symbol + 1, 15)])
-    return start, end - start
-
-
-class _Encoder:
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max)
-        self.out, self.at = np.zeros((lanes, room), np.uint16), np.zeros(lanes, np.int64)
-
-    def code(self, lanes, start: np.ndarray, size: np.ndarray) -> None:
-        part = self.range[lanes] >> np.uint64(_TOTAL)
-        low, wide = self.low[lanes] + start.astype(np.uint64) * part, part * size.astype(np.uint64)
-        act = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
-        names = np.arange(len(self.low))[lanes]
-        while len(act):
-            a, w = low[act], wide[act]
-            w = np.where((a ^ (a + w)) < _TOP, w, (np.uint64(0) - a) & _LOW)
-            who = names[act]
-            if self.at[who].max() >= self.out.shape[1]:
-                self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1])))
-            self.out[who, self.at[who]] = (a >> _WORD).astype(np.uint16)
-            self.at[who] += 1
-            a, w = a << _SHIFT, w << _SHIFT
-            low[act], wide[act] = a, w
-            act = act[((a ^ (a + w)) < _TOP) | (w < _BOTTOM)]
-        self.low[lanes], self.range[lanes] = low, wide
-
-    def finish(self) -> list[bytes]:
-        tail = np.stack([(self.low >> np.uint64(s)).astype(np.uint16) for s in (48, 32, 16, 0)], axis=1)
-        return [np.concatenate([row[:n], t]).astype("<u2").tobytes() for row, n, t in zip(self.out, self.at.tolist(), tail, strict=True)]
-
-
-class _Decoder:
-    def __init__(self, data: list[bytes]):
-        room = max(len(d) for d in data) // 2 + 8
-        self.words = np.zeros((len(data), room), np.uint64)
-        for i, d in enumerate(data):
-            self.words[i, : len(d) // 2] = np.frombuffer(d, "<u2")
-        self.low, self.range = np.zeros(len(data), np.uint64), np.full(len(data), np.iinfo(np.uint64).max)
-        self.value = np.zeros(len(data), np.uint64)
-        for i in range(4):
-            self.value = (self.value << _SHIFT) | self.words[:, i]
-        self.at = np.full(len(data), 4, np.int64)
-
-    def target(self, lanes) -> np.ndarray:
-        self.part = self.range[lanes] >> np.uint64(_TOTAL)
-        return np.minimum((self.value[lanes] - self.low[lanes]) // self.part, np.uint64((1 << _TOTAL) - 1)).astype(np.int32)
-
-    def code(self, lanes, start: np.ndarray, size: np.ndarray) -> None:
-        low, wide = self.low[lanes] + start.astype(np.uint64) * self.part, self.part * size.astype(np.uint64)
-        act = np.flatnonzero(((low ^ (low + wide)) < _TOP) | (wide < _BOTTOM))
-        names = np.arange(len(self.low))[lanes]
-        while len(act):
-            a, w = low[act], wide[act]
-            w = np.where((a ^ (a + w)) < _TOP, w, (np.uint64(0) - a) & _LOW)
-            who = names[act]
-            at = np.minimum(self.at[who], self.words.shape[1] - 1)
-            self.value[who] = (self.value[who] << _SHIFT) | self.words[who, at]
-            self.at[who] += 1
-            a, w = a << _SHIFT, w << _SHIFT
-            low[act], wide[act] = a, w
-            act = act[((a ^ (a + w)) < _TOP) | (w < _BOTTOM)]
-        self.low[lanes], self.range[lanes] = low, wide
-
-
-def _active(sizes: np.ndarray) -> np.ndarray:
-    """For each step, how many lanes (in order of falling size) still have an id."""
-    return len(sizes) - np.searchsorted(np.sort(sizes), np.arange(sizes.max(initial=0)), side="right")
-
-
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block of ids as bytes."""
-    if not blocks:
-        return []
-    sizes = np.array([len(b) for b in blocks])
-    order = np.argsort(-sizes, kind="stable")
-    grid = np.zeros((sizes.max(), len(blocks)), dtype=np.int64)
-    for lane, i in enumerate(order.tolist()):
-        grid[: sizes[i], lane] = blocks[i]
-    models, coder = _Models(len(blocks)), _Encoder(len(blocks), int(sizes.max()) + 8)
-    for step, n in enumerate(_active(sizes).tolist()):
-        ids, every = grid[step, :n], slice(0, n)
-        models.predict(n)
-        branch = np.where(ids == models.g2, 0, np.where(ids == models.g1, 1, 2))
-        f2, f1 = models.f2, models.f1
-        start = np.where(branch == 0, 0, np.where(branch == 1, f2, f2 + f1))
-        coder.code(every, start, np.where(branch == 0, f2, np.where(branch == 1, f1, (1 << _TOTAL) - f2 - f1)))
-        plain = np.flatnonzero(branch == 2)
-        if len(plain):
-            word = ids[plain]
-            for k in range(4):
-                rows = models.nibble_rows(k, plain, word >> (16 - 4 * k))
-                symbol = (word >> (12 - 4 * k)) & 15
-                cdf = models.nibble[k][rows]
-                coder.code(plain, *_interval(cdf, symbol))
-                models.learn_nibble(k, rows, cdf, symbol)
-        models.update(n, ids, branch)
-    out: list[bytes] = [b""] * len(blocks)
-    for i, data in zip(order.tolist(), coder.finish(), strict=True):
-        out[i] = data
-    return out
-
-
-def decode_blocks(data: list[bytes], sizes: list[int]) -> list[np.ndarray]:
-    """The ids of each block; ``sizes`` are their numbers of ids."""
-    if not data:
-        return []
-    size = np.array(sizes)
-    order = np.argsort(-size, kind="stable")
-    grid = np.zeros((size.max(initial=0), len(data)), dtype=np.int64)
-    models, coder = _Models(len(data)), _Decoder([data[i] for i in order.tolist()])
-    for step, n in enumerate(_active(size).tolist()):
-        every = slice(0, n)
-        models.predict(n)
-        f2, f1 = models.f2, models.f1
-        at = coder.target(every)
-        branch = (at >= f2).astype(np.int64) + (at >= f2 + f1)
-        start = np.where(branch == 0, 0, np.where(branch == 1, f2, f2 + f1))
-        coder.code(every, start, np.where(branch == 0, f2, np.where(branch == 1, f1, (1 << _TOTAL) - f2 - f1)))
-        ids = np.where(branch == 0, models.g2, models.g1).astype(np.int64)
-        plain = np.flatnonzero(branch == 2)
-        if len(plain):
-            word = np.zeros(len(plain), np.int64)
-            for k in range(4):
-                rows = models.nibble_rows(k, plain, word)
-                cdf = models.nibble[k][rows]
-                symbol = (cdf <= coder.target(plain)[:, None]).sum(axis=1) - 1
-                coder.code(plain, *_interval(cdf, symbol))
-                models.learn_nibble(k, rows, cdf, symbol)
-                word = (word << 4) | symbol
-            ids[plain] = word
-        grid[step, :n] = ids
-        models.update(n, ids, branch)
-    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(data)
-    for lane, i in enumerate(order.tolist()):
-        out[i] = grid[: size[i], lane].astype(np.uint32)
-    return out
+#: Ids must be below this; a larger or negative one is refused when it is encoded.
+ID_LIMIT = 1 << 32
+#: Lanes of a block at most, and ids for which one more lane is opened.
+LANES, LANE_IDS = 8192, 256
+_SURE = 3  # bits of a confidence
+_MOST = (1 << _SURE) - 1
+_CONTEXTS = 1 << (2 * _SURE)
+_PAIRS = 16  # log2 of the slots of the order-2 table
+_WEIGHT = 8  # bits of a mixture weight
+_EVERY = 16  # steps between two renewals of frequencies and weights, fewer at the start
+_COUNTED = 5  # of so many steps, one is counted for the weights; an odd number, as lanes may run in step
+_WORD = np.uint64(32)
+_FULL = np.uint64(1 << 32)
+
+# A coded letter stands below (0), at (1) or above (2) the guess of order 1, and that of order 2: nine cases of every context.
+_CASE = np.arange(_CONTEXTS * 9)
+_BY1, _BY2 = _CASE // 3 % 3, _CASE % 3
+_NEXT1 = np.where(_BY1 == 1, np.minimum((_CASE // 9 & _MOST) + 1, _MOST), 0)
+_NEXT2 = np.where(_BY2 == 1, np.minimum((_CASE // 9 >> _SURE) + 1, _MOST), 0)
+
+
+class _Mixture:
+    """The shared model of a block of ``letters`` distinct ids, coded by ``lanes`` lanes."""
+
+    def __init__(self, letters: int, lanes: int, invert: bool):
+        self.letters, self.invert = letters, invert
+        size = int(letters - 1).bit_length()
+        self.bits = max(16, min(size + 6, 20), size + 2)
+        self.total = self.bits + _WEIGHT
+        self.one, self.two = np.zeros(letters, np.int64), np.zeros(1 << _PAIRS, np.int64)
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.seen = np.zeros(letters, np.int64)
+        self.hits = np.zeros(_CONTEXTS * 9, np.int64)
+        self.renew()
+
+    def renew(self) -> None:
+        """Frequencies and weights from the counts so far."""
+        room, n = 1 << self.bits, int(self.seen.sum())
+        self.size = 1 + self.seen * (room - self.letters) // n if n else np.full(self.letters, room // self.letters)
+        self.size[int(self.seen.argmax())] += room - int(self.size.sum())
+        self.start = np.cumsum(self.size) - self.size
+        if self.invert:
+            self.letter = np.repeat(np.arange(self.letters, dtype=np.uint16 if self.letters <= 1 << 16 else np.uint32), self.size)
+        hits = self.hits.reshape(_CONTEXTS, 3, 3)
+        tries, space = hits.sum(axis=(1, 2)) + 2, (1 << _WEIGHT) - 4
+        # where both guesses held, the higher order takes the credit
+        two = hits[:, :, 1].sum(axis=1) * space // tries
+        one = (hits[:, 1].sum(axis=1) - hits[:, 1, 1]) * space // tries
+        self.w0, self.w1, self.w2 = (1 << _WEIGHT) - one - two, one << self.bits, two << self.bits
+        w1, w2 = np.repeat(self.w1, 9), np.repeat(self.w2, 9)
+        self.below = w1 * (_BY1 == 2) + w2 * (_BY2 == 2)
+        self.extra = w1 * (_BY1 == 1) + w2 * (_BY2 == 1)
+
+    def guess(self, n: int) -> None:
+        """For the first ``n`` lanes: the guesses of orders 1 and 2, and the context that weighs them."""
+        self.p1 = self.last[:n]
+        p2 = self.p1 * 0x2F0B4C47
+        p2 += self.before[:n] * 0x1E35A7BD
+        p2 >>= 12
+        p2 &= (1 << _PAIRS) - 1
+        self.p2 = p2
+        e1, e2 = self.one[self.p1], self.two[p2]
+        self.g1, self.g2 = e1 >> _SURE, e2 >> _SURE
+        e1 &= _MOST
+        e2 &= _MOST
+        e2 <<= _SURE
+        e1 += e2
+        self.context = e1
+        self.a0 = self.w0[e1]
+
+    def interval(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the letters ``s`` in the mixture; keeps their cases."""
+        by1 = (s >= self.g1).view(np.int8) + (s > self.g1).view(np.int8)
+        by2 = (s >= self.g2).view(np.int8) + (s > self.g2).view(np.int8)
+        by1 *= 3
+        by1 += by2
+        self.case = self.context * 9
+        self.case += by1
+        start, size = self.start[s], self.size[s]
+        start *= self.a0
+        start += self.below[self.case]
+        size *= self.a0
+        size += self.extra[self.case]
+        return start, size
+
+    def find(self, t: np.ndarray) -> np.ndarray:
+        """The letters whose intervals hold the targets ``t``.
+
+        A letter's interval begins with the weights of the guesses that name it.  What of them
+        stands below the target is taken off, which leaves the order-0 part.
+        """
+        a1, a2 = self.w1[self.context], self.w2[self.context]
+        s1, s2 = self.start[self.g1], self.start[self.g2]
+        s1 *= self.a0
+        s1 += a2 * (self.g1 > self.g2)
+        s2 *= self.a0
+        s2 += a1 * (self.g2 >= self.g1)
+        np.subtract(t, s1, out=s1)
+        np.maximum(s1, 0, out=s1)
+        np.minimum(s1, a1, out=s1)
+        np.subtract(t, s2, out=s2)
+        np.maximum(s2, 0, out=s2)
+        np.minimum(s2, a2, out=s2)
+        t -= s1
+        t -= s2
+        return self.letter[(t / self.a0).astype(np.int64)].astype(np.int64)
+
+    def learn(self, n: int, s: np.ndarray, counted: bool) -> None:
+        """The letters of the first ``n`` lanes after ``interval``; of lanes that share a slot, the last one's stays."""
+        entry = s << _SURE
+        self.one[self.p1] = entry + _NEXT1[self.case]
+        entry += _NEXT2[self.case]
+        self.two[self.p2] = entry
+        if counted:
+            self.hits += np.bincount(self.case, minlength=len(self.hits))
+        self.before[:n] = self.p1
+        self.last[:n] = s
+
+
+class _Grid:
+    """The ids of a block by step and lane.
+
+    Lanes take consecutive ids, the first ones one more where it does not come out even.
+    """
+
+    def __init__(self, n: int):
+        self.n, self.lanes = n, max(1, min(LANES, n // LANE_IDS))
+        self.whole, self.more = divmod(n, self.lanes)
+        self.cells = np.zeros((self.whole + 1, self.lanes), np.int32)
+
+    def _parts(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edge = self.more * (self.whole + 1)
+        return flat[:edge].reshape(self.more, self.whole + 1), flat[edge:].reshape(self.lanes - self.more, self.whole)
+
+    def fill(self, flat: np.ndarray) -> None:
+        first, rest = self._parts(flat)
+        self.cells[:, : self.more] = first.T
+        self.cells[: self.whole, self.more :] = rest.T
+
+    def flat(self) -> np.ndarray:
+        out = np.zeros(self.n, np.int32)
+        first, rest = self._parts(out)
+        first[:] = self.cells[:, : self.more].T
+        rest[:] = self.cells[: self.whole, self.more :].T
+        return out
+
+    def steps(self, model: _Mixture) -> Iterator[tuple[int, int]]:
+        """(step, lanes that have an id); between two steps, the model is renewed where it is time."""
+        known = 0
+        for t in range(self.whole + (self.more > 0)):
+            yield t, self.lanes if t < self.whole else self.more
+            if t % _EVERY == 0 or (t < _EVERY and t & (t - 1) == 0):
+                model.seen += np.bincount(self.cells[known : t + 1].ravel(), minlength=model.letters)
+                known = t + 1
+                model.renew()
+
+
+def _letters(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids in order, the place of every id among them)."""
+    if int(ids.max()) < 1 << 20:
+        there = np.zeros(int(ids.max()) + 1, dtype=bool)
+        there[ids] = True
+        return np.flatnonzero(there), (np.cumsum(there, dtype=np.int32) - 1)[ids]
+    return np.unique(ids, return_inverse=True)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    """A block of ids (integers from 0 to below ``ID_LIMIT``) as bytes."""
+    ids = np.asarray(ids, dtype=np.int64)
+    n = len(ids)
+    if not n:
+        return b""
+    if ids.min() < 0 or ids.max() >= ID_LIMIT:
+        raise ValueError(f"ids must be from 0 to {ID_LIMIT - 1}")
+    alphabet, letters = _letters(ids)
+    grid = _Grid(n)
+    grid.fill(letters)
+    lanes, model = grid.lanes, _Mixture(len(alphabet), grid.lanes, invert=False)
+    shift = np.uint64(model.total)
+    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, np.iinfo(np.uint64).max)
+    room = (grid.whole + 1) * model.total // 32 + 4
+    out, begin = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    at = begin.copy()
+
+    def carry(lane: np.ndarray) -> None:
+        place = at[lane] - 1
+        while len(place):
+            out[place] += np.uint32(1)
+            place = place[out[place] == 0] - 1
+
+    for t, m in grid.steps(model):
+        s = grid.cells[t, :m].astype(np.int64)
+        model.guess(m)
+        start, size = model.interval(s)
+        mine, part = low[:m], wide[:m]
+        part >>= shift
+        add = part * start.view(np.uint64)
+        mine += add
+        over = np.flatnonzero(mine < add)
+        if len(over):
+            carry(over)
+        part *= size.view(np.uint64)
+        full = np.flatnonzero(part < _FULL)
+        if len(full):
+            word, place = mine[full], at[full]
+            out[place] = (word >> _WORD).astype(np.uint32)
+            at[full] = place + 1
+            mine[full] = word << _WORD
+            part[full] <<= _WORD
+        model.learn(m, s, t % _COUNTED == 0)
+    tail = low + np.uint64((1 << 32) - 1)
+    carry(np.flatnonzero(tail < low))
+    out[at] = (tail >> _WORD).astype(np.uint32)
+    sizes = at + 1 - begin
+    words = out.reshape(lanes, room)[np.arange(room)[None, :] < sizes[:, None]]
+    head = zlib.compress(np.diff(alphabet, prepend=0).astype("<u4").tobytes() + sizes.astype("<u4").tobytes(), 6)
+    return struct.pack("<II", len(alphabet), len(head)) + head + words.astype("<u4").tobytes()
+
+
+def decode_block(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids of a block."""
+    if not n:
+        return np.zeros(0, np.uint32)
+    count, packed = struct.unpack_from("<II", data)
+    head = zlib.decompress(data[8 : 8 + packed])
+    alphabet = np.cumsum(np.frombuffer(head, "<u4", count).astype(np.int64))
+    grid = _Grid(n)
+    lanes, model = grid.lanes, _Mixture(count, grid.lanes, invert=True)
+    sizes = np.frombuffer(head, "<u4", lanes, 4 * count).astype(np.int64)
+    # every lane ends with two words of zero to read on into
+    words = np.zeros(int(sizes.sum()) + 2 * lanes, np.uint64)
+    at = np.cumsum(sizes + 2) - sizes - 2
+    words[np.arange(int(sizes.sum())) + np.repeat(2 * np.arange(lanes), sizes)] = np.frombuffer(data, "<u4", int(sizes.sum()), 8 + packed)
+    shift, most = np.uint64(model.total), np.uint64((1 << model.total) - 1)
+    wide, gap = np.full(lanes, np.iinfo(np.uint64).max), (words[at] << _WORD) | words[at + 1]
+    at += 2
+    for t, m in grid.steps(model):
+        model.guess(m)
+        mine, part = gap[:m], wide[:m]
+        part >>= shift
+        s = model.find(np.minimum(mine // part, most).view(np.int64))
+        grid.cells[t, :m] = s
+        start, size = model.interval(s)
+        mine -= part * start.view(np.uint64)
+        part *= size.view(np.uint64)
+        short = np.flatnonzero(part < _FULL)
+        if len(short):
+            place = at[short]
+            at[short] = place + 1
+            mine[short] = (mine[short] << _WORD) | words[np.minimum(place, len(words) - 1)]
+            part[short] <<= _WORD
+        model.learn(m, s, t % _COUNTED == 0)
+    return alphabet[grid.flat()].astype(np.uint32)

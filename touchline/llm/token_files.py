@@ -2,7 +2,7 @@
 
 A file is::
 
-    "TLTK1\\n"
+    "TLTK2\\n"
     block*        u32 ids, u32 bytes, u32 CRC-32 of the ids, coded bytes
     index         zstd of: u32 documents, i64 doc_id * n, u8 has_id * n, u32 n_tokens * n
     trailer       u64 offset of the index, u32 its bytes, u32 its unpacked bytes, u32 its CRC-32, "TLTK"
@@ -13,12 +13,14 @@ ascending ``doc_id`` order within a file and over the files of a manifest.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +29,216 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.range_coder import decode_blocks, encode_blocks
+from touchline.llm.kernels import hash_words, same_spans, slices, text_bytes, words
+from touchline.llm.range_coder import decode_block, encode_block
 from touchline.llm.shared import new_path, stash
 from touchline.llm.warc import _open
 
-MAGIC, END = b"TLTK1\n", b"TLTK"
-BLOCK_IDS = 2048
-LANES = 1024
+MAGIC, END = b"TLTK2\n", b"TLTK"
+#: Ids of a block; they are held in memory while it is coded.
+BLOCK_IDS = 1 << 21
 #: A task starts another file after so many ids.
-FILE_IDS = LANES * BLOCK_IDS * 2
-#: Words whose ids a worker remembers at most.
-REMEMBERED = 1_000_000
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:*$%&#]*)")
+FILE_IDS = 2 * BLOCK_IDS
+#: Words whose ids a worker remembers at most (about 80 bytes each).
+REMEMBERED = 2_000_000
+#: Texts are encoded in pieces of about so many bytes.
+PIECE_BYTES = 4_000_000
+_OUTSIDE = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ.,!?;:*$%&#]")
+#: The normaliser and pre-tokeniser for which texts may be encoded word by word.
+_BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+)
 
 
-class WordTokenizer:
-    """Ids of texts, by way of their distinct words.
+class _Ids:
+    """Lists of ids by row, end to end in one array."""
 
-    White space separates tokens in this vocabulary's pre-tokeniser, so a text's ids are those of
-    its words, one after another.  A word of letters and trailing punctuation is also cut between
-    the two, and case is folded, as the tokeniser does.  Other words are encoded as they are.
+    def __init__(self):
+        self.ids, self.size, self.begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def extend(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.size = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.size, sizes])
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the rows, end to end; their sizes)."""
+        size = self.size[rows]
+        return self.ids[spread(self.begin[rows], size)], size
+
+
+_LETTER, _MARK, _OTHER = 1, 2, 3
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[list(b".,!?;:*$%&#")] = _MARK
+_KIND[32] = 0
+
+
+def split_words(raw: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which words are letters, then marks; their letters in lower case; their marks; which have marks).
+
+    ``raw`` holds the words, each with a space before and the last one with a space after it.
+    Letters are A-Z and the Latin-1 ones, marks are ``.,!?;:*$%&#``.  In the two byte arrays
+    spaces stand for all else, so they hold one part a word.
+    """
+    kind = _KIND[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3)
+    after = raw[lead + 1]
+    lead = lead[(after >= 0x80) & (after != 0x97) & (after != 0xB7)]
+    kind[lead] = kind[lead + 1] = _LETTER
+    at = np.cumsum(kind == 0) - 1
+    odd = np.zeros(len(raw), dtype=bool)
+    odd[1:] = (kind[1:] == _OTHER) | ((kind[1:] == _LETTER) & (kind[:-1] == _MARK)) | ((kind[1:] == _MARK) & (kind[:-1] == 0))
+    simple = np.bincount(at[odd], minlength=number + 1)[:number] == 0
+    low = raw + (((raw >= 65) & (raw <= 90)) << 5).astype(np.uint8)
+    low[lead[raw[lead + 1] <= 0x9E] + 1] += 32
+    mine = np.append(simple, False)[at]
+    mark = (kind == _MARK) & mine
+    return simple, np.where(mine & (kind == _LETTER), low, 32).astype(np.uint8), np.where(mark, raw, 32).astype(np.uint8), np.bincount(at[mark], minlength=number + 1)[:number] > 0
+
+
+class _Table:
+    """A row number for every distinct word.
+
+    Words are looked up by a 64-bit hash and then compared in full; ``None`` is returned where two
+    words share a hash, for the caller to start over with another ``seed``.
+    """
+
+    def __init__(self, seed: int):
+        self.seed = seed
+        self.hash, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.raw, self.begin, self.size = np.zeros(8, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """(row of every word, where the new rows' words are among them)."""
+        hashes = hash_words(raw, starts, ends, self.seed)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        first = np.ones(len(ranked), dtype=bool)
+        first[1:] = ranked[1:] != ranked[:-1]
+        distinct, group = ranked[first], np.cumsum(first) - 1
+        place = np.searchsorted(self.hash, distinct)
+        held = np.append(self.hash, np.uint64(0))[place] == distinct
+        held &= place < len(self.hash)
+        rows = np.zeros(len(distinct), np.int64)
+        rows[held] = self.row[place[held]]
+        fresh = order[first][~held]
+        rows[~held] = len(self.row) + np.arange(len(fresh))
+        if len(fresh):
+            size = ends[fresh] - starts[fresh]
+            self.begin = np.concatenate([self.begin, len(self.raw) - 8 + np.cumsum(size) - size])
+            self.size = np.concatenate([self.size, size])
+            self.raw = np.concatenate([self.raw[:-8], raw[spread(starts[fresh], size)], np.zeros(8, np.uint8)])
+            self.row = np.insert(self.row, place[~held], rows[~held])
+            self.hash = np.insert(self.hash, place[~held], distinct[~held])
+        sorted_rows = rows[group]
+        if not same_spans(raw, starts[order], ends[order] - starts[order], self.raw, self.begin[sorted_rows], self.size[sorted_rows]):
+            return None
+        out = np.empty(len(order), np.int64)
+        out[order] = sorted_rows
+        return out, fresh
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``begin``, ``begin`` + 1 ... of every span, end to end."""
+    out = np.repeat(begin - np.cumsum(size) + size, size)
+    out += np.arange(len(out))
+    return out
+
+
+def joined(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words, each with a space before, and a space at the end."""
+    size = ends - starts + 1
+    out = np.full(int(size.sum()) + 1, 32, np.uint8)
+    body = np.ones(len(out), dtype=bool)
+    body[np.cumsum(size) - size] = False
+    body[-1] = False
+    out[body] = raw[spread(starts, ends - starts)]
+    return out
+
+
+class _Words:
+    """The ids of words, each distinct one encoded once."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.tokenizer = tokenizer
+        # letters in lower case are left as they are by the normaliser and the pre-tokeniser but for the spelling of their bytes
+        self.plain = Tokenizer(tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
+        spell = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = np.zeros((256, 2), np.uint8)
+        for c in map(chr, range(0xDF, 0x100)):
+            if c.isalpha():
+                for octet, letter in zip(c.encode(), spell(c)[0][0], strict=True):
+                    self.spelling[octet] = list(letter.encode())
+        vocabulary = tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(tokenizer.model.end_of_word_suffix)]] = True
+        self.forget(0)
+
+    def forget(self, seed: int) -> None:
+        self.seed = seed
+        self.table, self.ids, self.parts, self.part_ids = _Table(seed), _Ids(), _Table(seed), _Ids()
+
+    def of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of the words, end to end; how many each has)."""
+        if len(self.table.row) + len(self.parts.row) > REMEMBERED:
+            self.forget(self.seed)
+        while True:
+            found = self.table.of(raw, starts, ends)
+            if found and (not len(found[1]) or self._learn(raw, starts[found[1]], ends[found[1]])):
+                return self.ids.of(found[0])
+            self.forget(self.seed + 1)
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bool:
+        """Encodes new words; false if two of their parts share a hash."""
+        simple, letters, marks, marked = split_words(joined(raw, starts, ends), len(starts))
+        begin, end, _ = words(letters, np.array([0, len(letters)]))
+        parts = self.parts.of(letters, begin, end)
+        if parts is None:
+            return False
+        self._learn_parts(letters, begin[parts[1]], end[parts[1]])
+        ending = self._whole(marks.tobytes().split())
+        others = self._whole([raw[a:b].tobytes() for a, b in zip(starts[~simple].tolist(), ends[~simple].tolist(), strict=True)])
+        # three lists of ids, of which a word has the first two or the last one
+        lists, size = [], np.zeros((len(starts), 3), np.int64)
+        for k, (who, (found, n)) in enumerate(((simple, self.part_ids.of(parts[0])), (marked, ending), (~simple, others))):
+            lists.append(found)
+            size[who, k] = n
+        begin = np.cumsum(size, axis=0) - size + np.cumsum([0, *map(len, lists[:2])])
+        self.ids.extend(np.concatenate(lists)[spread(begin.ravel(), size.ravel())], size.sum(axis=1))
+        return True
+
+    def _learn_parts(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Encodes new runs of letters in lower case, 100 in a line."""
+        lines, line = joined(raw, starts, ends), 100
+        breaks = np.concatenate([np.cumsum(ends - starts + 1) - (ends - starts + 1), [len(lines) - 1]])[[*range(0, len(starts), line), len(starts)]]
+        foreign = lines >= 0x80
+        place = np.cumsum(1 + foreign) - 1 - foreign
+        out = np.repeat(lines, 1 + foreign)
+        out[place[foreign]], out[place[foreign] + 1] = self.spelling[lines[foreign], 0], self.spelling[lines[foreign], 1]
+        data, edges = out.tobytes(), place[breaks].tolist()
+        found = self.plain.encode_batch_fast([data[a:b].decode() for a, b in zip(edges, edges[1:], strict=False)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.array(e.ids, np.int64) for e in found)])
+        self.part_ids.extend(ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1))
+
+    def _whole(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by the tokeniser as it is, each distinct one encoded once."""
+        place = {w: i for i, w in enumerate(dict.fromkeys(parts))}
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in place], add_special_tokens=False)]
+        lists = [found[place[w]] for w in parts]
+        return np.fromiter(chain.from_iterable(lists), dtype=np.int64), np.array([len(x) for x in lists], dtype=np.int64)
+
+
+class TextTokenizer:
+    """Ids of texts, equal to the tokenizers library's on whole texts.
+
+    Where the vocabulary file's normaliser and pre-tokeniser are known to separate tokens at white
+    space, a text's ids are those of its words, one after another, and each distinct word is
+    encoded once.  With any other file, whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -54,50 +246,48 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}
-
-    def _learn(self, parts: set[str]) -> None:
-        new = [p for p in parts if p not in self.known]
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = found.ids
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.words = _Words(self.tokenizer) if self.by_word() else None
+
+    def by_word(self) -> bool:
+        known = json.loads(self.tokenizer.to_str())
+        split = {"type": "Split", "pattern": {"Regex": _BY_WORD[1]}, "behavior": "Removed", "invert": True}
+        octets = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        model = known["model"]
+        return (
+            known["normalizer"] == _BY_WORD[0]
+            and known["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, octets]}
+            and (model["type"], model["dropout"], model["unk_token"], model["continuing_subword_prefix"]) == ("BPE", None, None, None)
+            and bool(model["end_of_word_suffix"])
+            and not model.get("ignore_merges")
+            and not any(set(t["content"]) & set(" \t\n\x0b\x0c\r") or not _OUTSIDE.search(t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in known["added_tokens"])
+        )
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per text) of a string column, ``end_id`` after each text; null counts as empty."""
-        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
-        counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False)
-        coded = pieces.flatten().dictionary_encode()
-        parts = []
-        for word in coded.dictionary.to_pylist():
-            m = _SIMPLE.fullmatch(word)
-            parts.append((m[1].lower(), m[2]) if m else (word, "") if word else ("", ""))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self._learn({p for pair in parts for p in pair if p})
-        self.known.setdefault("", [])
-        ids = [self.known[a] + self.known[b] if b else self.known[a] for a, b in parts]
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        store = np.fromiter((t for x in ids for t in x), dtype=np.uint32, count=int(size.sum()))
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(np.arange(len(texts)), counts)
-        n = np.bincount(doc, weights=size[at], minlength=len(texts)).astype(np.int64) + 1
-        word_size = size[at]
-        word_start = np.concatenate([[0], np.cumsum(word_size)])[:-1]
-        source = np.repeat(begin[at] - word_start, word_size) + np.arange(int(word_size.sum()))
+        if self.words is None:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            n = np.array([len(x) + 1 for x in found], dtype=np.int64)
+            return np.fromiter((t for x in found for t in (*x, end_id)), dtype=np.uint32, count=int(n.sum())), n
+        raw, offsets = text_bytes(texts)
+        starts, ends, at = words(raw, offsets)
+        ids, size = self.words.of(raw, starts, ends)
+        n = np.diff(np.concatenate([[0], np.cumsum(size)])[at]) + 1
         out = np.full(int(n.sum()), end_id, dtype=np.uint32)
         keep = np.ones(len(out), dtype=bool)
         keep[np.cumsum(n) - 1] = False
-        out[keep] = store[source]
+        out[keep] = ids
         return out, n
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+_tokenizers: dict[str, TextTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str) -> TextTokenizer:
     """The worker's tokeniser for a vocabulary file; workers are reused, and so is what they know."""
     if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
+        _tokenizers[path] = TextTokenizer(path)
     return _tokenizers[path]
 
 
@@ -120,18 +310,18 @@ class _File:
         self.pending.append(ids)
         self.held += len(ids)
         self.ids += len(ids)
-        if self.held >= LANES * BLOCK_IDS:
+        if self.held >= BLOCK_IDS:
             self._blocks(final=False)
 
     def _blocks(self, final: bool) -> None:
         ids = np.concatenate(self.pending) if self.pending else np.zeros(0, np.uint32)
         full = len(ids) if final else len(ids) // BLOCK_IDS * BLOCK_IDS
-        blocks = [ids[i : min(i + BLOCK_IDS, full)] for i in range(0, full, BLOCK_IDS)]
-        for k in range(0, len(blocks), LANES):
-            for block, data in zip(blocks[k : k + LANES], encode_blocks(blocks[k : k + LANES]), strict=True):
-                head = struct.pack("<III", len(block), len(data), zlib.crc32(block.astype("<u4").tobytes()))
-                self.out.write(head + data)
-                self.size += len(head) + len(data)
+        for i in range(0, full, BLOCK_IDS):
+            block = ids[i : min(i + BLOCK_IDS, full)]
+            data = encode_block(block)
+            head = struct.pack("<III", len(block), len(data), zlib.crc32(block.astype("<u4").tobytes()))
+            self.out.write(head + data)
+            self.size += len(head) + len(data)
         self.pending, self.held = [ids[full:]], len(ids) - full
 
     def close(self) -> dict:
@@ -160,8 +350,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
         done = []
         words = tokenizer(vocabulary)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                piece = batch.slice(i, 1000)
+            for i, j in slices(batch.column(1), PIECE_BYTES):
+                piece = batch.slice(i, j - i)
                 ids, counts = words.encode(piece.column(1), end_id)
                 if current is None:
                     current = _File(target, part, number)
@@ -180,10 +370,24 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | No
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 
+def _body_and_index(file) -> tuple[bytes, bytes]:
+    """The coded blocks and the unpacked index of an open file."""
+    size = file.size()
+    index_at, packed, unpacked, check, end = struct.unpack("<QIII4s", file.read_at(24, size - 24))
+    body = file.read_at(index_at - len(MAGIC), len(MAGIC))
+    # an index holds 13 bytes a document, and zstd cannot pack more than 2**15 or so of them into one byte
+    if end != END or file.read_at(len(MAGIC), 0) != MAGIC or index_at + packed + 24 != size or unpacked > packed << 16:
+        raise ValueError("wrong marks or sizes")
+    plain = pa.decompress(file.read_at(packed, index_at), unpacked, "zstd", asbytes=True)
+    if zlib.crc32(plain) != check:
+        raise ValueError("wrong checksum of the index")
+    return body, plain
+
+
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian u32) of every document.
 
-    A task decodes one file at a time, and raises on a block whose checksum is wrong.
+    A task decodes one file at a time, and raises on a damaged index, or a block whose checksum is wrong.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,28 +395,27 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
             for uri, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, path = _open(uri)
                 with system.open_input_file(path) as file:
-                    size = file.size()
-                    index_at, packed, unpacked, check = struct.unpack("<QIII", file.read_at(20, size - 24))
-                    plain = pa.decompress(file.read_at(packed, index_at), unpacked, "zstd", asbytes=True)
-                    body = file.read_at(index_at - len(MAGIC), len(MAGIC))
-                    if file.read_at(len(MAGIC), 0) != MAGIC or zlib.crc32(plain) != check:
-                        raise ValueError(f"{uri} is damaged")
+                    try:
+                        body, plain = _body_and_index(file)
+                        heads, at = [], 0
+                        while at < len(body):
+                            heads.append((*struct.unpack_from("<III", body, at), at + 12))
+                            at += 12 + heads[-1][1]
+                    except (OSError, OverflowError, ValueError, struct.error) as broken:
+                        raise ValueError(f"{uri} is damaged") from broken
                 n = struct.unpack_from("<I", plain)[0]
                 names = np.frombuffer(plain, "<i8", n, 4)
                 known = np.frombuffer(plain, "u1", n, 4 + 8 * n) == 1
                 counts = np.frombuffer(plain, "<u4", n, 4 + 9 * n).astype(np.int64)
-                heads, at = [], 0
-                while at < len(body):
-                    heads.append((*struct.unpack_from("<III", body, at), at + 12))
-                    at += 12 + heads[-1][1]
                 doc, held, base = 0, np.zeros(0, np.uint32), start
-                for k in range(0, len(heads), LANES):
-                    group = heads[k : k + LANES]
-                    found = decode_blocks([body[a : a + m] for _, m, _, a in group], [h[0] for h in group])
-                    for ids, head in zip(found, group, strict=True):
-                        if zlib.crc32(ids.astype("<u4").tobytes()) != head[2]:
-                            raise ValueError(f"{uri} has a damaged block at {head[3]}")
-                    held = np.concatenate([held, *found])
+                for number, octets, check, a in heads:
+                    try:
+                        found = decode_block(body[a : a + octets], number)
+                    except (IndexError, ValueError, OverflowError, struct.error, zlib.error) as broken:
+                        raise ValueError(f"{uri} has a damaged block at {a}") from broken
+                    if zlib.crc32(found.astype("<u4").tobytes()) != check:
+                        raise ValueError(f"{uri} has a damaged block at {a}")
+                    held = np.concatenate([held, found])
                     last = doc + int(np.searchsorted(np.cumsum(counts[doc:]), len(held), side="right"))
                     for d in range(doc, last, 1000):
                         mine = counts[d : min(d + 1000, last)]
