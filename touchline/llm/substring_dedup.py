@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.kernels import hash_words, rolling, slices, text_bytes, words
+from touchline.llm.shared import short_batches
 
 WIDTH = 20
 DEPTH = 2
@@ -32,7 +33,7 @@ LEAST_BITS, MOST_BITS = 16, 30
 BLOCK_BYTES = 1 << 18
 MERGERS = 64
 #: A task sends its part of the sketch after so many windows (8 bytes each).
-PART_WINDOWS = 4_000_000
+PART_WINDOWS = 2_000_000
 _BASES = (0x5851F42D4C957F2D, 0x27BB2EE687B0B0FD)
 _LAST = (1 << 63) - 1
 
@@ -62,7 +63,7 @@ def unpack(data: bytes, size: int) -> np.ndarray:
 
 def _row_cells(hashes: np.ndarray, bits: int, row: int) -> np.ndarray:
     """The cells of a sketch row: the low bits of the hashes, then the high ones."""
-    return hashes >> np.uint64(64 - bits) if row else hashes & np.uint64((1 << bits) - 1)
+    return (hashes >> np.uint64(64 - bits) if row else hashes & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 def sketch_part(hashes: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,13 +75,15 @@ def sketch_part(hashes: np.ndarray, bits: int, blocks: int) -> Iterator[tuple[in
     for r in range(DEPTH):
         cells = _row_cells(hashes, bits, r)
         cells.sort()
-        cells = cells.view(np.int64)
-        start = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
-        many = np.diff(np.append(start, len(cells))) > 1
-        cells, size = cells[start], (1 << bits) // blocks
-        edges = np.searchsorted(cells, np.arange(blocks + 1) * size)
+        fresh = np.ones(len(cells), dtype=bool)
+        fresh[1:] = cells[1:] != cells[:-1]
+        many = np.zeros(len(cells), dtype=bool)
+        many[:-1] = ~fresh[1:]
+        cells, many, size = cells[fresh], many[fresh], (1 << bits) // blocks
+        edges = np.searchsorted(cells, (np.arange(1, blocks) * size).astype(np.uint32))
+        edges = np.concatenate([[0], edges, [len(cells)]])
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            mine = cells[edges[b] : edges[b + 1]] - b * size
+            mine = cells[edges[b] : edges[b + 1]].astype(np.int64) - b * size
             yield r * blocks + b, mine, mine[many[edges[b] : edges[b + 1]]]
 
 
@@ -89,7 +92,7 @@ def repeated(hashes: np.ndarray, more: np.ndarray, bits: int) -> np.ndarray:
     out = np.ones(len(hashes), dtype=bool)
     for r in range(DEPTH):
         cells = _row_cells(hashes, bits, r)
-        out &= (more[r, (cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        out &= (more[r, (cells >> np.uint32(3)).astype(np.int64)] >> (cells & np.uint32(7)).astype(np.uint8)) & 1 == 1
     return out
 
 
@@ -106,7 +109,9 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> list[tuple
         codec, held, size = pa.Codec("zstd", compression_level=1), [], 0
 
         def part() -> pa.RecordBatch:
-            rows = [(b, pack(once, codec), pack(more, codec)) for b, once, more in sketch_part(np.concatenate(held), bits, blocks)]
+            hashes = np.concatenate(held)
+            held.clear()
+            rows = [(b, pack(once, codec), pack(more, codec)) for b, once, more in sketch_part(hashes, bits, blocks)]
             numbers, once, more = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["block", "once", "more"])
 
@@ -118,7 +123,7 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> list[tuple
                 size += len(held[-1])
                 if size > PART_WINDOWS:
                     yield part()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield part()
 
@@ -140,7 +145,9 @@ def merged_sketch(texts: DataFrame, bits: int, width: int = WIDTH) -> list[tuple
             if len(marks):
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pack(marks, codec)], pa.binary())], names=["block", "more"])
 
-    parts = texts.mapInArrow(count, "block int, once binary, more binary").repartition(MERGERS, "block").mapInArrow(merge, "block int, more binary").toArrow()
+    parts = texts.mapInArrow(count, "block int, once binary, more binary").repartition(MERGERS, "block").mapInArrow(merge, "block int, more binary")
+    with short_batches(texts.sparkSession):
+        parts = parts.toArrow()
     return list(zip(*(c.to_pylist() for c in parts.columns), strict=True))
 
 
