@@ -103,17 +103,31 @@ def test_substring_dedup(docs, table, empty):
     assert substring_dedup.mark_repeats(empty).count() == 0
 
 
-def test_exact_groups(docs, table, empty):
+@pytest.mark.parametrize("hot", [1, 20, exact_dedup.HOT])
+def test_exact_groups(docs, table, empty, hot):
+    """Few hot keys, and so small a bar that every text with a copy and every common beginning is hot."""
     groups = {}
     for i, text, *_ in table:
         groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), i))
     want = {i: (min(g)[1], len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for _, i in g}
-    got = exact_dedup.exact_groups(docs).collect()
+    got = exact_dedup.exact_groups(docs, hot=hot, salts=3).collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in got} == want
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
     assert exact_dedup.exact_groups(empty).count() == 0
 
 
+def test_exact_groups_of_repeated_and_null_ids(spark):
+    rows = [(1, "a b"), (1, "ab"), (1, "a b"), (None, "a  b"), (None, None), (7, " "), (2, "other"), (2, "ab")]
+    many = spark.createDataFrame(rows * 40, "doc_id long, text string")
+    for hot in (1, 3, 500):
+        got = exact_dedup.exact_groups(many, hot=hot, salts=4).collect()
+        by = {(r.doc_id, r.text_sha256): r for r in got}
+        sha = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("ab", "", "other")}
+        assert len(got) == len(rows) * 40 and sum(r.kept for r in got) == 3
+        assert {(r.keep_id, r.group_size) for r in got if r.text_sha256 == sha["ab"]} == {(None, 200)}
+        assert (by[7, sha[""]].keep_id, by[7, sha[""]].group_size, by[2, sha["other"]].group_size) == (7, 80, 40)
+
+
 def test_mix(docs, table, empty):
     plan = mixing.mix_plan(docs).collect()
     assert len(plan) == len(table)
