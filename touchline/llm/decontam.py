@@ -10,9 +10,10 @@ minima over the sum of maxima).
    that many positions of the window hold a shingle of some item of the size; all others are
    skipped without loss.
 2. Every placed window gets a 64-bit SimHash of its words.
-3. Multi-index Hamming blocks: fingerprints are cut into ``RADIUS`` + 1 blocks; two fingerprints
-   within the radius agree in at least one, so joining windows and items of one size on
-   (block number, block bits) finds all of them, and the distance is then checked.
+3. Multi-index Hamming blocks: fingerprints are cut into ``BLOCKS`` blocks, more than half of the
+   radius; two fingerprints within the radius differ in at most one bit of at least one block.  So
+   joining windows and items of one size on (block number, block bits), items with the bits of all
+   neighbours one bit away too, finds all of them, and the distance is then checked.
 4. The exact weighted similarity decides.
 
 Generators over computed arrays are the outer variants: for an inner one the optimiser adds a
@@ -24,12 +25,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.shared import BROADCAST_ROWS, stash, text_or_empty
+from touchline.llm.shared import BROADCAST_BYTES, stash, text_or_empty
 
 WIDTH = 5
 THRESHOLD = 0.75
-#: Of 64 bits, about 10 differ (standard deviation 3) between bags of words at the threshold; this is four deviations more.
-RADIUS = 23
+#: Of 64 bits, about 10 differ (standard deviation 3) between bags of words at the threshold; this is over three deviations more.
+RADIUS = 21
+BLOCKS = RADIUS // 2 + 1
 
 _FINGERPRINT = """aggregate(transform(sequence(0, 63), b ->
     if(2 * aggregate({hashes}, 0, (n, h) -> n + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L)),
@@ -47,10 +49,14 @@ def shingle_hashes(words: str, width: int) -> Column:
 
 
 def with_bag(df: DataFrame, words: str, name: str) -> DataFrame:
-    """Adds the shingles as strings, each numbered among its equals, which makes a set of the bag."""
+    """Adds the shingles as strings, each numbered among its equals, which makes a set of the bag.
+
+    Only a bag that repeats a shingle is searched for the numbers.
+    """
     plain = f"if(size({words}) = 0, array(), transform(sequence(0, greatest(size({words}) - {WIDTH}, 0)), i -> array_join(slice({words}, i + 1, {WIDTH}), ' ')))"
     numbered = "transform(_bag, (s, i) -> concat(cast(size(filter(slice(_bag, 1, i), t -> t = s)) as string), ' ', s))"
-    return df.withColumn("_bag", F.expr(plain)).withColumn(name, F.expr(numbered)).drop("_bag")
+    simple = "transform(_bag, s -> concat('0 ', s))"
+    return df.withColumn("_bag", F.expr(plain)).withColumn(name, F.expr(f"if(size(array_distinct(_bag)) = size(_bag), {simple}, {numbered})")).drop("_bag")
 
 
 def with_fingerprint(df: DataFrame, words: str) -> DataFrame:
@@ -58,10 +64,14 @@ def with_fingerprint(df: DataFrame, words: str) -> DataFrame:
     return hashed.withColumn("mark", F.expr(_FINGERPRINT.format(hashes="_hashes"))).drop("_hashes")
 
 
-def blocks(mark: str, radius: int = RADIUS) -> Column:
-    """array<struct<block, bits>>: ``radius`` + 1 blocks that cover the 64 bits."""
-    edges = [64 * j // (radius + 1) for j in range(radius + 2)]
-    parts = [F.struct(F.lit(j).alias("block"), F.shiftrightunsigned(mark, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
+def blocks(mark: str, count: int = BLOCKS, neighbours: bool = False) -> Column:
+    """array<struct<block, bits>>: ``count`` blocks that cover the 64 bits; with ``neighbours``, also every value one bit away."""
+    edges = [64 * j // count for j in range(count + 1)]
+    parts = []
+    for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        bits = F.shiftrightunsigned(mark, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        flips = [0, *(1 << k for k in range(b - a))] if neighbours else [0]
+        parts += [F.struct(F.lit(j).alias("block"), bits.bitwiseXOR(F.lit(x)).alias("bits")) for x in flips]
     return F.array(*parts)
 
 
@@ -86,7 +96,7 @@ def _placed(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
         own = own.select("size", F.explode_outer("hashes").alias("item_hash")).distinct()
         hashed = docs.select("doc_id", (F.size("words") - (width - 1)).alias("total"), shingle_hashes("words", width).alias("hashes"))
         hashed = hashed.select("doc_id", "total", F.posexplode_outer("hashes").alias("p", "hash"))
-        own = F.broadcast(own) if own.count() <= 50 * BROADCAST_ROWS else own
+        own = F.broadcast(own) if own.count() * 12 <= BROADCAST_BYTES else own  # an int and a long a row
         hits = hashed.join(own, F.col("hash") == F.col("item_hash")).select("doc_id", "size", (F.col("size") - width + 1).alias("n"), "total", "p")
         found = hits if found is None else found.union(hits)
     if found is None:
@@ -103,7 +113,8 @@ def _placed(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """One row per (doc_id, item_id) that match: also similarity (of the best window) and start (its first word).
 
-    Null and empty texts match nothing.  An item with fewer than five words is one shingle.
+    Null and empty texts match nothing; an empty table of either kind gives an empty result.  Of
+    windows equally alike, the first counts; items with equal texts are matched each.  An item with fewer than five words is one shingle.
     Rows that share an id are one document.  A null id is not reported.  Only id and text columns
     are read.  The benchmark's shingle table is broadcast up to a fixed number of rows, and joined
     by shuffle beyond it.
@@ -119,8 +130,9 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     cut = spread.select("doc_id", "size", "start", F.expr("slice(words, start + 1, size)").alias("window")).filter("size(window) > 0")
     windows = stash(with_fingerprint(cut, "window"), "windows")
 
-    left = windows.select("doc_id", "size", "start", "mark", F.explode_outer(blocks("mark", radius)).alias("key")).select("doc_id", "size", "start", "mark", "key.block", "key.bits")
-    right = items.select("item_id", F.col("size").alias("item_size"), F.col("mark").alias("item_mark"), F.explode_outer(blocks("mark", radius)).alias("key"))
+    count = radius // 2 + 1  # so many blocks cannot all differ in two bits or more
+    left = windows.select("doc_id", "size", "start", "mark", F.explode_outer(blocks("mark", count)).alias("key")).select("doc_id", "size", "start", "mark", "key.block", "key.bits")
+    right = items.select("item_id", F.col("size").alias("item_size"), F.col("mark").alias("item_mark"), F.explode_outer(blocks("mark", count, neighbours=True)).alias("key"))
     right = right.select("item_id", "item_size", "item_mark", F.col("key.block").alias("item_block"), F.col("key.bits").alias("item_bits"))
     near = left.join(right, (F.col("size") == F.col("item_size")) & (F.col("block") == F.col("item_block")) & (F.col("bits") == F.col("item_bits")))
     near = near.filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius).select("doc_id", "size", "start", "item_id").distinct()

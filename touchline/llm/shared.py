@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 #: The words of a text, as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A table of at most so many short rows may be broadcast; larger ones are joined by shuffle.
+#: A table whose rows take at most so many bytes may be broadcast; larger ones are joined by shuffle.
+BROADCAST_BYTES = 12_000_000
+#: The same for rows with one short name: at most so many.
 BROADCAST_ROWS = 20_000
 
 
