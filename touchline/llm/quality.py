@@ -10,6 +10,7 @@ uses both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,7 +202,9 @@ def fit(train: DataFrame) -> QualityModel:
 
     kind = "part int, sums array<double>"
     partial = train.select("stats", "label", "half").mapInPandas(normal, kind)
-    sums = np.sum([r["sums"] for r in partial.repartition(SUMMING).mapInPandas(added, kind).collect()], axis=0)
+    # in two levels, so that no task adds up the partitions of a large table
+    between = partial.repartition(max(SUMMING, min(1000, math.isqrt(row["n"] // 1000)))).mapInPandas(added, kind)
+    sums = np.sum([r["sums"] for r in between.repartition(SUMMING).mapInPandas(added, kind).collect()], axis=0)
     gram, right = sums[: 2 * dims * dims].reshape(2, dims, dims), sums[2 * dims * dims :].reshape(2, dims)
 
     def solve(g: np.ndarray, r: np.ndarray) -> np.ndarray:
