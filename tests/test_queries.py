@@ -1,5 +1,7 @@
 """Every registered query with SQL gives DuckDB's rows on the smallest tables."""
 
+import datetime
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -31,6 +33,8 @@ def plain(frame: pd.DataFrame) -> list[tuple]:
             return str(int(v))
         if isinstance(v, (int, float, np.number)):
             return f"{float(v):.5f}".replace("-0.00000", "0.00000")
+        if isinstance(v, datetime.date):  # the other engine's frames hold time stamps of midnight
+            return str(pd.Timestamp(v))
         return str(v)
 
     return sorted(tuple(cell(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))

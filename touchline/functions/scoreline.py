@@ -63,6 +63,43 @@ def share(grid: Column, holds) -> Column:
     return F.aggregate(F.filter(flat(grid), lambda c: holds(c["h"], c["a"])), F.lit(0.0), lambda s, c: s + c["p"])
 
 
+def outcomes(mu_home: Column, mu_away: Column, rho: float = 0.0) -> Column:
+    """struct<home, draw, away>: the three probabilities without the grid.
+
+    One fold over the goals adds up both marginals and what of them stands below, so it takes 11
+    steps and not 121 cells; the four corrected cells are then set right.
+    """
+
+    def poisson(mu: Column) -> Column:
+        first = F.exp(-mu)
+        return F.transform(F.sequence(F.lit(0), F.lit(MAX_GOALS)), lambda k: first * F.pow(mu, k) / F.factorial(k))
+
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("x", "y", "home", "draw", "away")])
+    pairs = F.zip_with(poisson(mu_home), poisson(mu_away), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    sums = F.aggregate(
+        pairs,
+        zero,
+        lambda s, p: F.struct(
+            (s["x"] + p["x"]).alias("x"),
+            (s["y"] + p["y"]).alias("y"),
+            (s["home"] + p["x"] * s["y"]).alias("home"),
+            (s["draw"] + p["x"] * p["y"]).alias("draw"),
+            (s["away"] + p["y"] * s["x"]).alias("away"),
+        ),
+        lambda s: _corrected(s, mu_home, mu_away, rho),
+    )
+    return sums
+
+
+def _corrected(s: Column, m: Column, n: Column, rho: float) -> Column:
+    low, least = F.exp(-m - n), F.lit(1e-10)
+    d00, d01 = F.greatest(1 - m * n * rho, least) - 1, (F.greatest(1 + m * rho, least) - 1) * n
+    d10, d11 = (F.greatest(1 + n * rho, least) - 1) * m, (F.greatest(F.lit(1.0 - rho), least) - 1) * m * n
+    home, draw, away = s["home"] + low * d10, s["draw"] + low * (d00 + d11), s["away"] + low * d01
+    total = home + draw + away
+    return F.struct((home / total).alias("home"), (draw / total).alias("draw"), (away / total).alias("away"))
+
+
 def home_win(grid: Column) -> Column:
     return share(grid, lambda h, a: h > a)
 

@@ -24,6 +24,12 @@ def shift_season(label: Column, by: int) -> Column:
     return label_of_start(F.pmod(F.substring(label, 1, 2).cast("int") + by, F.lit(100)))
 
 
+def season_start(label: Column) -> Column:
+    """The year in which a season starts; 50 to 99 are of the last century.  Seasons sort by this, not by their labels."""
+    year = F.substring(label, 1, 2).cast("int")
+    return year + F.when(year >= 50, 1900).otherwise(2000)
+
+
 def next_season(label: Column) -> Column:
     return shift_season(label, 1)
 

@@ -54,10 +54,21 @@ def _struct_type(df: DataFrame, time: str, values: Sequence[str]):
     return df.select(F.struct(F.col(time).alias("_at"), *values).alias("s")).schema["s"].dataType
 
 
-def asof_top_n(left: DataFrame, right: DataFrame, on: Column, before: Column, left_key: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The ``n`` latest right rows strictly before each left row."""
-    joined = left.join(right, on & before)
-    return joined.withColumn("_n", F.row_number().over(Window.partitionBy(*left_key).orderBy(*order))).filter(F.col("_n") <= n)
+def asof_top_n(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, tie: Sequence[str], n: int) -> DataFrame:
+    """The ``n`` latest right rows of the same ``by`` strictly before each left row, ``_n`` counting from the latest.
+
+    Right rows are numbered by time, and one window over the union counts those before every left
+    row; so each left row asks for ``n`` numbers by equal keys, and no row meets all of its past.
+    """
+    names = list(by)
+    numbered = right.withColumn("_k", F.row_number().over(Window.partitionBy(*names).orderBy(right_time, *tie)))
+    shape = left.select(F.struct(*left.columns).alias("s")).schema["s"].dataType
+    events = left.select(*names, F.col(left_time).alias("_time"), F.lit(0).alias("_past"), F.struct(*left.columns).alias("_row"))
+    events = events.unionByName(right.select(*names, F.col(right_time).alias("_time"), F.lit(1).alias("_past"), F.lit(None).cast(shape).alias("_row")))
+    before = Window.partitionBy(*names).orderBy("_time", "_past").rowsBetween(Window.unboundedPreceding, 0)
+    asked = events.withColumn("_c", F.sum("_past").over(before)).filter("_row is not null and _c > 0")
+    asked = asked.select("_row.*", "_c", F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("_c") - (n - 1)), "_c")).alias("_k"))
+    return asked.join(numbered.drop(right_time) if right_time in left.columns else numbered, [*names, "_k"]).withColumn("_n", (F.col("_c") - F.col("_k") + 1).cast("int")).drop("_c", "_k")
 
 
 def nearest(left: DataFrame, right: DataFrame, on: Sequence[str], left_at: str, right_at: str, value: str, tolerance: int) -> DataFrame:

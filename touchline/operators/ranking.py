@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A table whose numbers take at most so many bytes may be broadcast.
+BROADCAST_BYTES = 16_000_000
+
 
 def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, rank: str | None = None) -> DataFrame:
     """The first ``n`` rows of each group; ``order`` must end in a unique key."""
@@ -42,8 +45,15 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
 
 
 def nearest_vectors(subjects: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, n: int) -> DataFrame:
-    """For each subject (a few rows, broadcast), the ``n`` nearest other vectors by Euclidean distance."""
-    subject = F.broadcast(subjects.select(F.col(id_col).alias("subject"), F.col(vector_col).alias("_s")))
+    """For each subject, the ``n`` nearest other vectors by Euclidean distance.
+
+    Subjects are broadcast if their numbers take at most ``BROADCAST_BYTES``; more of them are
+    met block by block, every block of vectors with every block of subjects.  Each task keeps the
+    ``n`` nearest it has seen of a subject, so only those are shuffled.
+    """
+    subject = subjects.select(F.col(id_col).alias("subject"), F.col(vector_col).alias("_s"))
+    octets = subject.agg(F.coalesce(F.sum(F.size("_s")), F.lit(0)) * 8).first()[0]
+    subject = F.broadcast(subject) if octets <= BROADCAST_BYTES else subject
     squares = F.aggregate(F.zip_with("_s", vector_col, lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda t, x: t + x)
     away = vectors.join(subject, F.col(id_col) != F.col("subject")).select("subject", F.col(id_col).alias("neighbour"), F.sqrt(squares).alias("distance"))
     return top_n_per_group(away, ["subject"], [F.asc("distance"), F.asc("neighbour")], n, "place")

@@ -11,19 +11,25 @@ from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 7
 
 
-def paired_bootstrap(diffs: DataFrame, column: str, n_boot: int = 10_000, buckets: int = 256, seed: int = SEED) -> DataFrame:
+#: Rows of a bucket, on average; so many rows times 1000 draws are in memory at once.
+BUCKET_ROWS = 2000
+
+
+def paired_bootstrap(diffs: DataFrame, column: str, n_boot: int = 10_000, seed: int = SEED) -> DataFrame:
     """One row: mean difference and its 95 % interval over resampled matches.
 
-    Rows are dealt to ``buckets`` by a hash; a resample of n rows gives each bucket Poisson counts,
-    so it is enough to keep each bucket's rows in one task and to add up weighted sums by draw.
+    Rows are dealt to buckets of about ``BUCKET_ROWS`` by a hash; a resample of n rows gives each
+    bucket Poisson counts, so it is enough to keep each bucket's rows in one task and to add up
+    weighted sums by draw.
     """
-    mean = diffs.agg(F.avg(column).alias("mean")).first()["mean"]
+    row = diffs.agg(F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    buckets = max(1, -(-row["n"] // BUCKET_ROWS))
     keyed = diffs.select(F.pmod(F.xxhash64(*diffs.columns), F.lit(buckets)).alias("bucket"), F.col(column).cast("double").alias("x"))
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
@@ -37,7 +43,24 @@ def paired_bootstrap(diffs: DataFrame, column: str, n_boot: int = 10_000, bucket
 
     draws = keyed.groupBy("bucket").applyInPandas(draw, "draw int, total double, n double")
     means = draws.groupBy("draw").agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
-    return means.agg(F.lit(mean).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("draws"))
+    return means.agg(F.lit(row["mean"]).alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.count("m").alias("draws"))
+
+
+def fixture_rates(fixtures: DataFrame, played: DataFrame, tmh: DataFrame, by: str = "League", prior: float = 5.0) -> DataFrame:
+    """``fixtures`` with mu_home and mu_away: the league's home and away means times both teams' relative attack and defence.
+
+    A team's ratio is drawn toward 1 by ``prior`` average matches, so that few matches say little.
+    """
+    mean = played.groupBy(by).agg(F.avg("FTHG").alias("_home"), F.avg("FTAG").alias("_away"))
+    teams = tmh.groupBy(by, "Team").agg(F.count(F.lit(1)).alias("_n"), F.sum("GoalsFor").alias("_for"), F.sum("GoalsAgainst").alias("_against")).join(mean, by)
+    usual = F.greatest((F.col("_home") + F.col("_away")) / 2, F.lit(1e-6))
+    ratio = [((F.col(c) / usual + prior) / (F.col("_n") + prior)).alias(n) for c, n in (("_for", "_attack"), ("_against", "_defence"))]
+    teams = teams.select(by, "Team", *ratio)
+    out = fixtures.join(mean, by)
+    for side, name in (("HomeTeam", "h"), ("AwayTeam", "a")):
+        out = out.join(teams.select(by, F.col("Team").alias(side), F.col("_attack").alias(f"_attack_{name}"), F.col("_defence").alias(f"_defence_{name}")), [by, side], "left")
+    out = out.withColumn("mu_home", F.col("_home") * F.col("_attack_h") * F.col("_defence_a")).withColumn("mu_away", F.col("_away") * F.col("_attack_a") * F.col("_defence_h"))
+    return out.drop("_home", "_away", "_attack_h", "_attack_a", "_defence_h", "_defence_a")
 
 
 def simulate_season(fixtures: DataFrame, table: DataFrame, by: str, n_sims: int = 10_000, seed: int = SEED, relegation: int = 3) -> DataFrame:
@@ -91,23 +114,29 @@ def shapley(value: Callable[[tuple[str, ...]], float], members: list[str]) -> di
     return out
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, statistic: Callable[[pd.DataFrame], float], resamples: int = 1000, seed: int = SEED, tasks: int = 32) -> DataFrame:
-    """draw, value: a statistic over resampled clusters.
+def shapley_column(member: str, members: list[str], worth: Callable[[tuple[str, ...]], Column]) -> Column:
+    """A row's exact contribution of a member, from columns that hold what each coalition is worth."""
+    rest = [x for x in members if x != member]
+    joined = lambda c: tuple(x for x in members if x in c or x == member)
+    return sum((F.lit(shapley_weight(len(c), len(members))) * (worth(joined(c)) - worth(c)) for c in coalitions(rest)), F.lit(0.0))
+
 
-    For a bounded sample (it is shipped to the tasks, which is checked); draws are dealt to tasks.
+def cluster_bootstrap(df: DataFrame, cluster: str, numerator: str, denominator: str, resamples: int = 1000, seed: int = SEED) -> DataFrame:
+    """draw, value: the ratio of two sums over resampled clusters.
+
+    Clusters are reduced to their two sums first; each gets a Poisson weight a draw, so a resample
+    is an aggregation and no row reaches the driver.
     """
-    rows = df.limit(200_001).toPandas()
-    if len(rows) > 200_000:
-        raise ValueError("a cluster bootstrap takes a sample of at most 200,000 rows")
-    rows = rows.sort_values(list(rows.columns))
-    groups = [g for _, g in rows.groupby(cluster, sort=True)]
+    sums = df.groupBy(cluster).agg(F.sum(numerator).cast("double").alias("x"), F.sum(denominator).cast("double").alias("y"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, y = np.zeros(resamples), np.zeros(resamples)
         for frame in frames:
-            values = []
-            for d in frame["id"]:
-                rng = np.random.default_rng([seed, int(d)])
-                values.append(statistic(pd.concat([groups[i] for i in rng.integers(0, len(groups), len(groups))])))
-            yield pd.DataFrame({"draw": frame["id"], "value": values})
-
-    return df.sparkSession.range(0, resamples, 1, tasks).mapInPandas(run, "draw long, value double")
+            for name, a, b in zip(frame[cluster], frame["x"], frame["y"], strict=True):
+                w = np.random.default_rng([seed, *str(name).encode()]).poisson(1.0, resamples)
+                x += w * a
+                y += w * b
+        yield pd.DataFrame({"draw": np.arange(resamples), "x": x, "y": y})
+
+    parts = sums.mapInPandas(run, "draw int, x double, y double").groupBy("draw").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    return parts.select("draw", (F.col("x") / F.nullif(F.col("y"), F.lit(0.0))).alias("value"))

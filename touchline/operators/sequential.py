@@ -44,42 +44,56 @@ class EloState:
         return a, b
 
 
+def _walked(matches: DataFrame, group: str | None, options: dict) -> DataFrame:
+    """match_id, Date, played, teams, ratings before and after of every match."""
+    neutral = F.coalesce(F.col("Neutral"), F.lit(False)) if "Neutral" in matches.columns else F.lit(False)
+    goals = F.col("FTHG").cast("double"), F.col("FTAG").cast("double")
+    played = goals[0].isNotNull() & goals[1].isNotNull()
+    key = F.col(group).cast("string") if group else F.lit("all")
+    rows = matches.select(key.alias("part"), "match_id", "Date", played.alias("played"), "Season", "HomeTeam", "AwayTeam", goals[0].alias("h"), goals[1].alias("a"), neutral.alias("n"))
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, state = None, EloState(**options)
+        for frame in frames:
+            out = []
+            for r in frame.itertuples():
+                if r.part != part:
+                    part, state = r.part, EloState(**options)
+                before = state.match(r.HomeTeam, r.AwayTeam, r.Season, r.h, r.a, bool(r.n))
+                out.append((*before, state.rating[r.HomeTeam], state.rating[r.AwayTeam]))
+            columns = ["home_elo", "away_elo", "home_after", "away_after"]
+            yield pd.concat([frame[["match_id", "Date", "played", "HomeTeam", "AwayTeam"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
+
+    placed = rows.repartition("part") if group else rows.repartition(1)
+    ordered = placed.sortWithinPartitions("part", "Date", "played", "match_id")
+    kind = "match_id long, Date date, played boolean, HomeTeam string, AwayTeam string, home_elo double, away_elo double, home_after double, away_after double"
+    return ordered.mapInPandas(walk, kind)
+
+
 def elo_walk(matches: DataFrame, group: str | None = None, **options) -> DataFrame:
     """match_id, home_elo, away_elo before each match.
 
     Input: match_id, Date, Season, HomeTeam, AwayTeam, FTHG, FTAG and optionally Neutral.  Within
     a group of connected teams the walk is sequential by nature; ``group`` names a column whose
-    values share no team, and each of them is walked by a task of its own.  Only seven short
-    columns go there.  Unplayed matches of a day come before played ones, the id breaks ties.
+    values share no team, and groups are walked side by side.  Spark sorts, and a task holds one
+    batch of short rows and a rating per team, so its memory does not grow with the matches.
+    Unplayed matches of a day come before played ones, the id breaks ties.
     """
-    neutral = F.coalesce(F.col("Neutral"), F.lit(False)) if "Neutral" in matches.columns else F.lit(False)
-    rows = matches.select(F.col(group).alias("_group") if group else F.lit("all").alias("_group"), "match_id", "Date", "Season", "HomeTeam", "AwayTeam", F.col("FTHG").cast("double").alias("h"), F.col("FTAG").cast("double").alias("a"), neutral.alias("n"))
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.assign(played=frame["h"].notna()).sort_values(["Date", "played", "match_id"], kind="stable")
-        state = EloState(**options)
-        out = [state.match(r.HomeTeam, r.AwayTeam, r.Season, r.h, r.a, bool(r.n)) for r in frame.itertuples()]
-        return pd.DataFrame({"match_id": frame["match_id"].to_numpy(), "home_elo": [x[0] for x in out], "away_elo": [x[1] for x in out]})
-
-    return rows.groupBy("_group").applyInPandas(walk, "match_id long, home_elo double, away_elo double")
+    return _walked(matches, group, options).select("match_id", "home_elo", "away_elo")
 
 
-def final_ratings(matches: DataFrame, **options) -> DataFrame:
-    """Team, elo after its last match."""
+def _by_team(matches: DataFrame, group: str | None, options: dict) -> DataFrame:
+    """Two rows per match: Team, elo before, elo after, and when."""
+    walked = _walked(matches, group, options)
+    sides = [F.struct(F.col(f"{s}Team").alias("Team"), F.col(f"{e}_elo").alias("elo"), F.col(f"{e}_after").alias("after")) for s, e in (("Home", "home"), ("Away", "away"))]
+    return walked.select(F.struct("Date", "played", "match_id").alias("at"), F.explode(F.array(*sides)).alias("s")).select("at", "s.*")
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        state = EloState(**options)
-        for r in frame.sort_values(["Date", "match_id"], kind="stable").itertuples():
-            state.match(r.HomeTeam, r.AwayTeam, r.Season, r.FTHG, r.FTAG)
-        teams = sorted(state.rating)
-        return pd.DataFrame({"Team": teams, "elo": [state.rating[t] for t in teams]})
 
-    rows = matches.select(F.lit(1).alias("_group"), "match_id", "Date", "Season", "HomeTeam", "AwayTeam", F.col("FTHG").cast("double").alias("FTHG"), F.col("FTAG").cast("double").alias("FTAG"))
-    return rows.groupBy("_group").applyInPandas(walk, "Team string, elo double")
+def final_ratings(matches: DataFrame, group: str | None = None, **options) -> DataFrame:
+    """Team, elo after its last match: the end of the same walk."""
+    return _by_team(matches, group, options).groupBy("Team").agg(F.max_by("after", "at").alias("elo"))
 
 
-def in_batches(frames: Iterator[pd.DataFrame], state: EloState) -> Iterator[pd.DataFrame]:
-    """The same fold over date-ordered micro-batches, for a stream."""
-    for frame in frames:
-        out = [state.match(r.HomeTeam, r.AwayTeam, r.Season, r.FTHG, r.FTAG) for r in frame.sort_values(["Date", "match_id"]).itertuples()]
-        yield frame.assign(home_elo=[x[0] for x in out], away_elo=[x[1] for x in out])
+def current_and_peak(matches: DataFrame, group: str | None = None, **options) -> DataFrame:
+    """Team, its rating before its latest match, and the highest it brought into any."""
+    return _by_team(matches, group, options).groupBy("Team").agg(F.max_by("elo", "at").alias("current"), F.max("elo").alias("peak"))

@@ -56,7 +56,7 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("lines") % 6).cast("int").alias("AST"),
         (F.col("price") % 311 / 100.0).alias("HxG"),
         (F.col("price") % 239 / 100.0).alias("AxG"),
-    ).withColumn("FTR", F.when(F.col("FTHG") > F.col("FTAG"), "H").when(F.col("FTHG") < F.col("FTAG"), "A").otherwise("D"))
+    ).withColumn("FTR", F.when(F.col("FTHG") > F.col("FTAG"), "H").when(F.col("FTHG") < F.col("FTAG"), "A").when(F.col("FTHG") == F.col("FTAG"), "D"))
 
 
 SIDES = {"GoalsFor": ("FTHG", "FTAG"), "GoalsAgainst": ("FTAG", "FTHG"), "ShotsFor": ("HS", "AS"), "ShotsAgainst": ("AS", "HS"), "ShotsOnTargetFor": ("HST", "AST"), "ShotsOnTargetAgainst": ("AST", "HST"), "xGFor": ("HxG", "AxG"), "xGAgainst": ("AxG", "HxG")}
@@ -109,6 +109,12 @@ def players(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEASON_SQL = "lpad(CAST({y} % 100 AS VARCHAR), 2, '0') || lpad(CAST(({y} + 1) % 100 AS VARCHAR), 2, '0')"
 
 
+def start_sql(label: str) -> str:
+    """The year in which a season starts, from its label."""
+    year = f"CAST(substr({label}, 1, 2) AS INTEGER)"
+    return f"({year} + CASE WHEN {year} >= 50 THEN 1900 ELSE 2000 END)"
+
+
 def season_sql(date: str) -> str:
     return SEASON_SQL.format(y=f"(year({date}) - CASE WHEN month({date}) >= 7 THEN 0 ELSE 1 END)")
 
@@ -123,7 +129,7 @@ m0 AS (SELECT o_orderkey AS match_id, h.r_name AS "League", a.r_name AS away_lea
               CAST(quantity % 7 AS INTEGER) AS "HST", CAST(lines % 6 AS INTEGER) AS "AST", (price % 311) / 100.0::DOUBLE AS "HxG", (price % 239) / 100.0::DOUBLE AS "AxG"
        FROM lines JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON supplier = s_suppkey
        JOIN nr h ON c_nationkey = h.n_nationkey JOIN nr a ON s_nationkey = a.n_nationkey WHERE h.n_name <> a.n_name),
-matches AS (SELECT *, CASE WHEN "FTHG" > "FTAG" THEN 'H' WHEN "FTHG" < "FTAG" THEN 'A' ELSE 'D' END AS "FTR" FROM m0)"""
+matches AS (SELECT *, CASE WHEN "FTHG" > "FTAG" THEN 'H' WHEN "FTHG" < "FTAG" THEN 'A' WHEN "FTHG" = "FTAG" THEN 'D' END AS "FTR" FROM m0)"""
 
 _SIDE = """SELECT match_id, "League", "Season", "Date", "{t}" AS "Team", "{o}" AS "Opponent", '{v}' AS "Venue", {cols},
        CASE WHEN "{gf}" > "{ga}" THEN 'W' WHEN "{gf}" < "{ga}" THEN 'L' ELSE 'D' END AS "Result" FROM matches"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.functions import names, scoreline, scoring
-from touchline.operators import aggregates, joins, models, resampling, sequential, store
-from touchline.plans.bridge import FIRST_SQL, MATCHES_SQL, first_meetings, matches, table
+from touchline.functions import names, scoreline, scoring, seasons
+from touchline.operators import aggregates, joins, models, resampling, sequential, sides, store, windows
+from touchline.plans.bridge import FIRST_SQL, KEYS, MATCHES_SQL, SIDES, first_meetings, matches, start_sql, table
 from touchline.plans.match_queries import rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -33,7 +33,7 @@ c0 AS (SELECT m.match_id, h, a, hp.p * ap.p * CASE WHEN h = 0 AND a = 0 THEN gre
        FROM mu m JOIN hp ON hp.match_id = m.match_id JOIN ap ON ap.match_id = m.match_id),
 cells AS (SELECT match_id, h, a, p / sum(p) OVER (PARTITION BY match_id) AS p FROM c0)"""
 PROBS_SQL = f"""{CELLS_SQL}, probs AS (SELECT match_id, sum(CASE WHEN h > a THEN p ELSE 0 END) AS ph, sum(CASE WHEN h = a THEN p ELSE 0 END) AS pd, sum(CASE WHEN h < a THEN p ELSE 0 END) AS pa FROM cells GROUP BY match_id),
-fc AS (SELECT mu.*, round(ph, 9) AS ph, round(pd, 9) AS pd, round(pa, 9) AS pa FROM mu JOIN probs USING (match_id))"""
+fc AS (SELECT mu.*, ph, pd, pa FROM mu JOIN probs USING (match_id))"""
 
 
 def rates(spark, sf_dir) -> DataFrame:
@@ -45,8 +45,12 @@ def grids(spark, sf_dir) -> DataFrame:
 
 
 def forecasts(spark, sf_dir) -> DataFrame:
-    parts = {"ph": scoreline.home_win, "pd": scoreline.draw, "pa": scoreline.away_win}
-    return grids(spark, sf_dir).withColumns({n: F.round(f(F.col("grid")), 9) for n, f in parts.items()}).drop("grid")
+    return with_outcomes(rates(spark, sf_dir))
+
+
+def with_outcomes(df: DataFrame, rho: float = RHO) -> DataFrame:
+    p = scoreline.outcomes(F.col("mu_home"), F.col("mu_away"), rho)
+    return df.withColumn("_p", p).withColumns({"ph": F.col("_p.home"), "pd": F.col("_p.draw"), "pa": F.col("_p.away")}).drop("_p")
 
 
 @query(f"WITH {CELLS_SQL} SELECT h, a, round(avg(p), 6) AS mean_p, count(*) AS n FROM cells GROUP BY ALL")
@@ -102,13 +106,13 @@ def league_adjust(spark, sf_dir):
 
 SCORED_SQL = f"""{PROBS_SQL}, sc AS (SELECT *, (pow(ph - CASE WHEN "FTR" = 'H' THEN 1 ELSE 0 END, 2) + pow(ph + pd - CASE WHEN "FTR" IN ('H', 'D') THEN 1 ELSE 0 END, 2)) / 2 AS rps,
  pow(ph - CASE WHEN "FTR" = 'H' THEN 1 ELSE 0 END, 2) + pow(pd - CASE WHEN "FTR" = 'D' THEN 1 ELSE 0 END, 2) + pow(pa - CASE WHEN "FTR" = 'A' THEN 1 ELSE 0 END, 2) AS brier,
- -ln(least(greatest(CASE "FTR" WHEN 'H' THEN ph WHEN 'D' THEN pd ELSE pa END, 1e-15), 1)) AS loss, CASE WHEN ph >= pd AND ph >= pa THEN 'H' WHEN pd >= pa THEN 'D' ELSE 'A' END AS pick FROM fc)"""
+ -ln(least(greatest(CASE "FTR" WHEN 'H' THEN ph WHEN 'D' THEN pd ELSE pa END, 1e-15), 1)) AS loss, CASE WHEN round(ph, 9) >= round(pd, 9) AND round(ph, 9) >= round(pa, 9) THEN 'H' WHEN round(pd, 9) >= round(pa, 9) THEN 'D' ELSE 'A' END AS pick FROM fc)"""
 
 
 def scored(spark, sf_dir) -> DataFrame:
     p = F.col("ph"), F.col("pd"), F.col("pa")
     return forecasts(spark, sf_dir).withColumns(
-        {"rps": scoring.rps(p[0], p[1], F.col("FTR")), "brier": scoring.brier(*p, scoring.checked(F.col("FTR"))), "loss": scoring.log_loss(*p, F.col("FTR")), "pick": scoring.pick(*p)}
+        {"rps": scoring.rps(p[0], p[1], F.col("FTR")), "brier": scoring.brier(*p, scoring.checked(F.col("FTR"))), "loss": scoring.log_loss(*p, F.col("FTR")), "pick": scoring.pick(*[F.round(x, 9) for x in p])}  # equal rates give equal chances, but for the last bits
     )
 
 
@@ -155,7 +159,7 @@ def exact_score_rate(spark, sf_dir):
     return rounded(top.groupBy("League").agg(F.avg(hit.cast("double")).alias("exact_rate"), F.count(F.lit(1)).alias("n")))
 
 
-LOG_SQL = f"""{MATCHES_SQL}, log AS (SELECT match_id, "League", "Date", "HomeTeam", "AwayTeam", CASE WHEN match_id % 5 = 0 THEN 9 END AS actual_home, CASE WHEN match_id % 5 = 0 THEN 9 END AS actual_away, CASE WHEN match_id % 5 = 0 THEN 'D' END AS actual_result FROM matches WHERE match_id % 2 = 0),
+LOG_SQL = f"""{MATCHES_SQL}, log AS (SELECT match_id, "League", "Date", "HomeTeam", "AwayTeam", CASE WHEN match_id % 5 = 0 THEN 9 END AS actual_home, CASE WHEN match_id % 5 = 0 THEN 9 END AS actual_away, CASE WHEN match_id % 5 = 0 THEN 'D' END AS actual_result FROM matches),
 res AS (SELECT match_id, "FTHG", "FTAG", "FTR" FROM matches WHERE match_id % 3 <> 0)"""
 
 
@@ -163,19 +167,17 @@ res AS (SELECT match_id, "FTHG", "FTAG", "FTR" FROM matches WHERE match_id % 3 <
 def settle_predictions(spark, sf_dir):
     base = matches(spark, sf_dir)
     done = F.col("match_id") % 5 == 0
-    log = base.filter("match_id % 2 = 0").select("match_id", F.when(done, 9).alias("actual_home"), F.when(done, 9).alias("actual_away"), F.when(done, "D").alias("actual_result"))
+    log = base.select("match_id", F.when(done, 9).alias("actual_home"), F.when(done, 9).alias("actual_away"), F.when(done, "D").alias("actual_result"))
     return store.settle(log, base.filter("match_id % 3 <> 0"), ["match_id"])
 
 
-@query(f"""WITH {MATCHES_SQL} SELECT match_id, 'v' || CAST(match_id % 2 AS VARCHAR) AS model_version FROM matches WHERE match_id % 4 = 1 OR (match_id % 4 = 0 AND match_id % 3 <> 0) OR match_id % 4 = 3 """)
+@query(f"""WITH {MATCHES_SQL}, p AS (SELECT *, 'v' || CAST(match_id % 2 AS VARCHAR) AS model_version, match_id % 4 = 2 OR (match_id % 4 = 0 AND match_id % 3 = 0) AS logged FROM matches)
+SELECT match_id, model_version FROM p WHERE NOT EXISTS (SELECT 1 FROM p l WHERE l.logged AND l.model_version = p.model_version AND l."League" = p."League" AND l."Date" = p."Date" AND l."HomeTeam" = p."HomeTeam" AND l."AwayTeam" = p."AwayTeam")""")
 def prediction_dedupe(spark, sf_dir):
     """New predictions whose six-column key the log lacks; an empty competition is ``domestic``."""
-    base = matches(spark, sf_dir).withColumn("model_version", F.concat(F.lit("v"), (F.col("match_id") % 2).cast("string"))).withColumn("competition", F.lit(""))
-    rows = joins.unique_keys(base, ["model_version", "League", "Date", "HomeTeam", "AwayTeam"])
-    twice = base.join(rows.select("match_id"), "match_id", "left_anti")
-    log = rows.filter("match_id % 4 = 2 or (match_id % 4 = 0 and match_id % 3 = 0)")
-    fresh = store.new_predictions(log, rows).select("match_id", "model_version")
-    return fresh.union(twice.filter("match_id % 4 = 1 or (match_id % 4 = 0 and match_id % 3 <> 0) or match_id % 4 = 3").select("match_id", "model_version"))
+    base = matches(spark, sf_dir).withColumn("model_version", F.concat(F.lit("v"), (F.col("match_id") % 2).cast("string")))
+    log = base.filter("match_id % 4 = 2 or (match_id % 4 = 0 and match_id % 3 = 0)").withColumn("competition", F.lit("domestic"))
+    return store.new_predictions(log, base.withColumn("competition", F.lit(""))).select("match_id", "model_version")
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')) AS name FROM part""")
@@ -202,10 +204,7 @@ def elo_final(spark, sf_dir):
 @query()
 def elo_current_peak(spark, sf_dir):
     """Latest and highest rating of every team."""
-    walked = matches(spark, sf_dir).join(sequential.elo_walk(matches(spark, sf_dir)), "match_id")
-    side = F.explode(F.array(F.struct(F.col("HomeTeam").alias("Team"), F.col("home_elo").alias("elo")), F.struct(F.col("AwayTeam").alias("Team"), F.col("away_elo").alias("elo"))))
-    rows = walked.select("match_id", "Date", side.alias("s")).select("match_id", "Date", "s.*")
-    return rounded(rows.groupBy("Team").agg(F.max_by("elo", F.struct("Date", "match_id")).alias("current"), F.max("elo").alias("peak")))
+    return rounded(sequential.current_and_peak(matches(spark, sf_dir)))
 
 
 @query()
@@ -224,47 +223,98 @@ def league_offset_fit(spark, sf_dir):
     return spark.createDataFrame(sorted(found.items()), "league string, strength double")
 
 
-@query()
-def walk_forward_backtest(spark, sf_dir):
-    """Every season forecast by a model of the seasons before it, scored by season."""
-    base = rates(spark, sf_dir).persist()
-    seasons = [r[0] for r in base.select("Season").distinct().orderBy("Season").collect()]
+STEMS = ["Points_5", "GoalsFor_5", "GoalsAgainst_5", "xGFor_5"]
+FAMILIES = {"results": ["Points_5_diff"], "goals": ["home_GoalsFor_5", "home_GoalsAgainst_5", "away_GoalsFor_5", "away_GoalsAgainst_5"], "xg": ["home_xGFor_5", "away_xGFor_5"]}
+
+
+def features(games: DataFrame) -> DataFrame:
+    """Matches with both teams' form over the five matches before; nothing of the match itself but its result."""
+    long = windows.with_form(sides.prepare(sides.unpivot_sides(games, KEYS, SIDES)), ["Team"], ["Date", "match_id"], 5, dict.fromkeys([x[:-2] for x in STEMS], "mean"), "5")
+    wide = sides.with_diffs(sides.repivot(long, ["match_id"], STEMS), STEMS).drop("HomeTeam", "AwayTeam")
+    return games.select("match_id", "League", "Season", "Date", "FTHG", "FTAG", "FTR").join(wide, "match_id").withColumn("start", seasons.season_start(F.col("Season"))).withColumn("nothing", F.lit(0.0))
+
+
+def walk_forward(base: DataFrame, columns: list[str], first: int = 1) -> DataFrame:
+    """Forecasts of every season from the ``first`` on (counted from 0), each by a model of all the seasons before it.
+
+    ``base`` has ``start``, the year in which a season starts; seasons go by it.
+    """
+    starts = [r[0] for r in base.select("start").distinct().orderBy("start").collect()]
     parts = None
-    for season in seasons[2:]:
-        model = models.fit_goals(base.filter(F.col("Season") < season), ["HxG", "AxG", "HST", "AST"])
-        fold = model.predict(base.filter(F.col("Season") == season).drop("mu_home", "mu_away")).select("Season", "FTR", "mu_home", "mu_away")
+    for start in starts[first:]:
+        model = models.fit_goals(base.filter(F.col("start") < start), columns)
+        fold = model.predict(base.filter(F.col("start") == start)).select("match_id", "League", "Season", "start", "FTR", "mu_home", "mu_away")
         parts = fold if parts is None else parts.union(fold)
-    grid = parts.withColumn("grid", scoreline.cells(F.col("mu_home"), F.col("mu_away")))
-    p = grid.withColumns({"ph": scoreline.home_win(F.col("grid")), "pd": scoreline.draw(F.col("grid"))})
+    return with_outcomes(parts, 0.0)
+
+
+@query()
+def walk_forward_backtest(spark, sf_dir):
+    """Every season but the first, forecast from form by a model of the seasons before it, scored by season."""
+    p = walk_forward(features(matches(spark, sf_dir)), ["home_GoalsFor_5", "home_GoalsAgainst_5", "away_GoalsFor_5", "away_GoalsAgainst_5", "Points_5_diff", "xGFor_5_diff"])
     return rounded(p.groupBy("Season").agg(F.count(F.lit(1)).alias("n"), F.avg(scoring.rps(F.col("ph"), F.col("pd"), F.col("FTR"))).alias("rps")))
 
 
+def base_rates(games: DataFrame) -> DataFrame:
+    """League and start of a season, with the shares of results in all the league's seasons before: the base-rate forecast."""
+    share = {n: F.sum((F.col("FTR") == r).cast("double")).alias(n) for n, r in (("h", "H"), ("d", "D"), ("a", "A"))}
+    by = games.filter("FTR is not null").groupBy("League", seasons.season_start(F.col("Season")).alias("start")).agg(*share.values())
+    before = Window.partitionBy("League").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    total = sum((F.sum(n).over(before) for n in "hda"), F.lit(0.0))
+    return by.select("League", "start", (F.sum("h").over(before) / total).alias("base_h"), (F.sum("d").over(before) / total).alias("base_d"))
+
+
+RATE_SQL = f"""{SCORED_SQL}, ls AS (SELECT "League", {start_sql('"Season"')} AS start, sum(CASE "FTR" WHEN 'H' THEN 1 ELSE 0 END) AS h, sum(CASE "FTR" WHEN 'D' THEN 1 ELSE 0 END) AS d, sum(CASE "FTR" WHEN 'A' THEN 1 ELSE 0 END) AS a FROM sc GROUP BY ALL),
+br AS (SELECT "League", start, sum(h) OVER w / (sum(h + d + a) OVER w)::DOUBLE AS bh, sum(d) OVER w / (sum(h + d + a) OVER w)::DOUBLE AS bd FROM ls WINDOW w AS (PARTITION BY "League" ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+pairs AS (SELECT match_id, "Season", rps, (pow(bh - CASE WHEN "FTR" = 'H' THEN 1 ELSE 0 END, 2) + pow(bh + bd - CASE WHEN "FTR" IN ('H', 'D') THEN 1 ELSE 0 END, 2)) / 2 AS base_rps FROM sc JOIN br ON br."League" = sc."League" AND br.start = {start_sql('sc."Season"')} WHERE bh IS NOT NULL)"""
+
+
+def paired(spark, sf_dir) -> DataFrame:
+    """match_id, Season, rps, base_rps: the model and the base-rate forecast on the same matches, from the second season on."""
+    rows = scored(spark, sf_dir).withColumn("start", seasons.season_start(F.col("Season"))).join(base_rates(matches(spark, sf_dir)), ["League", "start"])
+    return rows.filter("base_h is not null").select("match_id", "Season", "rps", scoring.rps(F.col("base_h"), F.col("base_d"), F.col("FTR")).alias("base_rps"))
+
+
+@query(f"""WITH {RATE_SQL} SELECT "Season", count(*) AS n, round(avg(rps), 6) AS rps, round(avg(base_rps), 6) AS base_rps, round(avg(rps - base_rps), 6) AS delta FROM pairs GROUP BY ALL""")
+def against_base_rate(spark, sf_dir):
+    """The forecast against the base rate of the seasons before, season by season."""
+    return rounded(paired(spark, sf_dir).groupBy("Season").agg(F.count(F.lit(1)).alias("n"), F.avg("rps").alias("rps"), F.avg("base_rps").alias("base_rps"), F.avg(F.col("rps") - F.col("base_rps")).alias("delta")))
+
+
 @query()
 def paired_bootstrap(spark, sf_dir):
-    diffs = scored(spark, sf_dir).select("match_id", (F.col("rps") - F.lit(0.22)).alias("diff"))
-    return rounded(resampling.paired_bootstrap(diffs, "diff", 2000))
+    """The model's mean gain on the base rate, with the interval of 10,000 resamples of the matches."""
+    diffs = paired(spark, sf_dir).select("match_id", (F.col("rps") - F.col("base_rps")).alias("diff"))
+    return rounded(resampling.paired_bootstrap(diffs, "diff"))
 
 
 @query()
 def season_simulation(spark, sf_dir):
-    """The rest of every league's last season, simulated from goal rates."""
+    """The rest of every league's last season, 10,000 times, from what its teams scored and conceded so far."""
     first = first_meetings(spark, sf_dir)
-    last = first.groupBy("League").agg(F.max("Season").alias("Season"))
+    last = first.groupBy("League").agg(F.max_by("Season", seasons.season_start(F.col("Season"))).alias("Season"))
     played = first.join(last, ["League", "Season"])
-    left = joins.round_robin_left(played, ["League"]).withColumn("mu_home", F.lit(1.5)).withColumn("mu_away", F.lit(1.2))
-    from touchline.operators.sides import unpivot_sides
-
-    tmh = unpivot_sides(played, ["League", "Season"], {"GoalsFor": ("FTHG", "FTAG"), "GoalsAgainst": ("FTAG", "FTHG")})
-    return rounded(resampling.simulate_season(left, aggregates.league_table(tmh, ["League"]), "League", 2000))
+    tmh = sides.unpivot_sides(played, ["League", "Season"], {"GoalsFor": ("FTHG", "FTAG"), "GoalsAgainst": ("FTAG", "FTHG")})
+    left = resampling.fixture_rates(joins.round_robin_left(played, ["League"]), played, tmh)
+    return rounded(resampling.simulate_season(left, aggregates.league_table(tmh, ["League"]), "League"))
 
 
 @query()
 def shapley_families(spark, sf_dir):
-    """What each family of inputs adds to the fit of points, over all coalitions."""
-    moments = rates(spark, sf_dir).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in ("HST", "AST", "HxG", "AxG")]).first()
-    worth = {"shots": moments["HST"] - moments["AST"], "xg": moments["HxG"] - moments["AxG"], "home": 0.1}
-    found = resampling.shapley(lambda c: sum(worth[m] for m in c) ** 2, list(worth))
-    return rounded(spark.createDataFrame(sorted(found.items()), "family string, share double"))
+    """What each family of inputs adds to the forecast of the last season: the mean gain in RPS, over all coalitions.
+
+    A model is fitted for each coalition, and a match's gain from a family is the weighted sum of
+    the differences of its scores, taken in one aggregation.
+    """
+    base = features(matches(spark, sf_dir))
+    joined = None
+    for coalition in resampling.coalitions(list(FAMILIES)):
+        columns = [c for m in coalition for c in FAMILIES[m]] or ["nothing"]
+        scores = walk_forward(base, columns, max(1, base.select("start").distinct().count() - 1)).select("match_id", scoring.rps(F.col("ph"), F.col("pd"), F.col("FTR")).alias("_".join(["rps", *coalition])))
+        joined = scores if joined is None else joined.join(scores, "match_id")
+    gains = [F.avg(resampling.shapley_column(m, list(FAMILIES), lambda c: -F.col("_".join(["rps", *c])))).alias(m) for m in FAMILIES]
+    row = joined.agg(*gains).first()
+    return rounded(spark.createDataFrame([(m, row[m]) for m in FAMILIES], "family string, share double"), 8)
 
 
 @query()

@@ -163,24 +163,26 @@ def remaining_fixtures(spark, sf_dir):
     return joins.round_robin_left(first_meetings(spark, sf_dir), ["League", "Season"]).select("League", "Season", "HomeTeam", "AwayTeam")
 
 
-@query(f"""WITH {MATCHES_SQL}, u AS (SELECT *, count(*) OVER (PARTITION BY "Date", "HomeTeam", "FTHG", "FTAG") AS c FROM matches), other AS (SELECT * FROM u WHERE c = 1 AND match_id % 3 <> 1)
-SELECT u."HomeTeam" AS ours, other."HomeTeam" AS theirs, count(*) AS votes FROM u JOIN other ON u."Date" = other."Date" AND u."HomeTeam" = other."HomeTeam" AND u."FTHG" = other."FTHG" AND u."FTAG" = other."FTAG" WHERE u.c = 1 GROUP BY ALL HAVING count(*) >= 4""")
+@query(f"""WITH {MATCHES_SQL}, u AS (SELECT *, count(*) OVER (PARTITION BY "Date", "League", "FTHG", "FTAG") AS c FROM matches),
+o0 AS (SELECT "Date", "League", "FTHG", "FTAG", 'FC ' || lower("HomeTeam") AS theirs FROM matches WHERE match_id % 3 <> 1), o AS (SELECT *, count(*) OVER (PARTITION BY "Date", "League", "FTHG", "FTAG") AS c FROM o0)
+SELECT u."HomeTeam" AS ours, theirs, count(*) AS votes FROM u JOIN o ON u."Date" = o."Date" AND u."League" = o."League" AND u."FTHG" = o."FTHG" AND u."FTAG" = o."FTAG" WHERE u.c = 1 AND o.c = 1 GROUP BY ALL HAVING count(*) >= 4""")
 def alias_votes(spark, sf_dir):
     """Two sources paired on keys that are unique on either side, then votes with an evidence bar."""
-    key = ["Date", "HomeTeam", "FTHG", "FTAG"]
+    key = ["Date", "League", "FTHG", "FTAG"]
     ours = joins.unique_keys(matches(spark, sf_dir), key)
-    theirs = ours.filter("match_id % 3 <> 1").select(*key, F.col("HomeTeam").alias("theirs"))
+    second = matches(spark, sf_dir).filter("match_id % 3 <> 1").select(*key, F.concat(F.lit("FC "), F.lower("HomeTeam")).alias("theirs"))  # an incomplete source with names of its own
+    theirs = joins.unique_keys(second, key)
     return ours.join(theirs, key).groupBy(F.col("HomeTeam").alias("ours"), "theirs").agg(F.count(F.lit(1)).alias("votes")).filter("votes >= 4")
 
 
-@query(f"""WITH {TMH_SQL}, f AS (SELECT match_id AS fixture, "Date" AS on_date, "HomeTeam" FROM matches WHERE match_id % 97 = 0),
+@query(f"""WITH {TMH_SQL}, f AS (SELECT match_id AS fixture, "Date" AS on_date, "HomeTeam" FROM matches),
 r AS (SELECT fixture, t.match_id, t."Result", row_number() OVER (PARTITION BY fixture ORDER BY t."Date" DESC, t.match_id DESC) AS place FROM f JOIN tmh t ON t."Team" = f."HomeTeam" AND t."Date" < f.on_date)
 SELECT fixture, match_id, "Result", place FROM r WHERE place <= 5""")
 def asof_recent_form(spark, sf_dir):
-    """The five latest results of the home team strictly before a fixture."""
-    fixtures = matches(spark, sf_dir).filter("match_id % 97 = 0").select(F.col("match_id").alias("fixture"), F.col("Date").alias("on_date"), "HomeTeam")
+    """The five latest results of the home team strictly before every fixture."""
+    fixtures = matches(spark, sf_dir).select(F.col("match_id").alias("fixture"), F.col("Date").alias("on_date"), F.col("HomeTeam").alias("Team"))
     history = team_matches(spark, sf_dir).select("match_id", "Team", "Date", "Result")
-    found = joins.asof_top_n(fixtures, history, F.col("Team") == F.col("HomeTeam"), F.col("Date") < F.col("on_date"), ["fixture"], [F.desc("Date"), F.desc("match_id")], 5)
+    found = joins.asof_top_n(fixtures, history, ["Team"], "on_date", "Date", ["match_id"], 5)
     return found.select("fixture", "match_id", "Result", F.col("_n").alias("place"))
 
 
@@ -216,20 +218,20 @@ def season_form(spark, sf_dir):
 
 
 @query(f"""WITH {MATCHES_SQL} SELECT match_id, "Season", CASE WHEN "League" = away_league THEN 'domestic' ELSE 'cross' END AS competition,
- CASE "League" WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END AS league_code FROM matches WHERE "Date" BETWEEN DATE '1997-03-01' AND DATE '1997-03-08' AND match_id % 2 = 1""")
+ CASE "League" WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 4 END AS league_code FROM matches WHERE "Date" BETWEEN DATE '1997-03-01' AND DATE '1997-03-08'""")
 def fixture_window(spark, sf_dir):
     """Unplayed fixtures up to a horizon, with the league's fixed code."""
     codes = F.create_map(*[F.lit(x) for pair in zip(("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"), range(5), strict=True) for x in pair])
-    rows = matches(spark, sf_dir).filter(F.col("Date").between(F.lit("1997-03-01").cast("date"), F.date_add(F.lit("1997-03-01").cast("date"), 7)) & (F.col("match_id") % 2 == 1))
+    rows = matches(spark, sf_dir).filter(F.col("Date").between(F.lit("1997-03-01").cast("date"), F.date_add(F.lit("1997-03-01").cast("date"), 7)))
     return rows.select("match_id", "Season", F.when(F.col("League") == F.col("away_league"), "domestic").otherwise("cross").alias("competition"), codes[F.col("League")].alias("league_code"))
 
 
-@query(f"""WITH {MATCHES_SQL}, p AS (SELECT match_id, "Date", v AS version, CAST("Date" AS TIMESTAMP) + INTERVAL (match_id % 5 - 3 + v) DAY AS predicted_at, (match_id % 7 + v) / 10.0::DOUBLE AS prob, "FTR" FROM matches, (VALUES (0), (1), (2)) t(v) WHERE match_id % 4 = 0),
+@query(f"""WITH {MATCHES_SQL}, p AS (SELECT match_id, "Date", v AS version, CAST("Date" AS TIMESTAMP) + INTERVAL (match_id % 5 - 3 + v) DAY AS predicted_at, (match_id % 7 + v) / 10.0::DOUBLE AS prob, "FTR" FROM matches, (VALUES (0), (1), (2)) t(v)),
 b AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY predicted_at DESC, version DESC) AS n FROM p WHERE predicted_at < "Date")
 SELECT match_id, version, prob, "FTR" AS actual FROM b WHERE n = 1""")
 def last_before_kickoff(spark, sf_dir):
     """Of several forecasts of a match, the last one made before its day, settled with the result."""
-    base = matches(spark, sf_dir).filter("match_id % 4 = 0").select("match_id", "Date", "FTR", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("version"))
+    base = matches(spark, sf_dir).select("match_id", "Date", "FTR", F.explode(F.array(*[F.lit(v) for v in range(3)])).alias("version"))
     made = base.withColumn("predicted_at", F.expr("cast(Date as timestamp) + make_dt_interval(cast(match_id % 5 - 3 + version as int))")).withColumn("prob", (F.col("match_id") % 7 + F.col("version")) / 10.0)
     best = ranking.latest(made.filter("predicted_at < cast(Date as timestamp)"), ["match_id"], [F.desc("predicted_at"), F.desc("version")])
     return best.select("match_id", "version", "prob", F.col("FTR").alias("actual"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scale, seasons
 from touchline.operators import aggregates, joins, ranking, rating
-from touchline.plans.bridge import PLAYERS_SQL, players, table
+from touchline.plans.bridge import PLAYERS_SQL, players, start_sql, table
 from touchline.plans.match_queries import rounded
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -181,37 +181,38 @@ def gems_agreement(spark, sf_dir):
     return rounded(z.agg(F.corr("p", "f").alias("agreement"), F.count(F.lit(1)).alias("n")))
 
 
-@query(f"""WITH {RATING_SQL}, a AS (SELECT player, CAST(substr("Season", 1, 2) AS INTEGER) AS y, max(rating) AS r FROM player_rating GROUP BY ALL), x AS (SELECT DISTINCT player, "Season", CAST(substr("Season", 1, 2) AS INTEGER) AS y FROM players)
+@query(f"""WITH {RATING_SQL}, a AS (SELECT player, {start_sql('"Season"')} AS y, max(rating) AS r FROM player_rating GROUP BY ALL), x AS (SELECT DISTINCT player, "Season", {start_sql('"Season"')} AS y FROM players)
 SELECT x.player, x."Season", a.y AS asof_y, a.r FROM x LEFT JOIN a ON a.player = x.player AND a.y < x.y QUALIFY row_number() OVER (PARTITION BY x.player, x."Season" ORDER BY a.y DESC NULLS LAST) = 1""")
 def asof_latest_rating(spark, sf_dir):
     """To each player-season, the latest rating of an earlier season, however old."""
-    year = F.substring("Season", 1, 2).cast("int").alias("y")
+    year = seasons.season_start(F.col("Season")).alias("y")
     rated = rating.rated_players(rates(spark, sf_dir), ANCHORS).groupBy("player", year).agg(F.max("rating").alias("r"))
     seen = players(spark, sf_dir).select("player", "Season", year).distinct()
     return joins.asof_latest(seen, rated, ["player"], "y", "y", ["r"]).select("player", "Season", "asof_y", "r")
 
 
-@query(f"""WITH {PLAYERS_SQL}, e AS (SELECT player, CAST(substr("Season", 1, 2) AS INTEGER) AS y, CASE WHEN player % 3 <> 0 THEN min(role) || CASE WHEN player % 2 = 0 THEN '' ELSE '*' END END AS role FROM players WHERE (player + CAST(substr("Season", 1, 2) AS INTEGER)) % 4 <> 0 GROUP BY player, CAST(substr("Season", 1, 2) AS INTEGER)),
-s AS (SELECT DISTINCT player, CAST(substr("Season", 1, 2) AS INTEGER) AS y FROM players), o(offs, place) AS (VALUES (0, 0), (-1, 1), (1, 2)),
+@query(f"""WITH {PLAYERS_SQL}, e AS (SELECT player, {start_sql('"Season"')} AS y, CASE WHEN player % 3 <> 0 THEN min(role) || CASE WHEN player % 2 = 0 THEN '' ELSE '*' END END AS role FROM players WHERE (player + {start_sql('"Season"')}) % 4 <> 0 GROUP BY player, {start_sql('"Season"')}),
+s AS (SELECT DISTINCT player, {start_sql('"Season"')} AS y FROM players), o(offs, place) AS (VALUES (0, 0), (-1, 1), (1, 2)),
 j AS (SELECT s.player, s.y, e.role, place FROM s CROSS JOIN o LEFT JOIN e ON e.player = s.player AND e.y = s.y + offs AND e.role IS NOT NULL)
 SELECT player, y, (array_agg(role ORDER BY place) FILTER (WHERE role IS NOT NULL))[1] AS nearest_role FROM j GROUP BY player, y""")
 def nearest_season_role(spark, sf_dir):
     """A role carried from the nearest season, one away at most, the earlier on ties."""
-    year = F.substring("Season", 1, 2).cast("int")
+    year = seasons.season_start(F.col("Season"))
     base = players(spark, sf_dir).withColumn("y", year)
     known = base.filter((F.col("player") + F.col("y")) % 4 != 0).groupBy("player", "y").agg(F.min("role").alias("role"))
     known = known.withColumn("role", F.when(F.col("player") % 3 != 0, F.concat("role", F.when(F.col("player") % 2 == 0, "").otherwise("*"))))
     return joins.nearest(base.select("player", "y").distinct(), known, ["player"], "y", "y", "role", 1)
 
 
-@query(f"""WITH {PLAYERS_SQL}, a AS (SELECT DISTINCT player % 97 AS name, age, player FROM players WHERE "Season" = '9596'), b AS (SELECT DISTINCT player % 97 AS name, age, player AS other FROM players WHERE "Season" = '9697' AND player % 5 = 0),
-j AS (SELECT a.player, a.age, b.other, count(*) OVER (PARTITION BY a.player, a.age) AS n FROM a JOIN b ON a.name = b.name AND abs(b.age - (a.age + 1)) <= 1.5) SELECT player, age, other FROM j WHERE n = 1""")
+@query(f"""WITH {PLAYERS_SQL}, a AS (SELECT DISTINCT player % 97 AS name, age, player, {start_sql('"Season"')} AS y FROM players),
+j AS (SELECT a.player, a.y, a.age, b.player AS other, count(*) OVER (PARTITION BY a.player, a.age, a.y) AS n FROM a JOIN a b ON a.name = b.name AND b.y = a.y + 1 AND abs(b.age - (a.age + 1)) <= 1.5) SELECT player, y, age, other FROM j WHERE n = 1""")
 def age_band_match(spark, sf_dir):
-    """Same name and an age near one year on, kept only where it is the one candidate."""
-    base = players(spark, sf_dir).withColumn("name", F.col("player") % 97)
-    a = base.filter("Season = '9596'").select("name", "age", "player").distinct()
-    b = base.filter("Season = '9697' and player % 5 = 0").select(F.col("name").alias("n2"), F.col("age").alias("age2"), F.col("player").alias("other")).distinct()
-    return joins.band_match(a, b, F.col("name") == F.col("n2"), F.abs(F.col("age2") - (F.col("age") + 1)) <= 1.5, ["player", "age"]).select("player", "age", "other")
+    """From every season to the next: same name and an age near one year on, kept only where it is the one candidate."""
+    year = seasons.season_start(F.col("Season"))
+    a = players(spark, sf_dir).select((F.col("player") % 97).alias("name"), "age", "player", year.alias("y")).distinct()
+    b = a.select(F.col("name").alias("n2"), F.col("age").alias("age2"), F.col("player").alias("other"), (F.col("y") - 1).alias("y2"))
+    same = (F.col("name") == F.col("n2")) & (F.col("y") == F.col("y2"))
+    return joins.band_match(a, b, same, F.abs(F.col("age2") - (F.col("age") + 1)) <= 1.5, ["player", "age", "y"]).select("player", "y", "age", "other")
 
 
 @query(f"""WITH {RATES_SQL}, c AS (SELECT role, "Season", goals_per90 AS x, count(goals_per90) OVER (PARTITION BY role, "Season") AS n, rank() OVER (PARTITION BY role, "Season" ORDER BY goals_per90 NULLS LAST) - 1 AS below, player, team FROM rates)
@@ -236,16 +237,16 @@ def below_pool_median(spark, sf_dir):
     return base.join(pool, BY).filter("fifa_overall < filled - 20").select(*KEY, "filled")
 
 
-@query(f"""WITH {RATING_SQL}, s AS (SELECT player, team, "Season", row_number() OVER (PARTITION BY player ORDER BY "Season" DESC, minutes DESC, team) AS n, rating FROM player_rating) SELECT player, team, "Season", rating FROM s WHERE n = 1""")
+@query(f"""WITH {RATING_SQL}, s AS (SELECT player, team, "Season", row_number() OVER (PARTITION BY player ORDER BY {start_sql('"Season"')} DESC, minutes DESC, team) AS n, rating FROM player_rating) SELECT player, team, "Season", rating FROM s WHERE n = 1""")
 def latest_ratings(spark, sf_dir):
     rated = rating.rated_players(rates(spark, sf_dir), ANCHORS)
-    return ranking.latest(rated, ["player"], [F.desc("Season"), F.desc("minutes"), F.asc("team")]).select(*KEY, "rating")
+    return ranking.latest(rated, ["player"], [F.desc(seasons.season_start(F.col("Season"))), F.desc("minutes"), F.asc("team")]).select(*KEY, "rating")
 
 
-@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT vec_id AS subject, embedding AS e FROM v WHERE vec_id < 5),
+@query("""WITH v AS (SELECT vec_id, embedding FROM embeddings), s AS (SELECT vec_id AS subject, embedding AS e FROM v WHERE vec_id % 20 = 0),
 d AS (SELECT subject, vec_id AS neighbour, round(sqrt(list_sum(list_transform(list_zip(e, embedding), lambda p: ((p[1] - p[2])::DOUBLE) * ((p[1] - p[2])::DOUBLE)))), 6) AS distance FROM s JOIN v ON vec_id <> subject),
 r AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY distance, neighbour) AS place FROM d) SELECT * FROM r WHERE place <= 10""")
 def embedding_knn(spark, sf_dir):
-    """The ten nearest vectors of five subjects; a top-k report over all vectors."""
+    """The ten nearest of all vectors to every subject; the subjects are the ids divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings")
-    return rounded(ranking.nearest_vectors(vectors.filter("vec_id < 5"), vectors, "vec_id", "embedding", 10))
+    return rounded(ranking.nearest_vectors(vectors.filter("vec_id % 20 = 0"), vectors, "vec_id", "embedding", 10))
