@@ -8,12 +8,12 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from touchline.plans import forecast_queries, match_queries, player_queries
+from touchline.plans import event_queries, forecast_queries, match_queries, player_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = match_queries.ORACLE_SQL | player_queries.ORACLE_SQL | forecast_queries.ORACLE_SQL
-PLAIN = [n for m in (match_queries, player_queries, forecast_queries) for n in m.QUERIES if n not in SQL]
+SQL = match_queries.ORACLE_SQL | player_queries.ORACLE_SQL | forecast_queries.ORACLE_SQL | event_queries.ORACLE_SQL
+PLAIN = [n for m in (match_queries, player_queries, forecast_queries, event_queries) for n in m.QUERIES if n not in SQL]
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,7 @@ def test_same_rows_as_sql(spark, duck, name):
             assert p == q or abs(float(p) - float(q)) < 2e-5
 
 
-@pytest.mark.parametrize("name", ["elo_walk", "elo_final", "elo_current_peak", "league_offset_fit", "residual_by_stratum", "content_fingerprint", "shapley_families"])
+@pytest.mark.parametrize("name", ["elo_walk", "elo_final", "elo_current_peak", "league_offset_fit", "residual_by_stratum", "content_fingerprint", "elo_streamed"])
 def test_runs_without_sql(spark, name):
     assert name in PLAIN
     assert entry.queries()[name](spark, SF).count() > 0

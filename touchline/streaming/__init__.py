@@ -1 +1 @@
-"""Structured Streaming counterparts of the stateful operators."""
+"""Streaming forms of the stateful operators."""
