@@ -152,6 +152,52 @@ def test_warc(spark, empty):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
 
 
+def archive(spark, folder, n=60):
+    rng = random.Random(8)
+    bodies = ["".join(rng.choice("abcdé<>") for _ in range(rng.choice([0, 3, 400, 3000]))) for _ in range(n // 2)]
+    pages = [(i, f"u{i}", rng.choice([*bodies, None]), "clash", 7) for i in range(n)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, head string, octets int").coalesce(1)
+    return pages, warc.write_archives(df, folder=str(folder))
+
+
+@pytest.mark.parametrize("split", [97, 1 << 20])
+def test_warc_splits_against_brute_force(spark, tmp_path, split):
+    pages, manifest = archive(spark, tmp_path)
+    heads = {}
+    for i, _, html, *_ in pages:
+        heads[html or ""] = max(i, heads.get(html or "", -1))
+    got = {r.page_id: r for r in warc.read_archives(manifest, split_bytes=split).collect()}
+    assert len(got) == len(pages)
+    for i, url, html, *_ in pages:
+        r, data, head = got[i], (html or "").encode(), heads[html or ""]
+        assert (r.url, r.payload_bytes, r.payload_digest) == (url, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (r.record_type, r.refers_to, r.payload) == (("response", None, data) if i == head else ("revisit", head, None))
+
+
+def test_warc_of_no_and_repeated_rows(spark):
+    kind = "page_id long, url string, html string"
+    assert warc.read_archives(warc.write_archives(spark.createDataFrame([], kind))).count() == 0
+    rows = [(1, "u", "x"), (1, "u", "x"), (None, "u", "x"), (None, None, None), (0, "u", "x")]
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(warc.write_archives(spark.createDataFrame(rows, kind))).collect()]
+    assert sorted(got, key=str) == sorted([(1, "response", None), (1, "response", None), (None, "response", None), (None, "response", None), (0, "revisit", 1)], key=str)
+
+
+@pytest.mark.parametrize("split", [300, 1 << 20])
+def test_warc_damage_raises(spark, tmp_path, split):
+    """A flipped byte anywhere, in the middle of a record or in its first bytes, and a file cut short."""
+    _, manifest = archive(spark, tmp_path, 12)
+    (path,) = tmp_path.glob("*.warc.gz")
+    whole = path.read_bytes()
+    starts = [m.start() for m in re.finditer(re.escape(warc.MAGIC), whole)]
+    for place in (0, starts[5], starts[5] + 40, starts[7] + 1, len(whole) - 20):
+        path.write_bytes(whole[:place] + bytes([whole[place] ^ 0x5A]) + whole[place + 1 :])
+        with pytest.raises(Exception, match="record"):
+            warc.read_archives(manifest, split_bytes=split).collect()
+    path.write_bytes(whole[:-30])
+    with pytest.raises(Exception, match="record|cut off"):
+        warc.read_archives(manifest, split_bytes=split).collect()
+
+
 def test_secrets():
     body = "Zq3" * 10
     token = "ghp_" + body + secret_scan.token_checksum(body)

@@ -2,7 +2,7 @@
 
 Readers get byte ranges, not files.  A task scans its range for the gzip magic, accepts a
 candidate only if it decodes to a WARC header, and owns the records that start inside its range,
-wherever they end.  Files are reached through ``pyarrow.fs``, so the folder may be any URI that
+wherever they end.  Damage raises; it is never passed over.  Files are reached through ``pyarrow.fs``, so the folder may be any URI that
 it opens (local or shared paths, HDFS, object stores).
 """
 
@@ -130,11 +130,18 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
 
 
 class _Range:
-    """The records of a file that start in [start, end)."""
+    """The records of a file that start in [start, end).
+
+    Only bytes that do not decode to a WARC header may be passed over, and only before the range's
+    first record: a record that is damaged further on, or does not follow on the one before it,
+    raises.  The last record's successor, which another range owns, must begin with a header too,
+    and the file with a record; so no damaged header goes unnoticed between ranges.
+    """
 
     def __init__(self, uri: str, start: int, end: int, size: int):
         system, path = _open(uri)
-        self.file, self.at, self.end, self.size, self.buffer = system.open_input_file(path), start, end, size, b""
+        self.file, self.at, self.end, self.size, self.buffer = system.open_input_file(path), start, end, size, bytearray()
+        self.uri, self.strict = uri, start == 0
 
     def _more(self) -> bool:
         """Append to the buffer, which begins at ``self.at``."""
@@ -144,17 +151,25 @@ class _Range:
         return bool(data)
 
     def _drop(self, n: int) -> None:
-        self.buffer, self.at = self.buffer[n:], self.at + n
+        del self.buffer[:n]
+        self.at += n
+
+    def _decode(self, whole: bool = True) -> bytes | None:
+        """The record at ``self.at``, or None if no WARC record starts there; moves past it.
 
-    def _decode(self) -> bytes | None:
-        """The record at ``self.at``, or None if no WARC record starts there; moves past it."""
-        machine, parts, used, probed = zlib.decompressobj(31), [], 0, False
+        Without ``whole`` only its first bytes, and nothing moves.
+        """
+        machine, parts, used, start, probed = zlib.decompressobj(31), [], 0, self.at, False
         while not machine.eof:
             if used == len(self.buffer) and not self._more():
+                if probed:
+                    raise ValueError(f"{self.uri} has a record at {start} that is cut off")
                 return None
             try:
-                parts.append(machine.decompress(self.buffer[used:]))
-            except zlib.error:
+                parts.append(machine.decompress(bytes(self.buffer[used:])))
+            except zlib.error as broken:
+                if probed:
+                    raise ValueError(f"{self.uri} has a damaged record at {start}") from broken
                 return None
             used = len(self.buffer)
             if not probed:
@@ -162,7 +177,12 @@ class _Range:
                 if len(begin) >= 7 or machine.eof:
                     if not begin.startswith(b"WARC/1."):
                         return None
+                    if not whole:
+                        return begin
                     probed = True
+            if probed and not machine.eof:  # what is decoded need not be held
+                self._drop(used)
+                used = 0
         self._drop(used - len(machine.unused_data))
         return b"".join(parts)
 
@@ -171,6 +191,8 @@ class _Range:
             while len(self.buffer) < len(MAGIC) and self._more():
                 pass
             where = self.buffer.find(MAGIC)
+            if where and self.strict:
+                raise ValueError(f"{self.uri} has no record at {self.at}")
             if where < 0:
                 if len(self.buffer) < len(MAGIC):
                     return
@@ -183,9 +205,14 @@ class _Range:
                 return
             data = self._decode()
             if data is None:
+                if self.strict:
+                    raise ValueError(f"{self.uri} has no record at {self.at}")
                 self._drop(1)
             else:
+                self.strict = True
                 yield data
+        if self.strict and self.at < self.size and self._decode(whole=False) is None:
+            raise ValueError(f"{self.uri} has no record at {self.at}")
 
     def close(self) -> None:
         self.file.close()
