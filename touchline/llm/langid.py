@@ -1,7 +1,7 @@
 """Language identification by rank-order n-gram profiles.
 
 A text's most frequent character n-grams (one to three, over lower-cased UTF-8 bytes, with every
-run of non-letters as one separator) are ranked, and each language's profile is ranked likewise
+run of non-letters as one separator, and separators at the end) are ranked, and each language's profile is ranked likewise
 from the counts of all its training texts.  The language with the least sum of rank differences
 ("out of place" distance) wins.
 """
@@ -123,6 +123,9 @@ def fit_profiles(train: DataFrame, text_col: str = "text", lang_col: str = "lang
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", ranks: int = RANKS) -> DataFrame:
     """doc_id, lang_pred, score of every row; ``und`` and 0 for a text that is null or has no letter.
 
+    Whole texts are read, of any length; repeated rows are predicted each; a null id stays null;
+    other columns are ignored, and an empty table gives an empty result.
+
     The score is how much nearer the winner is than the runner-up, from 0 (a tie, which the
     smaller name wins) to 1.  Without any profile everything is ``und``.
     """
