@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import seasons
 from touchline.operators import aggregates, joins, ranking, sides, windows
-from touchline.plans.bridge import FIRST_SQL, MATCHES_SQL, TMH_SQL, first_meetings, matches, season_sql, table, team_matches
+from touchline.plans.bridge import FIRST_SQL, MATCHES_SQL, TMH_SQL, first_meetings, matches, season_sql, start_sql, table, team_matches
 
 ORDER = ["Date", "match_id"]
 FORM = {"Points": "mean", "GoalsFor": "mean", "GoalsAgainst": "mean", "xGFor": "mean", "Win": "mean", "ShotAccuracy": "mean"}
@@ -250,12 +250,14 @@ def season_shifted_strength(spark, sf_dir):
     return rounded(base.select("match_id", "home_strength", "away_strength"))
 
 
-@query(f"""WITH {TMH_SQL}, {OUTCOMES_SQL}, x AS (SELECT *, round(ga * 10) AS strength FROM out), l AS (SELECT "League", "Season", regr_slope(pts, strength) AS slope, regr_intercept(pts, strength) AS intercept FROM x GROUP BY ALL)
-SELECT "League", "Season", "Team", round(intercept + slope * strength, 7) AS expected, round(pts - (intercept + slope * strength), 7) AS residual FROM x JOIN l USING ("League", "Season") WHERE slope IS NOT NULL""")
+@query(f"""WITH {TMH_SQL}, {OUTCOMES_SQL}, x AS (SELECT o.*, round(p.ga * 10) AS strength FROM out o JOIN out p ON p."League" = o."League" AND p."Team" = o."Team" AND {start_sql('p."Season"')} + 1 = {start_sql('o."Season"')}),
+l AS (SELECT "League", "Season", regr_slope(pts, strength) AS slope, regr_intercept(pts, strength) AS intercept FROM x GROUP BY ALL)
+SELECT "League", "Season", "Team", round(intercept + slope * strength, 7) AS expected, round(pts - (intercept + slope * strength), 7) AS residual FROM x JOIN l USING ("League", "Season") WHERE slope IS NOT NULL AND NOT isnan(slope)""")
 def achievement_residuals(spark, sf_dir):
-    """Points against what a club's strength predicts, least squares per league and season."""
-    x = aggregates.season_outcomes(team_matches(spark, sf_dir)).withColumn("strength", F.round(F.col("ga") * 10))
-    fitted = aggregates.regress_by(x, ["League", "Season"], "pts", "strength").filter("slope is not null")
+    """Points against what a club's strength in the season before predicts, least squares per league and season."""
+    rows = aggregates.season_outcomes(team_matches(spark, sf_dir))
+    before = rows.select("League", "Team", seasons.next_season(F.col("Season")).alias("Season"), F.round(F.col("ga") * 10).alias("strength"))
+    fitted = aggregates.regress_by(rows.join(before, ["League", "Team", "Season"]), ["League", "Season"], "pts", "strength").filter("slope is not null and not isnan(slope)")
     return rounded(fitted.select("League", "Season", "Team", "expected", "residual"), 7)
 
 
