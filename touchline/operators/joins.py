@@ -34,6 +34,19 @@ def anti_append(base: DataFrame, extra: DataFrame, key: Sequence[str]) -> DataFr
     return base.unionByName(extra.join(known, match, "left_anti"), allowMissingColumns=True)
 
 
+def with_fallback(base: DataFrame, measured: DataFrame, preseason: DataFrame, on: Sequence[str], values: Sequence[str], flag: str) -> DataFrame:
+    """``base`` with the measured values of its key, or all of the pre-season ones where the key was not measured.
+
+    A measured row is taken whole, its nulls too; ``flag`` says where the pre-season row stands in.
+    """
+    first = measured.select(*on, F.struct(*values).alias("_measured"))
+    second = preseason.select(*on, F.struct(*values).alias("_preseason"))
+    joined = checked_join(checked_join(base, first, on), second, on)
+    chosen = F.coalesce("_measured", "_preseason")
+    filled = F.col("_measured").isNull() & F.col("_preseason").isNotNull()
+    return joined.withColumns({v: chosen[v] for v in values} | {flag: filled}).drop("_measured", "_preseason")
+
+
 def asof_latest(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str], inclusive: bool = False, tie: Sequence[str] = ()) -> DataFrame:
     """To each left row, the values of the latest right row before it (at it, if ``inclusive``).
 

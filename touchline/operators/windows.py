@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.joins import asof_latest
+
 
 def prev_window(keys: Sequence[str], order: Sequence[str], size: int):
     """The ``size`` rows before the current one within ``keys``."""
@@ -25,6 +27,18 @@ def with_form(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: in
     return df.withColumns(columns | {f"matches_used_{suffix}": F.count(F.lit(1)).over(frame)})
 
 
+def frozen_form(fixtures: DataFrame, history: DataFrame, key: str, fixture_time: str, time: str, tie: Sequence[str], size: int, metrics: Sequence[str], suffix: str) -> DataFrame:
+    """To each fixture, its team's means over its last ``size`` matches strictly before, and how many there were.
+
+    Form stays frozen at the last played match: other fixtures of the team do not push it out.  One
+    window over the history and one as-of union; a team without history gets nulls.
+    """
+    recent = Window.partitionBy(key).orderBy(time, *tie).rowsBetween(1 - size, 0)
+    means = [F.avg(m).over(recent).alias(f"{m}_{suffix}") for m in metrics]
+    rows = history.select(key, time, *tie, *means, F.count(F.lit(1)).over(recent).alias(f"matches_used_{suffix}"))
+    return asof_latest(fixtures, rows, [key], fixture_time, time, [f"{m}_{suffix}" for m in metrics] + [f"matches_used_{suffix}"], tie=tie)
+
+
 def days_since_last(keys: Sequence[str], date: str, order: Sequence[str]) -> Column:
     return F.datediff(F.col(date), F.lag(date).over(Window.partitionBy(*keys).orderBy(*order)))
 

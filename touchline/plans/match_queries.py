@@ -237,6 +237,18 @@ def last_before_kickoff(spark, sf_dir):
     return best.select("match_id", "version", "prob", F.col("FTR").alias("actual"))
 
 
+@query(f"""WITH {TMH_SQL}, past AS (SELECT *, row_number() OVER (PARTITION BY "Team" ORDER BY "Date" DESC, match_id DESC) AS n FROM tmh WHERE "Date" < DATE '2001-01-01'),
+form AS (SELECT "Team", max("Date") AS last_played, avg("GoalsFor") AS gf, avg("GoalsAgainst") AS ga, count(*) AS used FROM past WHERE n <= 5 GROUP BY ALL)
+SELECT f.match_id, f."Team", last_played, round(gf, 6) AS "GoalsFor_5", round(ga, 6) AS "GoalsAgainst_5", used AS matches_used_5 FROM tmh f LEFT JOIN form USING ("Team") WHERE f."Date" >= DATE '2001-01-01' """)
+def upcoming_form(spark, sf_dir):
+    """Both teams' form before every fixture from a day on, frozen at the last match played before that day."""
+    rows, day = team_matches(spark, sf_dir), F.lit("2001-01-01").cast("date")
+    upcoming = rows.filter(F.col("Date") >= day).select("match_id", "Team", F.col("Date").alias("on_date"))
+    history = rows.filter(F.col("Date") < day).withColumnRenamed("match_id", "played")
+    found = windows.frozen_form(upcoming, history, "Team", "on_date", "Date", ["played"], 5, ["GoalsFor", "GoalsAgainst"], "5")
+    return rounded(found.select("match_id", "Team", F.col("asof_Date").alias("last_played"), "GoalsFor_5", "GoalsAgainst_5", "matches_used_5"))
+
+
 @query(f"""WITH {TMH_SQL}, s AS (SELECT "Season", "Team", avg("GoalsFor" - "GoalsAgainst") AS strength FROM tmh GROUP BY ALL),
 n AS (SELECT lpad(CAST((CAST(substr("Season", 1, 2) AS INTEGER) + 1) % 100 AS VARCHAR), 2, '0') || lpad(CAST((CAST(substr("Season", 1, 2) AS INTEGER) + 2) % 100 AS VARCHAR), 2, '0') AS for_season, "Team", strength FROM s)
 SELECT match_id, round(h.strength, 6) AS home_strength, round(a.strength, 6) AS away_strength FROM matches m LEFT JOIN n h ON h.for_season = m."Season" AND h."Team" = m."HomeTeam" LEFT JOIN n a ON a.for_season = m."Season" AND a."Team" = m."AwayTeam" """)
@@ -250,6 +262,20 @@ def season_shifted_strength(spark, sf_dir):
     return rounded(base.select("match_id", "home_strength", "away_strength"))
 
 
+@query(f"""WITH {TMH_SQL}, s AS (SELECT "Season", "Team", {start_sql('"Season"')} AS y, avg("GoalsFor" - "GoalsAgainst") AS strength, count(*) AS n FROM tmh GROUP BY ALL),
+o AS (SELECT "Team", y, avg(strength) AS earlier FROM (SELECT a."Team", a.y, b.strength FROM s a JOIN s b ON b."Team" = a."Team" AND b.y = a.y - 2) GROUP BY ALL)
+SELECT t."Team", t."Season", round(CASE WHEN m."Team" IS NOT NULL THEN m.strength ELSE o.earlier END, 6) AS strength, m."Team" IS NULL AND o."Team" IS NOT NULL AS strength_is_preseason
+FROM s t LEFT JOIN s m ON m."Team" = t."Team" AND m.y = t.y - 1 AND m.n % 3 <> 0 LEFT JOIN o ON o."Team" = t."Team" AND o.y = t.y""")
+def strength_with_fallback(spark, sf_dir):
+    """Last season's strength where it was measured, else a pre-season one (of the season before that), with a flag."""
+    start = seasons.season_start(F.col("Season")).alias("y")
+    s = team_matches(spark, sf_dir).groupBy("Season", "Team", start).agg(F.avg(F.col("GoalsFor") - F.col("GoalsAgainst")).alias("strength"), F.count(F.lit(1)).alias("n"))
+    measured = s.filter("n % 3 <> 0").select("Team", (F.col("y") + 1).alias("y"), "strength")  # as if some clubs had not been measured
+    preseason = s.select("Team", (F.col("y") + 2).alias("y"), "strength")
+    found = joins.with_fallback(s.select("Team", "Season", "y"), measured, preseason, ["Team", "y"], ["strength"], "strength_is_preseason")
+    return rounded(found.select("Team", "Season", "strength", "strength_is_preseason"))
+
+
 @query(f"""WITH {TMH_SQL}, {OUTCOMES_SQL}, x AS (SELECT o.*, round(p.ga * 10) AS strength FROM out o JOIN out p ON p."League" = o."League" AND p."Team" = o."Team" AND {start_sql('p."Season"')} + 1 = {start_sql('o."Season"')}),
 l AS (SELECT "League", "Season", regr_slope(pts, strength) AS slope, regr_intercept(pts, strength) AS intercept FROM x GROUP BY ALL)
 SELECT "League", "Season", "Team", round(intercept + slope * strength, 7) AS expected, round(pts - (intercept + slope * strength), 7) AS residual FROM x JOIN l USING ("League", "Season") WHERE slope IS NOT NULL AND NOT isnan(slope)""")
