@@ -50,6 +50,7 @@ def flagged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     )
     base = stash(base, "flags")  # the texts are read once
     heads = base.groupBy(F.col("digest").alias("of")).agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    heads = stash(heads, "heads")  # else the join would run where they are counted, and a hot text could not be split
     known = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("toxic"))
     joined = base.join(known, F.col("doc_id") == F.col("labelled"), "left").join(heads, F.col("digest") == F.col("of"), "left")
     none = F.lit(False)
