@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import joins, resampling, sequential
+from touchline.operators import aggregates, joins, resampling, sequential, store
 from touchline.plans import forecast_queries
 from touchline.sources import files, sinks
 from touchline.streaming import elo, predictions
@@ -168,3 +168,40 @@ def test_recompute_on_change(spark):
         predictions.recompute_on_change(source, lambda df: runs.append(df.count()), lambda: stamps[-1] if stamps else None, stamps.append)
     predictions.recompute_on_change(source.union(source), lambda df: runs.append(df.count()), lambda: stamps[-1], stamps.append)
     assert runs == [1, 2]
+
+
+def test_nulls_that_change_column_are_seen(spark, tmp_path):
+    path = str(tmp_path / "table")
+    one = spark.createDataFrame([(1, None)], "a int, b int")
+    other = spark.createDataFrame([(None, 1)], "a int, b int")
+    assert sinks.write_if_changed(one, path) and sinks.write_if_changed(other, path) and not sinks.write_if_changed(other, path)
+    nested = [spark.createDataFrame([(v, {"k": None})], "a array<int>, m map<string,int>") for v in ([1, None], [None, 1])]
+    assert aggregates.fingerprint(nested[0], ["a", "m"]).first() != aggregates.fingerprint(nested[1], ["a", "m"]).first()
+    empty = spark.createDataFrame([], "a int")
+    assert aggregates.fingerprint(empty, ["a"]).first()["rows"] == 0
+
+
+def test_a_stop_between_the_moves_loses_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    key = ["k"]
+    spark.createDataFrame([(1, "first")], "k int, v string").withColumn("competition", F.lit("domestic")).write.parquet(path + ".old")
+    sinks.append_predictions(spark.createDataFrame([(2, "second"), (1, "late")], "k int, v string"), path, key)
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "first"), (2, "second")]
+    # a replacement that was finished but for the old table's removal
+    spark.createDataFrame([(9, "stale", "domestic")], "k int, v string, competition string").write.parquet(path + ".old")
+    sinks.replace_table(spark.read.parquet(path).filter("k = 2"), path)
+    assert [r.k for r in sinks.checked_read(spark, path, key).collect()] == [2]
+    assert not sinks.exists(spark, path + ".old") and sinks.checked_read(spark, str(tmp_path / "none"), key) is None
+
+
+def test_null_keys_and_repeats_in_the_log(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(None, "b"), (None, "a"), (1, None), (1, "c")], "k int, v string")
+    for _ in range(2):
+        sinks.append_predictions(rows, path, ["k"])
+    assert sorted(((r.k or 0, r.v) for r in spark.read.parquet(path).collect())) == [(0, "a"), (1, "c")]
+    log = spark.createDataFrame([(1, None, None, None)], "k int, actual_home int, actual_away int, actual_result string")
+    results = spark.createDataFrame([(1, 2, 0, "H"), (1, 0, 2, "A")], "k int, FTHG int, FTAG int, FTR string")
+    with pytest.raises(Exception, match="repeated key"):
+        store.settle(log, results, ["k"]).collect()
+    assert store.settle(log, results.limit(1), ["k"]).count() == 1

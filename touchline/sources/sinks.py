@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.operators import store
@@ -19,7 +20,27 @@ def _files(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table, if it is there."""
+    system, where = _files(spark, path)
+    system.delete(where, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a replacement that stopped half way: of ``path`` and ``path.old`` one stays, as ``path``."""
+    system, where = _files(spark, path)
+    old = _files(spark, f"{path}.old")[1]
+    if not system.exists(old):
+        return
+    if system.exists(where):
+        system.delete(old, True)
+    elif not system.rename(old, where):
+        raise OSError(f"cannot move {path}.old back")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table; one that a stopped replacement moved away is moved back first."""
+    recover(spark, path)
     system, where = _files(spark, path)
     return system.exists(where)
 
@@ -36,16 +57,21 @@ def checked_read(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then rename: readers see the old table or the new one, and a failed write changes nothing."""
+    """Write beside ``path``, then move the old table away and the new one in.
+
+    A failed write changes nothing.  A stop between the two moves leaves the old table as
+    ``path.old``; every function here that opens ``path`` moves it back first, and it is deleted
+    only once the new table stands.  One writer at a time is taken for granted.
+    """
     spark, fresh, old = df.sparkSession, f"{path}.new", f"{path}.old"
-    system, where = _files(spark, path)
     df.write.mode("overwrite").parquet(fresh)
+    present = exists(spark, path)
+    system, where = _files(spark, path)
     new, gone = _files(spark, fresh)[1], _files(spark, old)[1]
-    system.delete(gone, True)
-    if system.exists(where) and not system.rename(where, gone):
+    if present and not system.rename(where, gone):
         raise OSError(f"cannot move {path} away")
     if not system.rename(new, where):
-        system.rename(gone, where)
+        recover(spark, path)
         raise OSError(f"cannot move the new table to {path}")
     system.delete(gone, True)
 
@@ -74,10 +100,15 @@ def merge_seasons(df: DataFrame, path: str, columns: Sequence[str], season: str
 
 
 def append_predictions(predictions: DataFrame, path: str, key: Sequence[str] = store.KEY) -> None:
-    """Append those predictions whose key the log lacks; of rows of one key, any one."""
+    """Append those predictions whose key the log lacks; null keys count as equal.
+
+    Of rows of one key, the first in the order of their other columns as JSON is taken.
+    """
     spark = predictions.sparkSession
     log = checked_read(spark, path, key)
-    fresh = store.with_competition(predictions).dropDuplicates(list(key))
+    fresh = store.with_competition(predictions)
+    rest = F.to_json(F.struct(*[c for c in fresh.columns if c not in key]), {"ignoreNullFields": "false"}) if set(fresh.columns) - set(key) else F.lit(0)
+    fresh = fresh.withColumn("_place", F.row_number().over(Window.partitionBy(*key).orderBy(rest))).filter("_place = 1").drop("_place")
     if log is not None:
         fresh = store.new_predictions(log, fresh, key).select(*log.columns)
     fresh.write.mode("append").parquet(path)
@@ -86,6 +117,7 @@ def append_predictions(predictions: DataFrame, path: str, key: Sequence[str] = s
 def settle_log(path: str, results: DataFrame, on: Sequence[str]) -> None:
     """Fill the log's blanks from results and replace it."""
     spark = results.sparkSession
+    recover(spark, path)
     log = spark.read.parquet(path)
     replace_table(store.settle(log, results, on).select(*log.columns), path)
 
@@ -109,10 +141,28 @@ def partitioned_editions(df: DataFrame, path: str, edition: str = "Season") -> N
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share, for tables that live as long as the driver."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A fresh path in the folder that driver and executors share, removed when the driver's Python ends."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not known:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        known = tempfile.mkdtemp(prefix="touchline-")
-    return f"{known.rstrip('/')}/touchline-{name}-{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="touchline-"))
+        known = context.getCheckpointDir()
+    path = f"{known.rstrip('/')}/touchline-{name}-{uuid.uuid4().hex}"
+    atexit.register(_discard, spark, path)
+    return path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    try:
+        delete(spark, path)
+    except Exception:  # noqa: BLE001  the session may already have ended
+        pass
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to a scratch path and read back, and that path: cuts the lineage, and outlives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
