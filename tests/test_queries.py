@@ -8,12 +8,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from touchline.plans import event_queries, forecast_queries, match_queries, player_queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SQL = match_queries.ORACLE_SQL | player_queries.ORACLE_SQL | forecast_queries.ORACLE_SQL | event_queries.ORACLE_SQL
-PLAIN = [n for m in (match_queries, player_queries, forecast_queries, event_queries) for n in m.QUERIES if n not in SQL]
+SQL = {n: q for m in entry.MODULES for n, q in m.ORACLE_SQL.items()}
+PLAIN = [n for m in entry.MODULES for n in m.QUERIES if n not in SQL]
 
 
 @pytest.fixture(scope="module")
