@@ -6,7 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +81,46 @@ def fit_goals(train: DataFrame, features: Sequence[str], home: str = "FTHG", awa
     return GoalModel(used, fills, *fits)
 
 
+OUTCOMES = ("H", "D", "A")
+
+
+def fit_outcome_head(train: DataFrame, features: Sequence[str], actual: str = "FTR"):
+    """A three-way logistic fit on a few features; rows with a null among them or without a result take no part."""
+    label = F.array_position(F.array(*[F.lit(o) for o in OUTCOMES]), F.col(actual)) - 1
+    ready = train.select(*[F.col(f).cast("double").alias(f) for f in features], label.cast("double").alias("_y")).dropna().filter("_y >= 0")
+    assembled = VectorAssembler(inputCols=list(features), outputCol="_x").transform(ready)
+    return LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial", maxIter=100, regParam=0.0).fit(assembled)
+
+
+def head_probabilities(model, df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Adds ph, pd and pa; null where a feature is."""
+    columns = {f"_h_{f}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}
+    whole = F.lit(True)
+    for f in features:
+        whole = whole & F.col(f).isNotNull()
+    ready = VectorAssembler(inputCols=list(columns), outputCol="_x").transform(df.withColumns(columns))
+    scored = model.setFeaturesCol("_x").setProbabilityCol("_p").setRawPredictionCol("_r").setPredictionCol("_g").transform(ready)
+    return scored.withColumn("_a", vector_to_array("_p")).select(*df.columns, *[F.when(whole, F.col("_a")[i]).alias(n) for i, n in enumerate(("ph", "pd", "pa"))])
+
+
+def walk_outcome_head(df: DataFrame, features: Sequence[str], least: int = 2000, season: str = "Season", date: str = "Date", scored: DataFrame | None = None, actual: str = "FTR") -> DataFrame:
+    """Every season scored by a head fitted on the matches strictly before its first date.
+
+    ``scored`` are the matches to forecast, ``df`` itself if None; they never enter a fit unless they are
+    in ``df``, too.  Seasons with fewer than ``least`` earlier results, or not all three outcomes among
+    them, are left out.  The loop is over seasons; every fit is distributed.
+    """
+    scored = df if scored is None else scored
+    firsts = scored.groupBy(season).agg(F.min(date).alias("first")).orderBy("first").collect()
+    out = scored.withColumns({n: F.lit(None).cast("double") for n in ("ph", "pd", "pa")}).limit(0)
+    for row in firsts:
+        train = df.filter((F.col(date) < row["first"]) & F.col(actual).isNotNull())
+        n, kinds = train.agg(F.count(F.lit(1)), F.countDistinct(actual)).first()
+        if n >= least and kinds == len(OUTCOMES):
+            out = out.unionByName(head_probabilities(fit_outcome_head(train, features, actual), scored.filter(F.col(season) == row[season]), features))
+    return out
+
+
 def league_offsets(df: DataFrame, pinned: str, penalty: float = 1.0, steps: int = 30) -> dict[str, float]:
     """Strength of every league against a pinned one, from goals and rates of cross-league ties.
 

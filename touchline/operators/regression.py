@@ -28,7 +28,7 @@ _CUTS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
 
 def poisson_counts(keys: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
     """(keys, draws) counts of mean 1, a function of key, draw and seed only."""
-    x = keys.astype(np.int64).view(np.uint64)[:, None] ^ ((draws.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed) * np.uint64(0xD1B54A32D192ED03))
+    x = keys.astype(np.int64).view(np.uint64)[:, None] ^ ((draws.astype(np.uint64)[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1B54A32D192ED03 % 2**64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     x ^= x >> np.uint64(31)
