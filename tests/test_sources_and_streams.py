@@ -3,10 +3,11 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import aggregates, joins, resampling, sequential, store
+from touchline.operators import aggregates, joins, models, ranking, resampling, sequential, store
 from touchline.plans import forecast_queries
 from touchline.sources import files, sinks
 from touchline.streaming import elo, predictions
@@ -205,3 +206,47 @@ def test_null_keys_and_repeats_in_the_log(spark, tmp_path):
     with pytest.raises(Exception, match="repeated key"):
         store.settle(log, results, ["k"]).collect()
     assert store.settle(log, results.limit(1), ["k"]).count() == 1
+
+
+def test_long_and_quoted_headers(spark, tmp_path):
+    many = ",".join(f"column{i}" for i in range(4000))
+    written(tmp_path, "a.csv", f"{many},Div,\"Odds, best\",Div,\n{','.join(['x'] * 4000)},E0,\"1,5\",again,z\n\n".encode())
+    written(tmp_path, "b.csv", "﻿Div,HomeTeam\nE0,Málaga\n".encode())
+    written(tmp_path, "c.csv", "Div,HomeTeam\nE1,Málaga\nE1\n,none\n".encode("latin-1"))
+    got = files.csv_table(spark, str(tmp_path))
+    rows = {(r._file, r.Div, r.HomeTeam, r["Odds, best"], r.column3999) for r in got.collect()}
+    assert rows == {("a.csv", "E0", None, "1,5", "x"), ("b.csv", "E0", "Málaga", None, None), ("c.csv", "E1", "Málaga", None, None), ("c.csv", "E1", None, None, None)}
+    assert "" not in got.columns and len(got.columns) == 4000 + 5
+
+
+def test_walk_of_a_stream_in_tables(spark, tmp_path):
+    rows = games()
+    whole = {r.match_id: (r.home_elo, r.away_elo) for r in sequential.elo_walk(spark.createDataFrame(rows, KIND)).collect()}
+    for start in range(0, len(rows), 20):
+        spark.createDataFrame(rows[start : start + 20], KIND).repartition(3).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        elo.walk_stream(spark.readStream.schema(KIND).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.match_id: (r.home_elo, r.away_elo) for r in spark.read.parquet(str(tmp_path / "out" / "matches")).collect()}
+    assert got.keys() == whole.keys() and all(got[i] == pytest.approx(whole[i]) for i in whole)
+    last = {r.Team: r.rating for r in spark.read.parquet(str(tmp_path / "out" / "ratings")).filter("batch = 2").collect()}
+    want = {r.Team: r.elo for r in sequential.final_ratings(spark.createDataFrame(rows, KIND)).collect()}
+    assert last == pytest.approx(want)
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    vectors = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "i int, v array<double>").repartition(3)
+    subjects = vectors.filter("i % 3 = 0")
+    whole = sorted(map(tuple, ranking.nearest_vectors(subjects, vectors, "i", "v", 5).collect()))
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 100)
+    assert sorted(map(tuple, ranking.nearest_vectors(subjects, vectors, "i", "v", 5).collect())) == whole and len(whole) == 100
+
+
+def test_stratum_fits(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x), float(z), float(2 + 3 * x - z + rng.normal())) for x, z in rng.normal(size=(80, 2))] + [("b", 1.0, 2.0, 5.0), ("b", 2.0, 1.0, 5.0), ("b", None, 1.0, 9.0)]
+    got = {r.k: r for r in models.stratum_fits(spark.createDataFrame(rows, "k string, x double, z double, y double").repartition(3), "y", ["x", "z"], ["k"]).collect()}
+    data = np.array([r[1:] for r in rows[:80]])
+    design = np.column_stack([np.ones(80), data[:, :2]])
+    beta = np.linalg.lstsq(design, data[:, 2], rcond=None)[0]
+    assert [got["a"].intercept, got["a"].slope_x, got["a"].slope_z] == pytest.approx(list(beta))
+    assert got["a"].r_squared == pytest.approx(1 - (data[:, 2] - design @ beta).var() / data[:, 2].var()) and got["b"].n == 2 and got["b"].r_squared is None

@@ -146,8 +146,21 @@ def league_offsets(df: DataFrame, pinned: str, penalty: float = 1.0, steps: int
     return {n: float(x[index[n]] - base) for n in names}
 
 
-def residualise(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Adds the residual of y on several x within each stratum.
+def stratum_fits(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by, n, intercept, a slope an x, r_squared) of the fit of y on several x within each stratum.
+
+    Rows with a null among them take no part; r_squared is null where y does not vary.
+    """
+    whole = df.select(*by, *[F.col(c).cast("double").alias(c) for c in [y, *xs]]).dropna(subset=[y, *xs])
+    fitted = residualise(whole, y, xs, by, beta="_beta")
+    total = F.sum(F.pow(F.col(y), 2)) - F.pow(F.sum(y), 2) / F.count(y)
+    left = F.sum(F.pow(F.col("residual"), 2))
+    slopes = [F.first(F.col("_beta")[i + 1]).alias(f"slope_{x}") for i, x in enumerate(xs)]
+    return fitted.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.first(F.col("_beta")[0]).alias("intercept"), *slopes, F.when(total > 1e-9, 1 - left / total).alias("r_squared"))
+
+
+def residualise(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str], beta: str | None = None) -> DataFrame:
+    """Adds the residual of y on several x within each stratum, and its coefficients as ``beta`` if asked for.
 
     Strata are reduced to moments before anything is solved, so their size does not matter.
     """
@@ -167,4 +180,5 @@ def residualise(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str]) ->
     kind = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in by) + ", _beta array<double>"
     fitted = base.join(sums.mapInPandas(solve, kind), list(by))
     line = sum((F.col("_beta")[i] * F.col(c) for i, c in enumerate(columns)), F.lit(0.0))
-    return fitted.withColumn("residual", F.col(y) - line).drop("_beta", "_one")
+    out = fitted.withColumn("residual", F.col(y) - line).drop("_one")
+    return out.withColumnRenamed("_beta", beta) if beta else out.drop("_beta")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A table whose numbers take at most so many bytes may be broadcast.
+#: A block of vectors whose numbers take about so many bytes may be broadcast.
 BROADCAST_BYTES = 16_000_000
 
 
@@ -47,13 +48,18 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
 def nearest_vectors(subjects: DataFrame, vectors: DataFrame, id_col: str, vector_col: str, n: int) -> DataFrame:
     """For each subject, the ``n`` nearest other vectors by Euclidean distance.
 
-    Subjects are broadcast if their numbers take at most ``BROADCAST_BYTES``; more of them are
-    met block by block, every block of vectors with every block of subjects.  Each task keeps the
-    ``n`` nearest it has seen of a subject, so only those are shuffled.
+    Subjects are broadcast in blocks whose numbers take about ``BROADCAST_BYTES``, so that vectors are
+    not shuffled: each block is one pass over them.  Each task keeps the ``n`` nearest it has seen of a
+    subject, so only those move.
     """
     subject = subjects.select(F.col(id_col).alias("subject"), F.col(vector_col).alias("_s"))
     octets = subject.agg(F.coalesce(F.sum(F.size("_s")), F.lit(0)) * 8).first()[0]
-    subject = F.broadcast(subject) if octets <= BROADCAST_BYTES else subject
+    blocks = max(1, -(-int(octets) // BROADCAST_BYTES))
     squares = F.aggregate(F.zip_with("_s", vector_col, lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda t, x: t + x)
-    away = vectors.join(subject, F.col(id_col) != F.col("subject")).select("subject", F.col(id_col).alias("neighbour"), F.sqrt(squares).alias("distance"))
+    parts = []
+    for i in range(blocks):
+        block = subject.filter(F.pmod(F.xxhash64("subject"), F.lit(blocks)) == i) if blocks > 1 else subject
+        met = vectors.join(F.broadcast(block), F.col(id_col) != F.col("subject"))
+        parts.append(met.select("subject", F.col(id_col).alias("neighbour"), F.sqrt(squares).alias("distance")))
+    away = reduce(DataFrame.union, parts)
     return top_n_per_group(away, ["subject"], [F.asc("distance"), F.asc("neighbour")], n, "place")

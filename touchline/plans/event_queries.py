@@ -94,6 +94,6 @@ def elo_streamed(spark, sf_dir):
     feed = sinks.scratch(spark, "matches")
     games = matches(spark, sf_dir).select("match_id", "Date", "Season", "HomeTeam", "AwayTeam", "FTHG", "FTAG")
     games.write.parquet(f"{feed}/in")
-    stream = elo.streamed_elo(spark.readStream.schema(games.schema).parquet(f"{feed}/in"))
-    stream.writeStream.format("parquet").option("path", f"{feed}/out").option("checkpointLocation", f"{feed}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{feed}/out").select("match_id", F.round("home_elo", 6).alias("home_elo"), F.round("away_elo", 6).alias("away_elo"))
+    elo.walk_stream(spark.readStream.schema(games.schema).parquet(f"{feed}/in"), f"{feed}/out", f"{feed}/state").awaitTermination()
+    found = spark.read.parquet(f"{feed}/out/matches")
+    return found.select("match_id", F.round("home_elo", 6).alias("home_elo"), F.round("away_elo", 6).alias("away_elo"))

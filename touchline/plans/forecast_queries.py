@@ -354,8 +354,8 @@ def shapley_families(spark, sf_dir):
 
 @query()
 def residual_by_stratum(spark, sf_dir):
-    out = models.residualise(rates(spark, sf_dir).withColumn("y", F.col("FTHG").cast("double")), "y", ["HxG", "AxG"], ["League"])
-    return rounded(out.groupBy("League").agg(F.count(F.lit(1)).alias("n"), F.avg("residual").alias("mean_residual")))
+    """Per league: how much of the home goals' variance two inputs explain, and by which coefficients."""
+    return rounded(models.stratum_fits(rates(spark, sf_dir).withColumn("y", F.col("FTHG").cast("double")), "y", ["HxG", "AxG"], ["League"]))
 
 
 @query()

@@ -204,12 +204,12 @@ def nearest_season_role(spark, sf_dir):
     return joins.nearest(base.select("player", "y").distinct(), known, ["player"], "y", "y", "role", 1)
 
 
-@query(f"""WITH {PLAYERS_SQL}, a AS (SELECT DISTINCT player % 97 AS name, age, player, {start_sql('"Season"')} AS y FROM players),
+@query(f"""WITH {PLAYERS_SQL}, a AS (SELECT DISTINCT player // 20 AS name, age, player, {start_sql('"Season"')} AS y FROM players),
 j AS (SELECT a.player, a.y, a.age, b.player AS other, count(*) OVER (PARTITION BY a.player, a.age, a.y) AS n FROM a JOIN a b ON a.name = b.name AND b.y = a.y + 1 AND abs(b.age - (a.age + 1)) <= 1.5) SELECT player, y, age, other FROM j WHERE n = 1""")
 def age_band_match(spark, sf_dir):
     """From every season to the next: same name and an age near one year on, kept only where it is the one candidate."""
     year = seasons.season_start(F.col("Season"))
-    a = players(spark, sf_dir).select((F.col("player") % 97).alias("name"), "age", "player", year.alias("y")).distinct()
+    a = players(spark, sf_dir).select(F.floor(F.col("player") / 20).alias("name"), "age", "player", year.alias("y")).distinct()
     b = a.select(F.col("name").alias("n2"), F.col("age").alias("age2"), F.col("player").alias("other"), (F.col("y") - 1).alias("y2"))
     same = (F.col("name") == F.col("n2")) & (F.col("y") == F.col("y2"))
     return joins.band_match(a, b, same, F.abs(F.col("age2") - (F.col("age") + 1)) <= 1.5, ["player", "age", "y"]).select("player", "y", "age", "other")

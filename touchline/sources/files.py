@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
+import csv
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Columns of a match file, and the names they get.
 MATCH_COLUMNS = {"Div": "League", "HomeTeam": "HomeTeam", "AwayTeam": "AwayTeam"}
@@ -18,28 +18,46 @@ ODDS = ("AvgH", "AvgD", "AvgA")
 DASHES = "-‐‑‒–—―"
 
 
+def _lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """_file, _path, start and line: the lines of text files, each as UTF-8 if it is valid and else as Latin-1.
+
+    Files are read in splits; the byte order mark goes, and lines without anything are left out.
+    """
+    value = F.col("value")
+    text = F.when(F.is_valid_utf8(value), value).otherwise(F.decode(value.cast("binary"), "ISO-8859-1"))
+    rows = spark.read.text(paths if isinstance(paths, str) else list(paths)).select(text.alias("line"), "_metadata.file_name", "_metadata.file_path", "_metadata.file_block_start")
+    rows = rows.select(F.col("file_name").alias("_file"), F.col("file_path").alias("_path"), F.col("file_block_start").alias("start"), F.regexp_replace("line", "^\uFEFF", "").alias("line"))
+    return rows.filter(F.trim("line") != "")
+
+
+def header_names(line: str) -> list[str]:
+    """The column names of a header line, quoted commas included; of equal names only the first is kept, as null the rest."""
+    names, seen = [c.strip() for c in next(csv.reader([line]), [])], set()
+    return [None if not c or c in seen or seen.add(c) else c for c in names]
+
+
 def csv_table(spark: SparkSession, paths: Sequence[str] | str, required: str = "Div") -> DataFrame:
     """All columns of all files as strings, with ``_file`` and ``_path``; rows without ``required`` are dropped.
 
-    A file is read as UTF-8 if all of it is valid, else as Latin-1; a byte order mark is skipped.
-    Files are grouped by (encoding, header line), so columns go by name and may be in any order or
-    absent, where they are null.  Only one short row a file reaches the driver.  A file without
-    the required column is left out.
+    Lines are read as UTF-8 where they are valid, else as Latin-1; a byte order mark is skipped.
+    Files are grouped by header line, so columns go by name and may be in any order or absent,
+    where they are null; columns without a name are left out.  Only the first line of a file reaches
+    the driver.  A file without the required column is left out.  A quoted field ends with its line.
     """
-    raw = spark.read.format("binaryFile").load(paths)
-    start = F.substring(F.col("content"), 1, 20_000)
-    first = F.regexp_extract(F.decode(start, "ISO-8859-1"), r"^([^\r\n]*)", 1)
-    heads = raw.select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("utf8"), first.alias("head")).collect()
-    groups: dict[tuple[bool, str], list[str]] = {}
+    lines = _lines(spark, paths)
+    heads = lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("line", "at").alias("head")).collect()
+    groups: dict[str, list[str]] = {}
     for r in heads:
-        if required in [c.strip().strip('"') for c in re.sub("^ï»¿", "", r["head"]).split(",")]:
-            groups.setdefault((r["utf8"], r["head"]), []).append(r["path"])
+        if required in header_names(r["head"]):
+            groups.setdefault(r["head"], []).append(r["_path"])
     parts = []
-    for (utf8, _), files in sorted(groups.items(), key=lambda g: (g[0][1], g[0][0])):
-        part = spark.read.csv(files, header=True, encoding="UTF-8" if utf8 else "ISO-8859-1", mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-        part = part.toDF(*[c.lstrip("﻿") for c in part.columns])
-        part = part.select(*[F.col(f"`{c}`") for c in part.columns if not re.fullmatch(r"_c\d+", c)], F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_path").alias("_path"))
-        parts.append(part.filter(F.col(required).isNotNull() & (F.trim(required) != "")))
+    for head, files in sorted(groups.items()):
+        names = header_names(head)
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+        parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+        rows = lines.filter(F.col("_path").isin(sorted(files)) & (F.col("line") != head)).select("_file", "_path", parsed.alias("r"))
+        part = rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names) if n], "_file", "_path")
+        parts.append(part.filter(F.col(f"`{required}`").isNotNull() & (F.trim(f"`{required}`") != "")))
     if not parts:
         return spark.createDataFrame([], f"{required} string, _file string, _path string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
