@@ -120,7 +120,7 @@ def test_sketch_distance_is_a_lower_bound():
         a = rng.integers(0, 2**63, n).astype(np.uint64)
         b = np.concatenate([a[int(rng.integers(0, n // 4 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
         words = np.array([max(2, n // 9)] * 2)
-        value, at = ngram_join.sketch(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), words)
+        value, _, at = ngram_join.sketch(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), words)
         apart = int(np.bitwise_count(value[: at[1]] ^ value[at[1] :]).sum())
         assert apart <= len(np.setxor1d(a, b))
 

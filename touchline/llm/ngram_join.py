@@ -6,8 +6,9 @@
 2. Sizes are cut into bands.  In a band, sets similar enough differ in at most D shingles, and a
    sketch has D + 1 words of 64 bits.  Every shingle flips one bit of its sketch, so sketches
    differ in at most as many bits as sets differ in shingles: the Hamming distance is a lower
-   bound.  By the pigeonhole principle, sketches at most D apart agree in one word at least; that
-   word is what the join buckets by.  A set that smaller ones of a lower band may be similar to
+   bound.  By the pigeonhole principle, sets at most D apart have the same shingles in one word at
+   least; that word, with an XOR of its shingles' hashes (without which words of one shingle would
+   meet by chance), is what the join buckets by.  A set that smaller ones of a lower band may be similar to
    has a sketch of that band too.  Nothing of this is random in its outcome: no link is lost.
 3. Within a bucket no list of all pairs is made.  In each of a few rounds every member is compared
    with one hub of its bucket, unless both are already connected; what is left, members of buckets
@@ -29,20 +30,24 @@ from pyspark.sql import functions as F
 from touchline.llm.components import components
 from touchline.llm.kernels import mix64
 from touchline.llm.minhash import _groups, _placed, _verified, document_sets
-from touchline.llm.shared import stash
+from touchline.llm.shared import new_path, remove, short_batches, stash
 
 WIDTH = 3
 #: The threshold, as a ratio of integers so that links are decided exactly.
 SIMILAR = (90, 100)
-#: A band reaches up to so many times its lower end: wide ones have longer sketches than their small sets need, narrow ones put more sets into two bands.
-BAND = (3, 2)
+#: A band reaches up to so many times its lower end.  In wide ones, small sets have longer sketches than
+#: they need, whose words are near empty and meet by chance; narrow ones put more sets into two bands.
+BAND = (5, 4)
 #: Hub rounds, and how many partners of a member a block lists before it compares in place.
 ROUNDS, LISTED = 2, 8
 #: Sets of a slice of texts are sketched at once; the arrays of so many shingles are in memory.
-SLICE = 500_000
+SLICE = 150_000
+#: Words of sketches that one task turns into keys and counts.
+TASK_WORDS = 400_000
 
 _SALT = np.uint64(0x9FB21C651E98DF25)
-_SKETCHED = "doc_id long, n_shingles long, digest binary, bands array<struct<band: int, sketch: binary>>"
+_SIZED = "doc_id long, n_shingles long, digest binary"
+_SKETCHED = _SIZED + ", band int, sketch binary, marks binary"
 
 
 def edges(most: int = 1 << 40) -> np.ndarray:
@@ -73,53 +78,58 @@ def lower_size(n, similar: tuple[int, int]):
     return -(-n * part // whole)
 
 
-def sketch(flat: np.ndarray, of: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(all words, offsets): the parity sketches of sets given as shingles and the set of each."""
+def sketch(flat: np.ndarray, of: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, marks, offsets): the parity sketches of sets given as shingles and the set of each, and the XOR of each word's hashes."""
     at = np.concatenate([[0], np.cumsum(words)])
     mixed = mix64(flat ^ _SALT)
-    place = ((mixed >> np.uint64(32)) * words[of].astype(np.uint64)) >> np.uint64(32)
-    out = np.zeros(at[-1], dtype=np.uint64)
-    np.bitwise_xor.at(out, at[of] + place.astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
-    return out, at
+    place = at[of] + (((mixed >> np.uint64(32)) * words[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+    out, marks = np.zeros(at[-1], dtype=np.uint64), np.zeros(at[-1], dtype=np.uint32)
+    np.bitwise_xor.at(out, place, np.uint64(1) << (mixed & np.uint64(63)))
+    np.bitwise_xor.at(marks, place, (mix64(mixed) >> np.uint64(32)).astype(np.uint32))
+    return out, marks, at
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[list, list[np.ndarray], list[bytes]]]:
+    """(ids, sets, digests) of some texts at a time."""
+    for batch in batches:
+        at, ids, sets = 0, [], []
+        for part in document_sets(batch.column(1), width):
+            ids += batch.column(0).slice(at, len(part)).to_pylist()
+            sets += part
+            at += len(part)
+            if sum(map(len, sets)) > SLICE or at == batch.num_rows:
+                yield ids, sets, [hashlib.sha256(s.tobytes()).digest() for s in sets]
+                ids, sets = [], []
+
+
+def _sized(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets, digests in _sets(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
+
+    return run
 
 
 def _sketched(similar: tuple[int, int], width: int):
+    """The sketch of each text in its own band, and in the lower ones that a similar set may have."""
     ends = edges()
     lengths = sketch_words(similar, ends)
 
-    def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
-        size = np.array([len(s) for s in sets], dtype=np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        of = np.repeat(np.arange(len(sets)), size)
-        own = np.searchsorted(ends, size, "right") - 1
-        low = np.searchsorted(ends, lower_size(size, similar), "right") - 1
-        found: list[list[dict]] = [[] for _ in sets]
-        for down in range(int((own - low).max(initial=0)) + 1):
-            band, wanted = own - down, (size > 0) & (own - down >= low)
-            words = np.where(wanted, lengths[np.maximum(band, 0)], 0)
-            stay = words[of] > 0
-            value, at = sketch(flat[stay], of[stay], words)
-            for i in np.flatnonzero(words).tolist():
-                found[i].append({"band": int(band[i]), "sketch": value[at[i] : at[i + 1]].tobytes()})
-        digests = [hashlib.sha256(s.tobytes()).digest() for s in sets]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(size), pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.struct([("band", pa.int32()), ("sketch", pa.binary())])))],
-            names=["doc_id", "n_shingles", "digest", "bands"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, ids, sets, held = 0, [], [], 0
-            for part in document_sets(batch.column(1), width):
-                ids += batch.column(0).slice(at, len(part)).to_pylist()
-                sets += part
-                at += len(part)
-                held += sum(map(len, part))
-                if held > SLICE:
-                    yield rows(ids, sets)
-                    ids, sets, held = [], [], 0
-            if sets:
-                yield rows(ids, sets)
+        for ids, sets, digests in _sets(batches, width):
+            size = np.array([len(s) for s in sets], dtype=np.int64)
+            flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            own = np.searchsorted(ends, size, "right") - 1
+            low = np.searchsorted(ends, lower_size(size, similar), "right") - 1
+            for down in range(int((own - low).max(initial=0)) + 1):
+                band = own - down
+                words = np.where((size > 0) & (band >= low), lengths[np.maximum(band, 0)], 0)
+                stay, rows = words[of] > 0, np.flatnonzero(words)
+                value, marks, at = sketch(flat[stay], of[stay], words)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids[i] for i in rows], pa.int64()), pa.array(size[rows]), pa.array([digests[i] for i in rows], pa.binary()), pa.array(band[rows].astype(np.int32)), *[pa.array([x[at[i] : at[i + 1]].tobytes() for i in rows], pa.binary()) for x in (value, marks)]],
+                    names=["doc_id", "n_shingles", "digest", "band", "sketch", "marks"],
+                )
 
     return run
 
@@ -131,10 +141,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not size.sum():
             continue
         value = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64)
+        marks = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint32).astype(np.uint64)
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(value)) - np.repeat(np.cumsum(size) - size, size)
         band = batch.column(1).to_numpy(zero_copy_only=False)[row]
-        key = mix64(mix64(value ^ _SALT) + mix64((band.astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)))
+        key = mix64(mix64(value ^ _SALT) + mix64(marks + _SALT) + mix64((band.astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(band.astype(np.int32))], names=["key", "rep", "band"])
 
 
@@ -260,6 +271,14 @@ def _full_sets(width: int):
     return run
 
 
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like ``stash``, with the path, so that a large table can go before the driver ends."""
+    path = new_path(df.sparkSession, name)
+    with short_batches(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: tuple[int, int] = SIMILAR, width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id.
 
@@ -270,31 +289,42 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component is null.  Other columns are ignored.  An empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = stash(base.mapInArrow(_sketched(similar, width), _SKETCHED), "sketched")
-    known = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = stash(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = known.join(classes.select(F.col("rep"), F.col("digest").alias("of")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of")))
-    banded = chosen.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("in")).select("rep", F.col("in.band").alias("band"), "n", F.col("in.sketch").alias("sketch"))
-    banded = stash(banded, "banded")
-
-    keys = banded.select("rep", "band", "sketch").mapInArrow(_keys, "key long, rep long, band int")
-    shared = keys.groupBy(F.col("key").alias("bucket")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("bucket")
-    members = stash(keys.join(shared, F.col("key") == F.col("bucket")).select("key", "rep", "band").distinct(), "members")
-    wanted = stash(members.select(F.col("rep").alias("wanted")).distinct(), "wanted")
-    sketches = stash(banded.join(wanted, F.col("rep") == F.col("wanted"), "left_semi").dropDuplicates(["rep", "band"]), "sketches")
+    spark = docs.sparkSession
+    sized = stash(base.mapInArrow(_sized(width), _SIZED), "sized")
+    known = sized.filter("n_shingles > 0 and doc_id is not null")
+    classes = stash(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "classes")
+
+    # sketches of the classes' first documents only, in so many tasks that the keys of one fit well
+    shingles = classes.agg(F.sum("n")).first()[0] or 0
+    tasks = 1 + 2 * differ(2 * shingles, similar) // TASK_WORDS
+    sketched = base.mapInArrow(_sketched(similar, width), _SKETCHED).repartition(tasks, "doc_id", "digest")
+    first = classes.select("rep", F.col("digest").alias("of"))
+    banded = sketched.join(first, (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("of"))).select("rep", "band", F.col("n_shingles").alias("n"), "sketch", "marks")
+    banded, banded_path = _written(banded, "banded")
+
+    # from here on all is joined by sort and merge at every size: a side that could be broadcast on a
+    # small table cannot on a large one
+    keys = banded.select("rep", "band", "sketch", "marks").mapInArrow(_keys, "key long, rep long, band int")
+    shared = keys.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket").hint("merge")
+    members = stash(keys.join(shared, F.col("key") == F.col("bucket")).select("key", "rep", "band"), "members")
+    wanted = stash(members.select(F.col("rep").alias("wanted")).distinct(), "wanted").hint("merge")
+    sketches = stash(banded.drop("marks").join(wanted, F.col("rep") == F.col("wanted"), "left_semi").dropDuplicates(["rep", "band"]), "sketches")
+    remove(spark, banded_path)
     texts = base.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi")
-    sets = stash(texts.mapInArrow(_full_sets(width), "id long, members binary"), "sets")
+    sets = stash(texts.mapInArrow(_full_sets(width), "id long, members binary"), "sets").hint("merge")
+    sketches = sketches.hint("merge")
 
     labels = wanted.select(F.col("wanted").alias("node"), F.col("wanted").alias("label"))
     tested = None
     for turn in range(ROUNDS + 1):
-        labelled = members.join(labels, F.col("rep") == F.col("node")).select("key", "rep", "band", "label")
+        labelled = members.join(labels.hint("merge"), F.col("rep") == F.col("node")).select("key", "rep", "band", "label")
         rank = F.xxhash64(F.lit(turn), "rep")
         hubs = labelled.groupBy(F.col("key").alias("bucket")).agg(
             F.min_by(F.struct("rep", "label"), rank).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")
         )
         # a bucket of two was compared whole in the first round
-        open_rows = labelled.join(hubs.filter("lo < hi" if not turn else "lo < hi and n > 2"), F.col("key") == F.col("bucket"))
+        hubs = hubs.filter("lo < hi" if not turn else "lo < hi and n > 2").hint("merge")
+        open_rows = labelled.join(hubs, F.col("key") == F.col("bucket"))
         inside = None
         if turn < ROUNDS:
             pairs = open_rows.filter("label <> hub.label").select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b"), "band").distinct()
@@ -311,12 +341,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             inside = _within(block.filter("b is null"), placed, sketches, sets, similar)
         links = _verified(pairs, sets, similar)
         links = links if inside is None else links.union(inside)
-        node = labels.select("node", "label")
+        node = labels.select("node", "label").hint("merge")
         joined = links.join(node, F.col("u") == F.col("node")).select(F.col("label").alias("lu"), "v").join(node, F.col("v") == F.col("node"))
         merged = components(joined.select(F.col("lu").alias("u"), F.col("label").alias("v")))
         labels = stash(labels.join(merged.withColumnRenamed("node", "old"), F.col("label") == F.col("old"), "left").select("node", F.coalesce("component", "label").alias("label")), "labels")
 
     found = classes.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("of"), F.coalesce("label", "rep").alias("component"))
-    rows = sketched.select("doc_id", "n_shingles", "digest")
+    rows = sized.select("doc_id", "n_shingles", "digest")
     joined = rows.join(found, (F.col("digest") == F.col("of")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
