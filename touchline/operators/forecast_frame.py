@@ -45,7 +45,7 @@ def _frame(mu_home: np.ndarray, mu_away: np.ndarray, rho: np.ndarray) -> dict[st
     h, a = np.indices(grid.shape[1:])
     share = lambda where: grid[:, where].sum(axis=1)
     flat = grid.reshape(len(grid), -1)
-    best, left = [], flat.copy()
+    best, left = [], np.round(flat, 12)  # equal to twelve digits is equal
     for _ in range(TOP_SCORES):  # argmax takes the first of equal ones
         best.append(left.argmax(axis=1))
         left[np.arange(len(left)), best[-1]] = -1.0
@@ -73,13 +73,14 @@ def prediction_frame(df: DataFrame, mu_home: str = "mu_home", mu_away: str = "mu
     """``df`` with expected goals, the three outcomes, the likeliest, the modal score, the three likeliest
     scores, over 2.5 goals and both sides to score; null where a rate is.
 
-    Rates below 1e-6 count as that.  Of equal scores the one with fewer home, then away goals stands first.
+    Rates below 1e-6 count as that.  What is equal to twelve digits is equal: the score with fewer home, then
+    away goals stands first, and home before draw before away.
     """
     r = rho if isinstance(rho, Column) else F.lit(float(rho))
     m, n = (F.greatest(F.col(c).cast("double"), F.lit(1e-6)) for c in (mu_home, mu_away))
     held = df.withColumn("_f", _published(F.when(F.col(mu_home).isNotNull(), m), F.when(F.col(mu_away).isNotNull(), n), r))
     out = held.select(*df.columns, *[F.col("_f")[c].alias(c) for c in FRAME])
-    picked = F.when(F.col("prob_home_win").isNotNull(), scoring.pick(F.col("prob_home_win"), F.col("prob_draw"), F.col("prob_away_win")))
+    picked = F.when(F.col("prob_home_win").isNotNull(), scoring.pick(*[F.round(c, 12) for c in ("prob_home_win", "prob_draw", "prob_away_win")]))
     return out.withColumn("predicted_outcome", picked)
 
 

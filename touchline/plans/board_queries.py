@@ -30,7 +30,7 @@ fr AS (SELECT match_id, sum(CASE WHEN h > a THEN p ELSE 0 END) AS ph, sum(CASE W
        max(CASE WHEN n = 1 THEN p END) AS p0, max(CASE WHEN n = 2 THEN p END) AS p1, max(CASE WHEN n = 3 THEN p END) AS p2, max(CASE WHEN n = 1 THEN h END) AS h0, max(CASE WHEN n = 1 THEN a END) AS a0 FROM rk GROUP BY match_id),
 priced AS (SELECT match_id, 1 + ("HS" % 9) / 4.0::DOUBLE + 0.1::DOUBLE AS oh, 2.5::DOUBLE + ("HST" % 3) / 2.0::DOUBLE AS od, 1 + ("AST" % 7) / 3.0::DOUBLE AS oa FROM matches WHERE match_id % 4 <> 0),
 mk AS (SELECT match_id, 1 / oh / (1 / oh + 1 / od + 1 / oa) AS mh_, 1 / od / (1 / oh + 1 / od + 1 / oa) AS md_, 1 / oa / (1 / oh + 1 / od + 1 / oa) AS ma_ FROM priced WHERE oh > 1 AND od > 1 AND oa > 1),
-full_frame AS (SELECT mu.match_id, "League", "Season", "FTR", mh, ma, ph, pd, pa, over25, btts, p0, p1, p2, h0, a0, CASE WHEN ph >= pd AND ph >= pa THEN 'H' WHEN pd >= pa THEN 'D' ELSE 'A' END AS pick, mh_, md_, ma_ FROM mu JOIN fr USING (match_id) LEFT JOIN mk USING (match_id))"""
+full_frame AS (SELECT mu.match_id, "League", "Season", "FTR", mh, ma, ph, pd, pa, over25, btts, p0, p1, p2, h0, a0, CASE WHEN round(ph, 12) >= round(pd, 12) AND round(ph, 12) >= round(pa, 12) THEN 'H' WHEN round(pd, 12) >= round(pa, 12) THEN 'D' ELSE 'A' END AS pick, mh_, md_, ma_ FROM mu JOIN fr USING (match_id) LEFT JOIN mk USING (match_id))"""
 
 
 def frame(spark, sf_dir) -> DataFrame:

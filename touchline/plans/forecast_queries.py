@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import names, scoreline, scoring, seasons
-from touchline.operators import aggregates, boosting, joins, models, resampling, sequential, sides, store, windows
+from touchline.operators import aggregates, boosting, forecast_frame, joins, models, resampling, sequential, sides, store, windows
 from touchline.plans.bridge import FIRST_SQL, KEYS, MATCHES_SQL, SIDES, first_meetings, matches, start_sql, table
 from touchline.plans.match_queries import rounded
 from touchline.sources import sinks
@@ -73,9 +73,9 @@ def over_under_btts(spark, sf_dir):
 
 @query(f"""WITH {CELLS_SQL}, r AS (SELECT match_id, h, a, p, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, h, a) AS n FROM cells) SELECT match_id, n AS place, h, a, round(p, 6) AS p FROM r WHERE n <= 3""")
 def top3_scores(spark, sf_dir):
-    g = F.transform("grid", lambda row: F.transform(row, lambda x: F.round(x, 12)))
-    top = grids(spark, sf_dir).select("match_id", F.posexplode(scoreline.top_scores(g, 3)).alias("n", "c"))
-    return rounded(top.select("match_id", (F.col("n") + 1).alias("place"), "c.h", "c.a", "c.p"))
+    framed = forecast_frame.prediction_frame(rates(spark, sf_dir), rho=RHO)
+    places = F.array(*[F.struct(F.lit(k + 1).alias("place"), F.col(f"score_{k}_home").alias("h"), F.col(f"score_{k}_away").alias("a"), F.col(f"score_{k}_prob").alias("p")) for k in range(3)])
+    return rounded(framed.select("match_id", F.explode(places).alias("s")).select("match_id", "s.*"))
 
 
 ODDS_SQL = 'CASE WHEN match_id % 13 = 0 THEN 0 ELSE 1.2 + (match_id % 40) / 10.0 END::DOUBLE AS oh, (2.5 + (match_id % 17) / 10.0)::DOUBLE AS od, (1.4 + (match_id % 31) / 10.0)::DOUBLE AS oa'
@@ -154,10 +154,9 @@ def against_the_run(spark, sf_dir):
 
 @query(f"""WITH {CELLS_SQL}, r AS (SELECT match_id, h, a, row_number() OVER (PARTITION BY match_id ORDER BY round(p, 12) DESC, h, a) AS n FROM cells) SELECT "League", round(avg(CASE WHEN h = "FTHG" AND a = "FTAG" THEN 1.0::DOUBLE ELSE 0 END), 6) AS exact_rate, count(*) AS n FROM mu JOIN r USING (match_id) WHERE r.n = 1 GROUP BY ALL""")
 def exact_score_rate(spark, sf_dir):
-    g = F.transform("grid", lambda row: F.transform(row, lambda x: F.round(x, 12)))
-    top = grids(spark, sf_dir).withColumn("best", scoreline.top_scores(g, 1)[0])
-    hit = (F.col("best.h") == F.col("FTHG")) & (F.col("best.a") == F.col("FTAG"))
-    return rounded(top.groupBy("League").agg(F.avg(hit.cast("double")).alias("exact_rate"), F.count(F.lit(1)).alias("n")))
+    framed = forecast_frame.prediction_frame(rates(spark, sf_dir), rho=RHO)
+    hit = (F.col("modal_score_home") == F.col("FTHG")) & (F.col("modal_score_away") == F.col("FTAG"))
+    return rounded(framed.groupBy("League").agg(F.avg(hit.cast("double")).alias("exact_rate"), F.count(F.lit(1)).alias("n")))
 
 
 LOG_SQL = f"""{MATCHES_SQL}, log AS (SELECT match_id, "League", "Date", "HomeTeam", "AwayTeam", CASE WHEN match_id % 5 = 0 THEN 9 END AS actual_home, CASE WHEN match_id % 5 = 0 THEN 9 END AS actual_away, CASE WHEN match_id % 5 = 0 THEN 'D' END AS actual_result FROM matches),
