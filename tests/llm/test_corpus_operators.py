@@ -226,6 +226,49 @@ def test_decontamination(spark, docs, table):
     assert decontam.contaminated_pairs(docs, bench.limit(0)).count() == 0
 
 
+def bag_similarity(a, b):
+    from collections import Counter
+
+    p, q = (Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (a, b))
+    return sum((p & q).values()) / sum((p | q).values())
+
+
+def test_decontamination_of_texts_that_few_words_dominate(spark):
+    """Where a few words make up a text, all similar windows are found, however far their fingerprints lie apart."""
+    rng = random.Random(12)
+    item, text = ["alpha"] * 55 + ["beta"] * 45, ["alpha"] * 45 + ["beta"] * 55
+    items, texts = [item], [text]
+    for _ in range(25):
+        words = rng.sample(["a", "b", "c", "d", "e", "f"], rng.randrange(2, 6))
+        runs = [(w, rng.randrange(5, 25)) for w in words]
+        items.append([w for w, n in runs for _ in range(n)])
+        texts.append([w for w, n in [(w, max(1, n + rng.randrange(-3, 4))) for w, n in runs] for _ in range(n)][: len(items[-1])])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["start"] * (i % 3) + w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.contaminated_pairs(docs, bench).collect()}
+    for d, w in enumerate(texts):
+        words = ["start"] * (d % 3) + w
+        for i, item in enumerate(items):
+            best = max(bag_similarity(words[k : k + len(item)], item) for k in range(len(words)))
+            assert ((d, i) in got) == (best >= 0.75 - 1e-9), (d, i, best)
+            if best >= 0.75:
+                assert got[d, i] == pytest.approx(best)
+    assert got[0, 0] > 0.8
+
+
+def test_decontamination_of_nulls_repeats_and_ties(spark):
+    item = [f"w{i}" for i in range(20)]
+    twice = ["x"] * 3 + item + ["y"] * 40 + item
+    rows = [(1, " ".join(twice)), (1, "short"), (None, " ".join(item)), (2, None), (3, ""), (4, " ".join(item[:4])), (5, " ".join(item).upper()), (5, " ".join(item))]
+    docs = spark.createDataFrame([(*r, 7, "clash") for r in rows], "doc_id long, text string, size int, start string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (None, "x"), (2, " ".join(item))], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.similarity, r.start) for r in decontam.contaminated_pairs(docs, bench).collect())
+    assert got == [(1, 1, 1.0, 3), (1, 2, 1.0, 3), (5, 1, 1.0, 0), (5, 2, 1.0, 0)]
+    assert sorted(r.doc_id or 0 for r in decontam.decontaminate(docs, bench).collect()) == [0, 2, 3, 4]
+    empty = spark.createDataFrame([], docs.schema)
+    assert decontam.contaminated_pairs(empty, bench).count() == 0 and decontam.decontaminate(empty, bench).count() == 0
+
+
 def test_decontamination_in_any_order(spark):
     rng, bag = random.Random(11), lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1)))
     items = {n: [f"i{n}w{j}" for j in range(n)] for n in (3, 5, 32, 40, 60, 100)} | {1: ["la"] * 40, 2: [f"r{j % 20}" for j in range(45)]}

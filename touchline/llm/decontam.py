@@ -14,6 +14,9 @@ minima over the sum of maxima).
    radius; two fingerprints within the radius differ in at most one bit of at least one block.  So
    joining windows and items of one size on (block number, block bits), items with the bits of all
    neighbours one bit away too, finds all of them, and the distance is then checked.
+   Items that few words dominate take another way: where two words make up most of a text, a small
+   change of their shares flips many bits at once, and no radius is safe.  Some of an item's most
+   frequent shingles must be in every window like it; windows of its size that hold one are taken.
 4. The exact weighted similarity decides.
 
 Generators over computed arrays are the outer variants: for an inner one the optimiser adds a
@@ -22,7 +25,7 @@ filter on the array's size and pushes it down, which computes the words anew for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.shared import BROADCAST_BYTES, stash, text_or_empty
@@ -32,6 +35,9 @@ THRESHOLD = 0.75
 #: Of 64 bits, about 10 differ (standard deviation 3) between bags of words at the threshold; this is over three deviations more.
 RADIUS = 21
 BLOCKS = RADIUS // 2 + 1
+#: Items of at most so many words in effect (the square of their number over the sum of squared counts)
+#: are not left to their fingerprints.
+NARROW = 12
 
 _FINGERPRINT = """aggregate(transform(sequence(0, 63), b ->
     if(2 * aggregate({hashes}, 0, (n, h) -> n + cast(shiftright(h, b) & 1L as int)) > size({hashes}), shiftleft(1L, b), 0L)),
@@ -110,6 +116,28 @@ def _placed(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     return dense.select("doc_id", "size", F.explode_outer(F.expr("sequence(r.lo, r.hi)")).alias("start")).filter("start is not null")
 
 
+def _anchored(windows: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, size, start, item_id) of windows that hold an anchor of an item of their size.
+
+    A similar window has all but n - need of an item's n shingles, need being the threshold's share of
+    them; so of shingles that make up more than that together, it has one.  The most frequent ones are
+    taken, which are the fewest.
+    """
+    spread = lambda words, width: F.explode_outer(shingle_hashes(words, width))
+    found = None
+    for width in sorted(r["width"] for r in items.select("width").distinct().collect()):  # five values at most
+        own = items.filter(F.col("width") == width).select("item_id", "size", (F.col("size") - width + 1).alias("n"), spread("words", width).alias("anchor"))
+        counted = own.groupBy("item_id", "size", "n", "anchor").agg(F.count(F.lit(1)).alias("times"))
+        before = Window.partitionBy("item_id").orderBy(F.desc("times"), "anchor").rowsBetween(Window.unboundedPreceding, -1)  # an item's shingles
+        spare = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9)
+        anchors = counted.withColumn("above", F.coalesce(F.sum("times").over(before), F.lit(0))).filter(F.col("above") <= spare).select("item_id", F.col("size").alias("item_size"), "anchor")
+        sizes = anchors.select(F.col("item_size").alias("of_size")).distinct()
+        held = windows.join(sizes, F.col("size") == F.col("of_size"), "left_semi").select("doc_id", "size", "start", spread("window", width).alias("held")).distinct()
+        met = held.join(anchors, (F.col("held") == F.col("anchor")) & (F.col("size") == F.col("item_size"))).select("doc_id", "size", "start", "item_id")
+        found = met if found is None else found.union(met)
+    return found
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """One row per (doc_id, item_id) that match: also similarity (of the best window) and start (its first word).
 
@@ -135,7 +163,12 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     right = items.select("item_id", F.col("size").alias("item_size"), F.col("mark").alias("item_mark"), F.explode_outer(blocks("mark", count, neighbours=True)).alias("key"))
     right = right.select("item_id", "item_size", "item_mark", F.col("key.block").alias("item_block"), F.col("key.bits").alias("item_bits"))
     near = left.join(right, (F.col("size") == F.col("item_size")) & (F.col("block") == F.col("item_block")) & (F.col("bits") == F.col("item_bits")))
-    near = near.filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius).select("doc_id", "size", "start", "item_id").distinct()
+    near = near.filter(F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark"))) <= radius).select("doc_id", "size", "start", "item_id")
+    squares = F.expr("aggregate(array_distinct(words), 0L, (t, w) -> t + power(size(filter(words, x -> x = w)), 2)::long)")
+    narrow = items.filter(F.col("size") * F.col("size") <= NARROW * squares)
+    if not narrow.isEmpty():
+        near = near.union(_anchored(windows, narrow, threshold))
+    near = near.distinct()
 
     bags = with_bag(windows.select(F.col("doc_id").alias("d"), F.col("size").alias("s"), F.col("start").alias("at"), "window"), "window", "window_bag")
     pairs = near.join(bags, (F.col("doc_id") == F.col("d")) & (F.col("size") == F.col("s")) & (F.col("start") == F.col("at")))
