@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 #: Columns of a match file, and the names they get.
 MATCH_COLUMNS = {"Div": "League", "HomeTeam": "HomeTeam", "AwayTeam": "AwayTeam"}
@@ -36,28 +36,35 @@ def header_names(line: str) -> list[str]:
     return [None if not c or c in seen or seen.add(c) else c for c in names]
 
 
-def csv_table(spark: SparkSession, paths: Sequence[str] | str, required: str = "Div") -> DataFrame:
-    """All columns of all files as strings, with ``_file`` and ``_path``; rows without ``required`` are dropped.
+def csv_frames(spark: SparkSession, paths: Sequence[str] | str, required: Sequence[str]) -> list[DataFrame]:
+    """One frame a header line, of all files with that header and one of the ``required`` columns at least.
 
-    Lines are read as UTF-8 where they are valid, else as Latin-1; a byte order mark is skipped.
-    Files are grouped by header line, so columns go by name and may be in any order or absent,
-    where they are null; columns without a name are left out.  Only the first line of a file reaches
-    the driver.  A file without the required column is left out.  A quoted field ends with its line.
+    All columns are strings, with ``_file`` and ``_path``; columns without a name are left out.  Lines are
+    read as UTF-8 where they are valid, else as Latin-1; a byte order mark is skipped.  Only the first
+    line of a file reaches the driver.  A quoted field ends with its line.
     """
     lines = _lines(spark, paths)
     heads = lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("_path").agg(F.min_by("line", "at").alias("head")).collect()
     groups: dict[str, list[str]] = {}
     for r in heads:
-        if required in header_names(r["head"]):
+        if set(required) & set(header_names(r["head"])):
             groups.setdefault(r["head"], []).append(r["_path"])
     parts = []
     for head, files in sorted(groups.items()):
         names = header_names(head)
-        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-        parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
+        schema = ", ".join(f"c{i} string" for i in range(len(names)))
+        parsed = F.from_csv("line", schema, {"mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
         rows = lines.filter(F.col("_path").isin(sorted(files)) & (F.col("line") != head)).select("_file", "_path", parsed.alias("r"))
-        part = rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names) if n], "_file", "_path")
-        parts.append(part.filter(F.col(f"`{required}`").isNotNull() & (F.trim(f"`{required}`") != "")))
+        parts.append(rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names) if n], "_file", "_path"))
+    return parts
+
+
+def csv_table(spark: SparkSession, paths: Sequence[str] | str, required: str = "Div") -> DataFrame:
+    """The frames of all headers as one table: columns go by name and may be in any order or absent, where they are null.
+
+    Rows without ``required`` are dropped, and files without that column left out.
+    """
+    parts = [df.filter(F.col(f"`{required}`").isNotNull() & (F.trim(f"`{required}`") != "")) for df in csv_frames(spark, paths, [required])]
     if not parts:
         return spark.createDataFrame([], f"{required} string, _file string, _path string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
