@@ -94,6 +94,15 @@ class Boosted:
     base: list[float]
     trees: list[list[Tree]]
 
+    def to_dict(self) -> dict:
+        """The model as plain values, for JSON."""
+        trees = [[{k: [float(x) if k in ("value", "rows", "gain") else x for x in v] for k, v in vars(t).items()} for t in of] for of in self.trees]
+        return {"features": list(self.features), "edges": [e.tolist() for e in self.edges], "targets": list(self.targets), "base": list(self.base), "trees": trees}
+
+    @classmethod
+    def from_dict(cls, values: dict) -> Boosted:
+        return cls(values["features"], [np.array(e) for e in values["edges"]], values["targets"], values["base"], [[Tree(**t) for t in of] for of in values["trees"]])
+
     def _bins(self, columns: Sequence[pd.Series]) -> np.ndarray:
         return binned([c.to_numpy(dtype=np.float64, na_value=np.nan) for c in columns], self.edges)
 

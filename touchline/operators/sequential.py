@@ -97,3 +97,34 @@ def final_ratings(matches: DataFrame, group: str | None = None, **options) -> Da
 def current_and_peak(matches: DataFrame, group: str | None = None, **options) -> DataFrame:
     """Team, its rating before its latest match, and the highest it brought into any."""
     return _by_team(matches, group, options).groupBy("Team").agg(F.max_by("elo", "at").alias("current"), F.max("elo").alias("peak"))
+
+
+def european_rows(matches: DataFrame) -> DataFrame:
+    """Ties of clubs from several leagues as the walk takes them: finals are on neutral ground, and rows without a club or a date go."""
+    neutral = F.coalesce(F.lower(F.trim("Round")) == "final", F.lit(False)) if "Round" in matches.columns else F.lit(False)
+    return matches.filter("HomeTeam is not null and AwayTeam is not null and Date is not null").withColumn("Neutral", neutral)
+
+
+def elo_with_extra(matches: DataFrame, extra: DataFrame, group: str | None = None, **options) -> DataFrame:
+    """match_id, home_elo, away_elo of ``matches``, from a walk that also learns from ``extra``.
+
+    Extra matches move ratings and get no row.  Ids need only be unique within each table; of one day, a
+    table's own matches come in the order of their ids, and between the tables the smaller id comes first,
+    ``matches`` before ``extra`` where ids are equal.
+    """
+    columns = ["Date", "Season", "HomeTeam", "AwayTeam", "FTHG", "FTAG"] + ([group] if group else [])
+
+    def side(df: DataFrame, odd: int) -> DataFrame:
+        neutral = F.col("Neutral") if "Neutral" in df.columns else F.lit(False)
+        return df.select((F.col("match_id") * 2 + odd).alias("match_id"), *[F.col(c).cast("double").alias(c) if c in ("FTHG", "FTAG") else F.col(c) for c in columns], neutral.alias("Neutral"))
+
+    walked = elo_walk(side(matches, 0).unionByName(side(extra, 1)), group, **options)
+    own = walked.filter(F.pmod("match_id", F.lit(2)) == 0)
+    return own.select((F.col("match_id") / 2).cast("long").alias("match_id"), "home_elo", "away_elo")
+
+
+def long_elo(tmh: DataFrame, walked: DataFrame) -> DataFrame:
+    """Two rows a match with elo and opponent_elo before it; null where the walk does not have the match."""
+    ratings = walked.select("match_id", F.col("home_elo").alias("_h"), F.col("away_elo").alias("_a"))
+    joined, home = tmh.join(ratings, "match_id", "left"), F.col("Venue") == "Home"
+    return joined.withColumns({"elo": F.when(home, F.col("_h")).otherwise(F.col("_a")), "opponent_elo": F.when(home, F.col("_a")).otherwise(F.col("_h"))}).drop("_h", "_a")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring, seasons
-from touchline.operators import aggregates, conditional_rho, models, ranking, rating, regression, sequential
+from touchline.operators import ablation, aggregates, boosting, conditional_rho, match_features, models, ranking, rating, regression, sequential
 from touchline.plans.bridge import MATCHES_SQL, TMH_SQL, matches, table, team_matches
 from touchline.plans.forecast_queries import rates as goal_rates
 from touchline.plans.match_queries import rounded
 from touchline.plans.player_queries import ANCHORS, rates
-from touchline.sources import gate, resumable, sinks
+from touchline.sources import gate, registry, resumable, sinks
 from touchline.streaming import late
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -134,3 +134,43 @@ def events_parked(spark, sf_dir):
         stream = spark.readStream.schema(events.schema).parquet(f"{feed}/in")
         late.split_late(stream, f"{feed}/out", f"{feed}/state", late="20 days").awaitTermination()
     return late.read_part(spark, f"{feed}/out", "late", f"event_id long, ts {dict(events.dtypes)['ts']}").select("event_id", "batch")
+
+
+@query()
+def ablation_families(spark, sf_dir):
+    """What Elo, form and expected goals are worth over the last season: the ladder, leave-one-out and shares of the gain."""
+    games = matches(spark, sf_dir)
+    walked, _ = sinks.written(sequential.elo_walk(games), "elo")
+    wide = match_features.match_features(team_matches(spark, sf_dir)).drop("HomeTeam", "AwayTeam", "League", "Date")
+    base = wide.join(walked, "match_id").withColumn("elo_diff", F.col("home_elo") - F.col("away_elo")).join(games.select("match_id", "FTR"), "match_id").withColumn("start", seasons.season_start(F.col("Season")))
+    columns = [c for c in match_features.model_inputs(wide) if c.endswith("_diff")] + ["elo_diff"]
+    members = ["elo", "form", "xg"]
+    scores = ablation.coalition_scores(base, ablation.classify(columns), members, folds=1)
+    null = F.lit(None).cast("double")
+    parts = [
+        ablation.ladder(scores, members).select(F.lit("ladder").alias("part"), F.col("families").alias("name"), "rps", F.col("gain").alias("value")),
+        ablation.leave_one_out(scores, members).select(F.lit("leave one out"), "family", "rps", "loss"),
+        ablation.shares(scores, members).select(F.lit("share"), "family", null, "contribution"),
+    ]
+    return rounded(parts[0].union(parts[1]).union(parts[2]), 4)
+
+
+@query()
+def elo_with_ties(spark, sf_dir):
+    """Ratings before the matches within a league, from a walk that also learns from those between leagues."""
+    games = matches(spark, sf_dir)
+    return rounded(sequential.elo_with_extra(games.filter("League = away_league"), sequential.european_rows(games.filter("League <> away_league"))))
+
+
+@query()
+def model_registry(spark, sf_dir):
+    """Two versions of a small goal model, saved and read back: what the registry lists, and what the latest says of the last season."""
+    base = goal_rates(spark, sf_dir).withColumn("start", seasons.season_start(F.col("Season"))).select("match_id", "start", "HS", "AS", "HST", "AST", F.col("FTHG").alias("home"), F.col("FTAG").alias("away"))
+    root = sinks.scratch(spark, "models")
+    for k, columns in enumerate((["HS", "AS"], ["HS", "AS", "HST", "AST"])):
+        model = boosting.fit_boosted(base, columns, ["home", "away"], trees=3, rate=0.3, leaves=4, depth=2)
+        at = datetime.datetime(2024, 1, 1 + k, tzinfo=datetime.UTC)
+        registry.save(spark, root, registry.make_version(datetime.date(2002, 1, 1), at), model.to_dict(), {"features": columns}, at)
+    body, meta = registry.load(spark, root)
+    mean = boosting.Boosted.from_dict(body).predict(base).agg(F.avg("mu_home").alias("mu_home"), F.avg("mu_away").alias("mu_away"))
+    return rounded(registry.list_versions(spark, root).crossJoin(F.broadcast(mean)).withColumn("inputs", F.lit(len(meta["features"]))), 4)
