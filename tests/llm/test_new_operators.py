@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from touchline.llm import conversation_trie, filter_audit, ngram_join
+from touchline.llm import conversation_trie, filter_audit, ngram_join, secret_scan
 from touchline.llm import queries as corpus
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -136,6 +136,17 @@ def test_bands_hold_every_similar_size(similar):
             assert ngram_join.differ(a + b, similar) < max(1, words[band(a)])
 
 
+# ---- hexadecimal runs of the secret scan
+
+
+def test_hex_runs_like_a_plain_search():
+    rng = random.Random(6)
+    plain = re.compile("[0-9a-f]{24,}")
+    for _ in range(4000):
+        text = "".join(rng.choice("0af") * rng.choice([1, 1, 2, 5, 23, 24, 25, 40]) + rng.choice(["", "", "x", " ", "A", "é", "𝔸"]) for _ in range(rng.randrange(12)))
+        assert list(secret_scan.hex_runs(text)) == [m.span() for m in plain.finditer(text)]
+
+
 # ---- filter audit
 
 DOCS = [

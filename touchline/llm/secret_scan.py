@@ -25,7 +25,12 @@ KINDS = (*BASE_KINDS, "github", "npm")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
-_HEX = re.compile(r"[0-9a-f]{24,}")
+_DIGITS = frozenset("0123456789abcdef")
+_RUN = re.compile(r"[0-9a-f]+")
+#: A hexadecimal run has no keyword, but so many of its characters stand at places that ``STEP`` divides;
+#: only such places are searched, and the expression is anchored at what is found there.
+HEX_LEAST, STEP = 24, 8
+_PROBE = re.compile(rf"[0-9a-f]{{{HEX_LEAST // STEP},}}")
 _TOKEN = {"github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])")}
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -64,6 +69,21 @@ def automaton() -> ahocorasick.Automaton:
     return machine
 
 
+def hex_runs(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the hexadecimal runs of ``HEX_LEAST`` characters or more."""
+    over = 0
+    for probe in _PROBE.finditer(text[::STEP]):
+        for at in range(probe.start() * STEP, probe.end() * STEP, STEP):
+            if at < over:
+                continue
+            start, end = at, _RUN.match(text, at).end()
+            while start > over and text[start - 1] in _DIGITS:
+                start -= 1
+            over = end
+            if end - start >= HEX_LEAST:
+                yield start, end
+
+
 def find_spans(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) in code points, ordered by start, then by kind as listed."""
     starts: dict[str, set[int]] = {}
@@ -81,7 +101,7 @@ def find_spans(text: str, machine: ahocorasick.Automaton) -> list[tuple[int, int
         if at >= over and (m := _ACCESS.match(text, at)):
             over = m.end()
             found.append((at, over, "access"))
-    found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
+    found += [(start, end, "hex") for start, end in hex_runs(text)]
     for kind, shape in _TOKEN.items():
         for at in sorted(starts.get(kind, ())):
             if (m := shape.match(text, at)) and token_checksum(m[1][:30]) == m[1][30:]:
