@@ -36,13 +36,13 @@ from touchline.llm.warc import _open
 
 MAGIC, END = b"TLTK2\n", b"TLTK"
 #: Ids of a block; they are held in memory while it is coded.
-BLOCK_IDS = 1 << 21
+BLOCK_IDS = 1 << 20
 #: A task starts another file after so many ids.
-FILE_IDS = 2 * BLOCK_IDS
+FILE_IDS = 4 * BLOCK_IDS
 #: Words whose ids a worker remembers at most (about 80 bytes each).
 REMEMBERED = 2_000_000
 #: Texts are encoded in pieces of about so many bytes.
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 _OUTSIDE = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ.,!?;:*$%&#]")
 #: The normaliser and pre-tokeniser for which texts may be encoded word by word.
 _BY_WORD = (
