@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from touchline.operators import rating, ranking, squads
 from touchline.plans.bridge import players, start_sql
-from touchline.plans.match_queries import rounded
 from touchline.plans.player_queries import ANCHORS, RATING_SQL, rates
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -23,6 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """Doubles to six digits.  Means of published values often end in an exact 5 there; a hair more rounds them one way in every engine."""
+    return df.select([F.round(F.col(c) + 1e-9, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def history(spark, sf_dir) -> DataFrame:
     """One rated row a player and season: the club of most minutes."""
     rated = rating.rated_players(rates(spark, sf_dir), ANCHORS)
@@ -55,17 +59,17 @@ roster AS (SELECT "League", pr."Season", "Team", player, pr.role, fifa_overall,
            FROM pr LEFT JOIN scaled c ON c.role = pr.role AND c."Season" = pr."Season" AND c.v = pr.fifa_overall)"""
 
 
-@query(f"""WITH {HISTORY_SQL} SELECT role, "Season", CAST(v AS INTEGER) AS fifa_overall, round(s, 4) AS on_our_scale FROM scaled""")
+@query(f"""WITH {HISTORY_SQL} SELECT role, "Season", CAST(v AS INTEGER) AS fifa_overall, round(s + 1e-9, 6) AS on_our_scale FROM scaled""")
 def edition_curves(spark, sf_dir):
     """Every overall that an edition gives, on our scale: by its role's curve, or its season's where that is thin."""
     asked = players(spark, sf_dir).select("role", "Season", "fifa_overall").distinct()
-    return rounded(squads.on_our_scale(asked, history(spark, sf_dir), "fifa_overall", "fifa_on_our_scale", "on_our_scale"), 4)
+    return steady(squads.on_our_scale(asked, history(spark, sf_dir), "fifa_overall", "fifa_on_our_scale", "on_our_scale"))
 
 
-@query(f"""WITH {ROSTER_SQL} SELECT "League", "Season", "Team", player, role, fifa_overall, round(rating, 4) AS rating, minutes, from_history, rating IS NOT NULL AS rated FROM roster""")
+@query(f"""WITH {ROSTER_SQL} SELECT "League", "Season", "Team", player, role, fifa_overall, round(rating + 1e-9, 6) AS rating, minutes, from_history, rating IS NOT NULL AS rated FROM roster""")
 def edition_rosters(spark, sf_dir):
     """Each edition's squads, rated by the season before or by the curves."""
-    return rounded(squads.rosters(edition(spark, sf_dir), history(spark, sf_dir)), 4)
+    return steady(squads.rosters(edition(spark, sf_dir), history(spark, sf_dir)))
 
 
 @query(f"""WITH {ROSTER_SQL},
@@ -73,9 +77,9 @@ wt AS (SELECT * REPLACE (coalesce(minutes, avg(minutes) OVER (PARTITION BY "Seas
 b AS (SELECT *, row_number() OVER (PARTITION BY "League", "Season", "Team" ORDER BY rating DESC, minutes DESC, player) AS n FROM wt WHERE rating IS NOT NULL QUALIFY count(*) OVER (PARTITION BY "League", "Season", "Team") >= 11),
 s AS (SELECT "League", "Season", "Team", line, CASE WHEN sum(minutes) > 0 THEN sum(rating * minutes) / sum(minutes) ELSE avg(rating) END AS v, count(*) AS c, CAST(sum(CAST(from_history AS INTEGER)) AS BIGINT) AS h FROM b WHERE n <= 15 GROUP BY ALL),
 p AS (SELECT "League", "Season", "Team", max(CASE WHEN line = 'defence' THEN v END) AS d, max(CASE WHEN line = 'midfield' THEN v END) AS m, max(CASE WHEN line = 'attack' THEN v END) AS a, CAST(sum(c) AS BIGINT) AS n_players, CAST(sum(h) AS BIGINT) AS n_from_history FROM s GROUP BY ALL)
-SELECT "League", "Season", "Team", round(d, 4) AS squad_defence, round(m, 4) AS squad_midfield, round(a, 4) AS squad_attack, n_players, n_from_history,
-round((coalesce(4 * d, 0) + coalesce(3 * m, 0) + coalesce(3 * a, 0)) / (CASE WHEN d IS NULL THEN 0 ELSE 4 END + CASE WHEN m IS NULL THEN 0 ELSE 3 END + CASE WHEN a IS NULL THEN 0 ELSE 3 END), 4) AS squad_overall FROM p""")
+SELECT "League", "Season", "Team", round(d + 1e-9, 6) AS squad_defence, round(m + 1e-9, 6) AS squad_midfield, round(a + 1e-9, 6) AS squad_attack, n_players, n_from_history,
+round((coalesce(4 * d, 0) + coalesce(3 * m, 0) + coalesce(3 * a, 0)) / (CASE WHEN d IS NULL THEN 0 ELSE 4 END + CASE WHEN m IS NULL THEN 0 ELSE 3 END + CASE WHEN a IS NULL THEN 0 ELSE 3 END) + 1e-9, 6) AS squad_overall FROM p""")
 def squad_strength(spark, sf_dir):
     """Strength of the squads that an edition places at the clubs, from their best fifteen."""
     roster = rating.with_line(squads.rosters(edition(spark, sf_dir), history(spark, sf_dir)))
-    return rounded(squads.squad_strength(roster, rating.LINE_WEIGHTS, least=11), 4)
+    return steady(squads.squad_strength(roster, rating.LINE_WEIGHTS, least=11))
