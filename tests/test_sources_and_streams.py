@@ -241,6 +241,26 @@ def test_vectors_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, ranking.nearest_vectors(subjects, vectors, "i", "v", 5).collect())) == whole and len(whole) == 100
 
 
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.integers(0, 3, size=(90, 4)), np.repeat(rng.integers(0, 3, size=(1, 4)), 40, axis=0), 1000 + rng.random((20, 4)) / 1e7]).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(150, None), (151, [1.0, None, 2.0, 0.0]), (152, [1.0]), (153, [float("nan")] * 4)]
+    vectors = spark.createDataFrame(rows, "i long, v array<float>").repartition(3)
+    subjects = vectors.filter("i % 5 = 0")
+    for digits in (None, 6):
+        want = []
+        for i in range(0, 154, 5):
+            gaps = [(d if digits is None else round(d, digits), j) for j, d in enumerate(np.sqrt(((x[i] - x).astype(float) ** 2).sum(axis=1))) if j != i] if i < 150 else []
+            want += [(i, j, pytest.approx(d), k + 1) for k, (d, j) in enumerate(sorted(gaps)[:6])]
+        want += [(150, j, None, j + 1) for j in range(6)]
+        monkeypatch.setattr(ranking, "TILE", 16 if digits else 1024)
+        got = sorted(map(tuple, ranking.nearest_vectors(subjects, vectors, "i", "v", 6, digits).select("subject", "neighbour", "distance", "place").collect()), key=lambda r: (r[0], r[3]))
+        assert got == sorted(want, key=lambda r: (r[0], r[3]))
+    # too few vectors with a distance: those without one follow
+    few = ranking.nearest_vectors(subjects.filter("i = 0"), vectors.filter("i in (0, 7, 150, 152)"), "i", "v", 3).orderBy("place").collect()
+    assert [(r.neighbour, r.distance is None) for r in few] == [(7, False), (150, True), (152, True)]
+
+
 def test_stratum_fits(spark):
     rng = np.random.default_rng(3)
     rows = [("a", float(x), float(z), float(2 + 3 * x - z + rng.normal())) for x, z in rng.normal(size=(80, 2))] + [("b", 1.0, 2.0, 5.0), ("b", 2.0, 1.0, 5.0), ("b", None, 1.0, 9.0)]
