@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import scale
+from touchline.operators.percentiles import with_percentile, with_percentiles, with_totals
 from touchline.operators.ranking import top_n_per_group
+from touchline.sources.sinks import written
 
 BY = ("role", "Season")
 #: Fixed values of the rating: eligibility, weights, shrinkage and blend.
@@ -25,8 +27,8 @@ LINE_WEIGHTS = {"defence": 4.0, "midfield": 3.0, "attack": 3.0}
 
 def with_eligibility(df: DataFrame) -> DataFrame:
     """Adds ``unrated_reason``; null for those who are rated."""
-    pool = F.count(F.when(F.col("minutes") >= MIN_MINUTES, 1)).over(Window.partitionBy(*BY))
-    return df.withColumn("unrated_reason", F.when(F.col("minutes") < MIN_MINUTES, "minutes").when(pool < MIN_POOL, "sparse pool"))
+    pools = with_totals(written(df, "rates")[0], BY, _pool=F.count(F.when(F.col("minutes") >= MIN_MINUTES, 1)))
+    return pools.withColumn("unrated_reason", F.when(F.col("minutes") < MIN_MINUTES, "minutes").when(F.col("_pool") < MIN_POOL, "sparse pool")).drop("_pool")
 
 
 def eligible(df: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def eligible(df: DataFrame) -> DataFrame:
 def with_sub_ratings(df: DataFrame) -> DataFrame:
     """Percentiles per role and season, then each sub-rating over the metrics that are present."""
     metrics = {"goals": True, "shots": True, "passes": True, "tackles": True, "cards": False}
-    df = df.withColumns({f"{m}_pct": scale.percentile_within(f"{m}_per90", BY, up) for m, up in metrics.items()})
+    df = with_percentiles(df, BY, {f"{m}_pct": (f"{m}_per90", up) for m, up in metrics.items()})
     return df.withColumns({name: scale.weighted_present(weights) for name, weights in SUB_RATINGS.items()})
 
 
@@ -49,8 +51,10 @@ def with_composite(df: DataFrame) -> DataFrame:
 def rated_players(df: DataFrame, anchors: Sequence[tuple[float, float]]) -> DataFrame:
     """All of it: performance rating, the edition on the same scale, and the blend of both."""
     df = with_composite(with_sub_ratings(eligible(df)))
-    df = df.withColumn("shrunk", F.round(scale.shrink_toward_mean("composite", "nineties", BY, SHRINK_NINETIES), 9))
-    df = df.withColumn("performance_pct", scale.percentile_within("shrunk", BY)).withColumn("fifa_pct", scale.percentile_within("fifa_overall", BY))
+    mean = with_totals(df, BY, _mean=F.avg("composite"))
+    shrunk = (F.col("nineties") * F.col("composite") + F.lit(float(SHRINK_NINETIES)) * F.col("_mean")) / (F.col("nineties") + F.lit(float(SHRINK_NINETIES)))
+    df, _ = written(with_percentiles(mean.withColumn("shrunk", F.round(shrunk, 9)).drop("_mean"), BY, {"fifa_pct": ("fifa_overall", True)}), "composites")
+    df = with_percentile(df, BY, "shrunk", "performance_pct")
     df = df.withColumn("performance_rating", F.round(scale.scale_map(F.col("performance_pct"), anchors), 6)).withColumn("fifa_on_our_scale", F.round(scale.scale_map(F.col("fifa_pct"), anchors), 6))
     weight = F.when(F.col("tackles_per90").isNull(), EDITION_UNMEASURED).otherwise(EDITION)
     return df.withColumn("rating", F.bround((1 - weight) * F.col("performance_rating") + weight * F.col("fifa_on_our_scale"), 0).cast("int"))
