@@ -232,6 +232,25 @@ def test_walk_of_a_stream_in_tables(spark, tmp_path):
     assert last == pytest.approx(want)
 
 
+def test_walk_in_stages_is_the_whole_walk(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, datetime.date(2001, 1, 1) + datetime.timedelta(days=rng.randrange(12) * 40), f"0{1 + i // 60}", f"t{rng.randrange(4)}", f"u{rng.randrange(4)}", rng.choice([None, 0, 1, 2]), rng.randrange(3)) for i in range(120)]
+    df = spark.createDataFrame(rows, "match_id long, Date date, Season string, HomeTeam string, AwayTeam string, FTHG int, FTAG int").repartition(5)
+    split = df.withColumn("g", F.lit("a")).unionByName(df.withColumns({c: F.concat(F.lit("b"), c) for c in ("HomeTeam", "AwayTeam")} | {"g": F.lit("b"), "match_id": F.col("match_id") + 1000}))
+    state, want = sequential.EloState(), {}
+    for r in sorted(rows, key=lambda r: (r[1], r[5] is not None, r[0])):
+        want[r[0]] = state.match(r[3], r[4], r[2], r[5], r[6])
+    monkeypatch.setattr(sequential, "STAGE_ROWS", 25)
+    got = {r.match_id: (r.home_elo, r.away_elo) for r in sequential.elo_walk(df).collect()}
+    assert got == want
+    assert {r.Team: r.elo for r in sequential.final_ratings(df).collect()} == state.rating
+    apart = {r.match_id: (r.home_elo, r.away_elo) for r in sequential.elo_walk(split, "g").collect()}
+    assert apart == want | {i + 1000: x for i, x in want.items()}
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    elo.walk_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r.match_id: (r.home_elo, r.away_elo) for r in spark.read.parquet(str(tmp_path / "out" / "matches")).collect()} == want
+
+
 def test_vectors_in_blocks(spark, monkeypatch):
     rng = random.Random(2)
     vectors = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(60)], "i int, v array<double>").repartition(3)

@@ -9,6 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.sources import sinks
+
+#: Matches of a stage: what one task sorts, about.
+STAGE_ROWS = 1_000_000
+WALKED = "part string, match_id long, Date date, played boolean, Season string, HomeTeam string, AwayTeam string, home_elo double, away_elo double, home_after double, away_after double"
 START, K, HOME_ADVANTAGE, SEASON_REGRESSION = 1500.0, 20.0, 60.0, 0.25
 
 
@@ -44,30 +49,82 @@ class EloState:
         return a, b
 
 
-def _walked(matches: DataFrame, group: str | None, options: dict) -> DataFrame:
-    """match_id, Date, played, teams, ratings before and after of every match."""
-    neutral = F.coalesce(F.col("Neutral"), F.lit(False)) if "Neutral" in matches.columns else F.lit(False)
-    goals = F.col("FTHG").cast("double"), F.col("FTAG").cast("double")
-    played = goals[0].isNotNull() & goals[1].isNotNull()
-    key = F.col(group).cast("string") if group else F.lit("all")
-    rows = matches.select(key.alias("part"), "match_id", "Date", played.alias("played"), "Season", "HomeTeam", "AwayTeam", goals[0].alias("h"), goals[1].alias("a"), neutral.alias("n"))
+def walk_batch(ratings: DataFrame, matches: DataFrame, options: dict) -> DataFrame:
+    """Ratings first, then matches in order, in one task of a group: a row for each match, then (``played`` null) a row a team with the rating after all.
+
+    A task sorts its matches and holds one Arrow batch and the ratings.
+    """
+    blank = {n: F.lit(None).cast(t) for n, t in (("match_id", "long"), ("Date", "date"), ("played", "boolean"), ("AwayTeam", "string"), ("h", "double"), ("a", "double"), ("n", "boolean"))}
+    known = ratings.select("part", F.lit(0).alias("kind"), F.col("Team").alias("HomeTeam"), F.col("Season"), F.col("rating")).withColumns(blank)
+    rows = known.unionByName(matches.withColumn("kind", F.lit(1)).withColumn("rating", F.lit(None).cast("double")))
+    columns = [c.split()[0] for c in WALKED.split(", ")]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, state = None, EloState(**options)
+        part, elo = None, EloState(**options)
+
+        def after() -> pd.DataFrame:
+            teams = list(elo.rating)
+            return pd.DataFrame(dict.fromkeys(columns) | {"part": part, "HomeTeam": teams, "Season": [elo.season[t] for t in teams], "home_after": [elo.rating[t] for t in teams]})
+
         for frame in frames:
             out = []
             for r in frame.itertuples():
                 if r.part != part:
-                    part, state = r.part, EloState(**options)
-                before = state.match(r.HomeTeam, r.AwayTeam, r.Season, r.h, r.a, bool(r.n))
-                out.append((*before, state.rating[r.HomeTeam], state.rating[r.AwayTeam]))
-            columns = ["home_elo", "away_elo", "home_after", "away_after"]
-            yield pd.concat([frame[["match_id", "Date", "played", "HomeTeam", "AwayTeam"]].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
+                    if part is not None:
+                        yield after()
+                    part, elo = r.part, EloState(**options)
+                if r.kind == 0:
+                    elo.rating[r.HomeTeam], elo.season[r.HomeTeam] = r.rating, r.Season
+                else:
+                    before = elo.match(r.HomeTeam, r.AwayTeam, r.Season, r.h, r.a, bool(r.n))
+                    out.append((r.part, r.match_id, r.Date, r.played, r.Season, r.HomeTeam, r.AwayTeam, *before, elo.rating[r.HomeTeam], elo.rating[r.AwayTeam]))
+            yield pd.DataFrame(out, columns=columns)
+        if part is not None:
+            yield after()
+
+    ordered = rows.repartition("part").sortWithinPartitions("part", "kind", "Date", "played", "match_id")
+    return ordered.mapInPandas(walk, WALKED)
+
+
+def walk_stages(ratings: DataFrame, matches: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(walked, ratings after, paths of both): ``walk_batch`` over stages of about ``STAGE_ROWS`` matches, one after the other.
+
+    All cores deal the matches to stages by their order; a stage starts from the ratings that the one before has
+    written.  So what a task sorts does not grow with the matches.
+    """
+    spark, order = matches.sparkSession, ["Date", "played", "match_id"]
+    rows, rows_path = sinks.written(matches, "matches")
+    stages = max(1, -(-rows.count() // STAGE_ROWS))
+    dealt, dealt_path = rows, None
+    if stages > 1:
+        dealt_path = sinks.scratch(spark, "stages")
+        rows.repartitionByRange(stages, *order).withColumn("stage", F.spark_partition_id()).write.partitionBy("stage").parquet(dealt_path)
+        dealt = spark.read.parquet(dealt_path)
+    paths = []
+    for i in range(stages):
+        own = dealt.filter(F.col("stage") == i).drop("stage") if stages > 1 else rows
+        found, path = sinks.written(walk_batch(ratings, own, options), "walked")
+        paths.append(path)
+        ratings = found.filter("played is null").select("part", F.col("HomeTeam").alias("Team"), "Season", F.col("home_after").alias("rating"))
+    for path in (rows_path, dealt_path):
+        if path:
+            sinks.delete(spark, path)
+    return spark.read.schema(WALKED).parquet(*paths).filter("played is not null"), ratings, paths
+
+
+def walk_rows(matches: DataFrame, group: str | None) -> DataFrame:
+    """The columns that a walk reads, goals as doubles; ``part`` is the group."""
+    neutral = F.coalesce(F.col("Neutral"), F.lit(False)) if "Neutral" in matches.columns else F.lit(False)
+    goals = F.col("FTHG").cast("double"), F.col("FTAG").cast("double")
+    played = goals[0].isNotNull() & goals[1].isNotNull()
+    key = F.col(group).cast("string") if group else F.lit("all")
+    return matches.select(key.alias("part"), F.col("match_id").cast("long").alias("match_id"), F.col("Date").cast("date").alias("Date"), played.alias("played"), F.col("Season").cast("string").alias("Season"), "HomeTeam", "AwayTeam", goals[0].alias("h"), goals[1].alias("a"), neutral.alias("n"))
+
 
-    placed = rows.repartition("part") if group else rows.repartition(1)
-    ordered = placed.sortWithinPartitions("part", "Date", "played", "match_id")
-    kind = "match_id long, Date date, played boolean, HomeTeam string, AwayTeam string, home_elo double, away_elo double, home_after double, away_after double"
-    return ordered.mapInPandas(walk, kind)
+def _walked(matches: DataFrame, group: str | None, options: dict) -> DataFrame:
+    """match_id, Date, played, teams, ratings before and after of every match."""
+    none = matches.sparkSession.createDataFrame([], "part string, Team string, Season string, rating double")
+    return walk_stages(none, walk_rows(matches, group), options)[0]
 
 
 def elo_walk(matches: DataFrame, group: str | None = None, **options) -> DataFrame:
@@ -75,8 +132,8 @@ def elo_walk(matches: DataFrame, group: str | None = None, **options) -> DataFra
 
     Input: match_id, Date, Season, HomeTeam, AwayTeam, FTHG, FTAG and optionally Neutral.  Within
     a group of connected teams the walk is sequential by nature; ``group`` names a column whose
-    values share no team, and groups are walked side by side.  Spark sorts, and a task holds one
-    batch of short rows and a rating per team, so its memory does not grow with the matches.
+    values share no team, and groups are walked side by side.  A task sorts ``STAGE_ROWS`` matches and holds
+    one batch of short rows and a rating per team, so its memory does not grow with the matches.
     Unplayed matches of a day come before played ones, the id breaks ties.
     """
     return _walked(matches, group, options).select("match_id", "home_elo", "away_elo")

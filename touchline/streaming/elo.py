@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
-from touchline.operators.sequential import EloState
+from touchline.operators.sequential import EloState, walk_rows, walk_stages
 from touchline.sources import sinks
 
 
@@ -41,50 +41,13 @@ def streamed_elo(matches: DataFrame, group: str | None = None, **options) -> Dat
     return rows.groupBy("part").applyInPandasWithState(step, kind, "known string", "append", "NoTimeout")
 
 
-def _walk_batch(ratings: DataFrame, matches: DataFrame, options: dict) -> DataFrame:
-    """Ratings first, then matches in order, in one task of a group: rows before each match, then the ratings after all.
-
-    A task holds one Arrow batch and the ratings.
-    """
-    blank = {n: F.lit(None).cast(t) for n, t in (("match_id", "long"), ("Date", "date"), ("played", "boolean"), ("away", "string"), ("h", "double"), ("a", "double"), ("n", "boolean"))}
-    known = ratings.select("part", F.lit(0).alias("kind"), F.col("Team").alias("home"), F.col("Season"), F.col("rating")).withColumns(blank)
-    rows = known.unionByName(matches.withColumn("kind", F.lit(1)).withColumn("rating", F.lit(None).cast("double")))
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, elo = None, EloState(**options)
-
-        def after() -> pd.DataFrame:
-            teams = list(elo.rating)
-            return pd.DataFrame({"part": part, "match_id": None, "Team": teams, "Season": [elo.season[t] for t in teams], "home_elo": [elo.rating[t] for t in teams], "away_elo": None})
-
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                if r.part != part:
-                    if part is not None:
-                        yield after()
-                    part, elo = r.part, EloState(**options)
-                if r.kind == 0:
-                    elo.rating[r.home], elo.season[r.home] = r.rating, r.Season
-                else:
-                    out.append((part, r.match_id, None, None, *elo.match(r.home, r.away, r.Season, r.h, r.a, bool(r.n))))
-            yield pd.DataFrame(out, columns=["part", "match_id", "Team", "Season", "home_elo", "away_elo"])
-        if part is not None:
-            yield after()
-
-    ordered = rows.repartition("part").sortWithinPartitions("part", "kind", "Date", "played", "match_id")
-    return ordered.mapInPandas(walk, "part string, match_id long, Team string, Season string, home_elo double, away_elo double")
-
-
 def walk_stream(stream: DataFrame, path: str, checkpoint: str, group: str | None = None, **options) -> StreamingQuery:
     """The walk batch by batch, with the ratings in tables: ``path/matches`` and ``path/ratings``, a folder a batch.
 
-    Spark sorts a micro-batch, and the walk goes through it frame by frame, so neither it nor all teams'
+    A micro-batch is walked in stages that Spark sorts, frame by frame, so neither it nor all teams'
     ratings have to fit a state's row.  A batch that is run again reads the ratings of the batch
     before it and replaces its own folders.  The order is that of ``streamed_elo``.
     """
-    key = F.col(group).cast("string") if group else F.lit("all")
-    neutral = F.coalesce(F.col("Neutral"), F.lit(False)) if "Neutral" in stream.columns else F.lit(False)
     kind = "part string, Team string, Season string, rating double"
 
     def write(batch: DataFrame, number: int) -> None:
@@ -94,12 +57,10 @@ def walk_stream(stream: DataFrame, path: str, checkpoint: str, group: str | None
             before = spark.read.schema(f"{kind}, batch long").parquet(f"{path}/ratings").filter(F.col("batch") < number)
             last = before.agg(F.max("batch")).first()[0]
             ratings = before.filter(F.col("batch") == last).select("part", "Team", "Season", "rating") if last is not None else ratings
-        goals = F.col("FTHG").cast("double").alias("h"), F.col("FTAG").cast("double").alias("a")
-        played = F.col("FTHG").isNotNull() & F.col("FTAG").isNotNull()
-        rows = batch.select(key.alias("part"), "match_id", "Date", played.alias("played"), "Season", F.col("HomeTeam").alias("home"), F.col("AwayTeam").alias("away"), *goals, neutral.alias("n"))
-        walked, walked_path = sinks.written(_walk_batch(ratings, rows, options), "walked")
-        walked.filter("Team is null").select("part", "match_id", "home_elo", "away_elo").write.mode("overwrite").parquet(f"{path}/matches/batch={number}")
-        walked.filter("Team is not null").select("part", "Team", "Season", F.col("home_elo").alias("rating")).coalesce(1).write.mode("overwrite").parquet(f"{path}/ratings/batch={number}")
-        sinks.delete(spark, walked_path)
+        walked, after, paths = walk_stages(ratings, walk_rows(batch, group), options)
+        walked.select("part", "match_id", "home_elo", "away_elo").write.mode("overwrite").parquet(f"{path}/matches/batch={number}")
+        after.coalesce(1).write.mode("overwrite").parquet(f"{path}/ratings/batch={number}")
+        for own in paths:
+            sinks.delete(spark, own)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
