@@ -98,6 +98,17 @@ def test_scores_of_the_arms(data, folds):
     assert mean["per_league"] > mean["production"] and mean["shrunk"] > mean["production"]
 
 
+def test_matches_are_scored_in_batches_by_many_tasks(spark):
+    cols = "match_id long, mu_home double, mu_away double, FTHG int, FTAG int, FTR string, " + ", ".join(f"rho_{a} double" for a in cr.ARMS)
+    df = spark.createDataFrame([(1, 1.4, 1.1, 1, 1, "D", *[0.1] * 4), (2, 1.4, 1.1, None, 1, None, *[0.1] * 4), (3, None, 1.1, 0, 1, "A", *[0.1] * 4)], cols).coalesce(1)
+    kind = "match_id long, arm string, rho double, loglik double, rps double, exact boolean"
+    got = {(r.match_id, r.arm): r for r in df.mapInArrow(lambda b: cr.score_arms(b, ["match_id"]), kind).collect()}
+    own = math.exp(-2.5) * 1.4 * 1.1 * 0.9
+    assert len(got) == 12 and got[1, "shrunk"].loglik == pytest.approx(math.log(own + 1e-12)) and got[1, "shrunk"].exact is False
+    assert (got[2, "shrunk"].loglik, got[2, "shrunk"].exact) == (None, None) and got[2, "shrunk"].rps is not None
+    assert (got[3, "shrunk"].loglik, got[3, "shrunk"].rps, got[3, "shrunk"].exact) == (None, None, None)
+
+
 def test_later_seasons_change_nothing_before(spark, data, folds):
     df = folds[0]
     twisted = df.selectExpr("match_id", "League", "start", "if(start = 2003, 0, FTHG) AS FTHG", "if(start = 2003, 0, FTAG) AS FTAG", "mu_home", "mu_away", "FTR")

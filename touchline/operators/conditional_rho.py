@@ -8,14 +8,16 @@ one aggregation, and no fold's own results can reach its fit.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from touchline.functions import scoring
-from touchline.functions.scoreline import MAX_GOALS, corrected, outcomes
+from touchline.functions.scoreline import MAX_GOALS, corrected
 
 #: Grid of the correction; its step is that of the curvature, too.
 BOUND, STEP = 0.2, 0.005
@@ -135,20 +137,36 @@ def fold_corrections(df: DataFrame, least: int = MIN_FIT_ROWS) -> DataFrame:
     return known.unionByName(table.filter("n = 0").withColumn("shrunk", F.col("pooled"))).select("League", "start", "n", "pooled", "own", "per_league", "variance", "shrunk", "line_at", "line_slope")
 
 
-def _modal(mu_home: Column, mu_away: Column, rho: Column) -> Column:
-    """struct<p, h, a> of the likeliest score, the first of a tie: it is among sixteen.
+def score_arms(batches: Iterator[pa.RecordBatch], kept: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """A row for each match and arm of ``ARMS``: ``kept``, arm, rho, loglik, rps, exact; a null input leaves nulls.
 
-    Outside the corrected four it has each side's own mode, or 2 where that mode is among the four.
+    All matches of a batch are scored at once, on the grid of 0 to ``MAX_GOALS`` goals a side; of equally
+    likely scores the first stands, by home goals and then away goals.
     """
-
-    def goals(mu: Column) -> list[Column]:
-        return [F.lit(0), F.lit(1), F.lit(2), F.least(F.floor(mu).cast("int"), F.lit(MAX_GOALS))]
-
-    def pmf(mu: Column, k: Column) -> Column:
-        return F.exp(-mu) * F.pow(mu, k) / F.factorial(k)
-
-    cells = [F.struct((pmf(mu_home, h) * pmf(mu_away, a) * corrected(h, a, mu_home, mu_away, rho)).alias("p"), (-h).alias("h"), (-a).alias("a")) for h in goals(mu_home) for a in goals(mu_away)]
-    return F.greatest(*cells)
+    k = np.arange(MAX_GOALS + 1)
+    factorials = np.array([float(math.factorial(i)) for i in k])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2000):
+            batch = whole.slice(start, 2000)
+            number = lambda c, batch=batch: batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            m, n = number("mu_home"), number("mu_away")
+            h, a = np.minimum(number("FTHG"), MAX_GOALS), np.minimum(number("FTAG"), MAX_GOALS)
+            result = np.array(batch.column("FTR").to_pylist(), dtype=object)
+            x, y = (np.exp(-mu)[:, None] * mu[:, None] ** k / factorials for mu in (m, n))
+            scored = ~(np.isnan(h) | np.isnan(a))
+            at = np.arange(len(m)), np.where(scored, h, 0).astype(int), np.where(scored, a, 0).astype(int)
+            for arm in ARMS:
+                rho = number(f"rho_{arm}")
+                cells = x[:, :, None] * y[:, None, :]
+                cells[:, [0, 0, 1, 1], [0, 1, 0, 1]] *= np.maximum(np.stack([1 - m * n * rho, 1 + m * rho, 1 + n * rho, 1 - rho], axis=1), 1e-10)
+                total = cells.sum(axis=(1, 2))
+                home, draw = np.tril(cells, -1).sum(axis=(1, 2)) / total, np.trace(cells, axis1=1, axis2=2) / total
+                first, second = home - (result == "H"), home + draw - (result == "H") - (result == "D")
+                own = np.where(scored, cells[at], np.nan)
+                best = cells.reshape(len(m), -1).argmax(axis=1)
+                exact = (best // len(k) == at[1]) & (best % len(k) == at[2])
+                made = [pa.array([arm] * len(m)), *[pa.array(v, from_pandas=True) for v in (rho, np.log(own + 1e-12), (first * first + second * second) / 2)], pa.array(exact, mask=np.isnan(own))]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, [*kept, "arm", "rho", "loglik", "rps", "exact"])
 
 
 def walk(df: DataFrame, least: int = MIN_FIT_ROWS) -> DataFrame:
@@ -163,13 +181,9 @@ def walk(df: DataFrame, least: int = MIN_FIT_ROWS) -> DataFrame:
         "shrunk": F.col("shrunk"),
         "per_lambda": F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.col("line_at") + F.col("line_slope") * (F.col("mu_home") + F.col("mu_away") - CENTRE))),
     }
-    joined = df.join(fold_corrections(df, least), ["League", "start"]).withColumns({f"rho_{a}": c for a, c in rho.items()})
-    h, a = (F.least(F.col(c), F.lit(MAX_GOALS)) for c in ("FTHG", "FTAG"))
-    m, n = F.col("mu_home"), F.col("mu_away")
-    arms = []
-    for arm in ARMS:
-        r = F.col(f"rho_{arm}")
-        own = F.exp(-m) * F.pow(m, h) / F.factorial(h) * F.exp(-n) * F.pow(n, a) / F.factorial(a) * corrected(h, a, m, n, r)
-        p, top = outcomes(m, n, r), _modal(m, n, r)
-        arms.append(F.struct(F.lit(arm).alias("arm"), r.alias("rho"), F.ln(own + 1e-12).alias("loglik"), scoring.rps(p["home"], p["draw"], F.col("FTR")).alias("rps"), ((top["h"] == -h) & (top["a"] == -a)).alias("exact")))
-    return joined.select(*df.columns, F.explode(F.array(*arms)).alias("s")).select(*df.columns, "s.*")
+    joined = df.join(fold_corrections(df, least), ["League", "start"]).select(*df.columns, *[c.alias(f"rho_{a}") for a, c in rho.items()])
+    # a short table is one file and would be one task
+    dealt = joined.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    kind = StructType([*df.schema.fields, *(StructField(n, t) for n, t in (("arm", StringType()), ("rho", DoubleType()), ("loglik", DoubleType()), ("rps", DoubleType()), ("exact", BooleanType())))])
+    kept = list(df.columns)
+    return dealt.mapInArrow(lambda batches: score_arms(batches, kept), kind)
