@@ -96,3 +96,17 @@ def test_inputs_and_absent_sources(spark, tmh):
     inputs = mf.model_inputs(mf.match_features(tmh).withColumn("AvgH", F.lit(2.0)).withColumn("FTHG", F.lit(1)))
     assert "home_points_last_5" in inputs and not {"AvgH", "FTHG", "match_id", "Date", "HomeTeam"} & set(inputs)
     assert mf.match_features(tmh.limit(0)).count() == 0 and mf.upcoming_features(tmh, mf.match_features(tmh).limit(0)).count() == 0
+
+
+def test_slices_of_time_give_the_windows_of_whole_teams(spark, monkeypatch):
+    """Also for a team that plays too rarely for one slice to hold what its windows reach back to."""
+    rows = [r for r in games(700) if "F" not in (r[4], r[5]) or r[0] % 45 == 0]
+    table = spark.createDataFrame(rows, KIND).repartition(4)
+    want = {r.match_id: plain(r) for r in mf.match_features(table).collect()}
+    monkeypatch.setattr(mf, "SLICE_ROWS", 230)
+    moved = []
+    cut = mf._in_slices
+    monkeypatch.setattr(mf, "_in_slices", lambda *a: moved.append(cut(*a)) or moved[-1])
+    got = {r.match_id: plain(r) for r in mf.match_features(table).collect()}
+    assert moved[0].select("_slice").distinct().count() > 3 and moved[0].filter("not _own").count() > 0
+    assert got == want

@@ -1,6 +1,8 @@
 """The whole table of pre-match features: every form metric over two windows, overall and by venue, for both sides.
 
-For played matches one window specification per grouping serves all metrics.  For fixtures, form is
+For played matches one window specification per grouping serves all metrics; a long table is cut into
+slices of time, which hold all teams, so that both sides of a match are met where its windows are
+taken and wide rows never move.  For fixtures, form is
 that of the last matches before them, found by an as-of union; a team may have any number of fixtures,
 since fixtures are no rows of the history and cannot push matches out of a window.
 """
@@ -13,8 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.joins import asof_latest
+from touchline.operators.percentiles import join_small
 from touchline.operators.sides import prepare, repivot, with_diffs
 from touchline.operators.windows import prev_window
+from touchline.sources.sinks import written
 
 #: Per-match value, how a window takes it, and the feature's name.
 FORM = {
@@ -46,6 +50,8 @@ FORM = {
 WINDOWS = (5, 19)
 CONGESTION_DAYS = 14
 NOT_INPUTS = ("match_id", "FTHG", "FTAG", "FTR", "HomeTeam", "AwayTeam", "League", "Season", "Date", "B365H", "B365D", "B365A", "AvgH", "AvgD", "AvgA", "MaxH", "MaxD", "MaxA")
+#: Rows of a slice of time, about, and days of teams that are broadcast at most.
+SLICE_ROWS, BROADCAST_DAYS = 50_000, 1_000_000
 #: Stems with a difference of home and away; ``{w}`` is the window.
 WINDOWED_DIFFS = (
     "points_last_{w}",
@@ -93,11 +99,11 @@ def _block(metrics: dict[str, tuple[str, str]], frame, suffix: str) -> dict[str,
     return columns | {f"matches_used_{suffix}": F.count("Points").over(frame)}
 
 
-def with_forms(long: DataFrame, order: Sequence[str], windows: Sequence[int] = WINDOWS) -> DataFrame:
+def with_forms(long: DataFrame, order: Sequence[str], windows: Sequence[int] = WINDOWS, within: Sequence[str] = ()) -> DataFrame:
     """Every block of form of each row, from the rows before it; null where there is none."""
     metrics, columns = available(long), {}
     for keys, w, suffix in groupings(windows):
-        columns |= _block(metrics, prev_window(keys, order, w), suffix)
+        columns |= _block(metrics, prev_window([*within, *keys], order, w), suffix)
     return long.withColumns(columns)
 
 
@@ -124,18 +130,45 @@ def match_features(tmh: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFram
 
     ``tmh`` has match_id, League, Season, Date, Team, Venue and two rows a match.
     """
-    order = ["Date", "match_id"]
-    long = with_forms(prepared(tmh), order, windows)
-    day = F.datediff("Date", F.lit("1970-01-01").cast("date")).cast("long")
-    by_team = Window.partitionBy("Team")
-    long = long.withColumns(
-        {
-            "days_since_last_match": F.datediff("Date", F.lag("Date").over(by_team.orderBy(*order))),
-            "matches_last_14_days": F.count(F.lit(1)).over(by_team.orderBy(day).rangeBetween(-CONGESTION_DAYS, -1)),
-        }
-    )
+    order, key = ["Date", "match_id"], ["match_id", "League", "Season", "Date"]
+    base, _ = written(tmh.select(*key, "Team", "Venue", *[c for c in tmh.columns if c in FORM or c == "Result"]), "sides")
+    rows, teams = base.agg(F.count(F.lit(1)), F.approx_count_distinct("Team")).first()
+    base = _with_congestion(base)
+    within, reach = [], max(windows)
+    if rows > SLICE_ROWS and 2 * reach * teams <= SLICE_ROWS:
+        base, within = _in_slices(base, order, reach, -(-rows // SLICE_ROWS)), ["_slice"]
+    long = with_forms(prepared(base), order, windows, within)
+    long = long.withColumn("days_since_last_match", F.datediff("Date", F.lag("Date").over(Window.partitionBy(*within, "Team").orderBy(*order))))
     names = feature_names(long, windows)
-    return with_diffs(repivot(long, ["match_id", "League", "Season", "Date"], names), diff_stems(names, windows))
+    own = long.filter("_own") if within else long
+    return with_diffs(repivot(own, [*within, *key], names).drop(*within), diff_stems(names, windows))
+
+
+def _with_congestion(base: DataFrame) -> DataFrame:
+    """Adds how many matches a team played in the days before: days are counted first, and go back to their rows."""
+    day = F.datediff("Date", F.lit("1970-01-01").cast("date")).cast("long")
+    before = Window.partitionBy("Team").orderBy(day).rangeBetween(-CONGESTION_DAYS, -1)
+    days, _ = written(base.groupBy("Team", "Date").agg(F.count(F.lit(1)).alias("_n")).select("Team", "Date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("matches_last_14_days")), "days")
+    return join_small(base, days, ["Team", "Date"], days.count() <= BROADCAST_DAYS)
+
+
+def _in_slices(base: DataFrame, order: Sequence[str], reach: int, slices: int) -> DataFrame:
+    """``base`` by slices of its order, one partition each or a few, with the rows that windows reach back to.
+
+    Adds _slice and _own, which is false for the copies: of every team and venue the last ``reach`` rows before
+    the slice, and thereby the last ``reach`` of the team.  They come from the ends of earlier slices, as the
+    one before may have few rows of a team.
+    """
+    dealt, _ = written(base.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()), "slices")
+    last = dealt.agg(F.max("_slice")).first()[0]
+    newest = Window.partitionBy("Team", "Venue", "_slice").orderBy(*[F.desc(c) for c in order])
+    ends = dealt.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= reach).drop("_n")
+    # a row is out of reach once so many came after it
+    until = F.lead("_slice", reach, last).over(Window.partitionBy("Team", "Venue").orderBy("_slice", *order))
+    copies = ends.withColumn("_until", until).filter(F.col("_until") > F.col("_slice"))
+    copies = copies.withColumn("_slice", F.explode(F.sequence(F.col("_slice") + 1, "_until"))).drop("_until")
+    both = dealt.withColumn("_own", F.lit(True)).unionByName(copies.withColumn("_own", F.lit(False)))
+    return both.repartition(slices, "_slice")
 
 
 def upcoming_features(tmh: DataFrame, fixtures: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
