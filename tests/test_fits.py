@@ -124,3 +124,13 @@ def test_small_functions(spark):
     gated = sorted((tuple(r) for r in scale.coverage_gate(pool, {"x": 1, "y": 1}, ["g"]).collect()), key=str)
     assert gated == [("p", 1.0, None), ("p", 2.0, None), ("p", 3.0, None), ("q", None, 1.0)]
     assert seasons.season_labels(1998, 2001) == ["9899", "9900", "0001", "0102"]
+
+
+def test_paired_bootstrap_draws_equal_values_as_one(spark):
+    """Three million rows of three values, and rows without one: the interval is that of the mean, and the nulls take no part."""
+    n = 3_000_000
+    x = F.when(F.col("id") % 4 != 3, (F.col("id") % 4).cast("double"))
+    row = resampling.paired_bootstrap(spark.range(0, n, 1, 8).select("id", x.alias("d")), "d", 2000).first()
+    error = math.sqrt(2 / 3 / (n * 0.75))
+    assert row["mean"] == pytest.approx(1.0) and row["draws"] == 2000
+    assert row["low"] == pytest.approx(1 - 1.96 * error, abs=0.3 * error) and row["high"] == pytest.approx(1 + 1.96 * error, abs=0.3 * error)

@@ -14,30 +14,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from touchline.sources.sinks import written
+
 SEED = 7
 
 
-#: Rows of a bucket, on average; so many rows times 1000 draws are in memory at once.
+#: Distinct values of a bucket, on average; so many times 1000 draws are in memory at once.
 BUCKET_ROWS = 2000
 
 
 def paired_bootstrap(diffs: DataFrame, column: str, n_boot: int = 10_000, seed: int = SEED) -> DataFrame:
-    """One row: mean difference and its 95 % interval over resampled matches.
+    """One row: mean difference and its 95 % interval over resampled matches; rows without a difference take no part.
 
-    Rows are dealt to buckets of about ``BUCKET_ROWS`` by a hash; a resample of n rows gives each
-    bucket Poisson counts, so it is enough to keep each bucket's rows in one task and to add up
-    weighted sums by draw.
+    A resample of n rows gives each row a Poisson count, so m rows of one value have together a Poisson
+    count of mean m: equal values are drawn as one, and the work grows with the values that differ.
+    They are dealt to buckets of about ``BUCKET_ROWS`` by a hash; it is enough to keep each bucket's
+    values in one task and to add up weighted sums by draw.
     """
-    row = diffs.agg(F.avg(column).alias("mean"), F.count(F.lit(1)).alias("n")).first()
+    x = F.col(column).cast("double").alias("x")
+    values, _ = written(diffs.select(x).filter("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("m")), "values")
+    row = values.agg((F.sum(F.col("x") * F.col("m")) / F.sum("m")).alias("mean"), F.count(F.lit(1)).alias("n")).first()
     buckets = max(1, -(-row["n"] // BUCKET_ROWS))
-    keyed = diffs.select(F.pmod(F.xxhash64(*diffs.columns), F.lit(buckets)).alias("bucket"), F.col(column).cast("double").alias("x"))
+    keyed = values.select(F.pmod(F.xxhash64("x"), F.lit(buckets)).alias("bucket"), "x", "m").repartition(buckets, "bucket")
 
     def draw(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(frame["x"].to_numpy())
+        frame = frame.sort_values("x")
+        x, m = frame["x"].to_numpy(), frame["m"].to_numpy()
         rng = np.random.default_rng([seed, int(frame["bucket"].iloc[0])])
         total, count = np.zeros(n_boot), np.zeros(n_boot)
         for i in range(0, n_boot, 1000):
-            w = rng.poisson(1.0, size=(min(1000, n_boot - i), len(x)))
+            w = rng.poisson(m, size=(min(1000, n_boot - i), len(x)))
             total[i : i + len(w)], count[i : i + len(w)] = w @ x, w.sum(axis=1)
         return pd.DataFrame({"draw": np.arange(n_boot), "total": total, "n": count})
 
