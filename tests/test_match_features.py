@@ -4,10 +4,12 @@ import datetime
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import match_features as mf
+from touchline.plans.match_queries import rounded
 
 KIND = "match_id long, League string, Season string, Date date, Team string, Opponent string, Venue string, GoalsFor int, GoalsAgainst int, ShotsFor int, ShotsOnTargetFor int, xGFor double, xGAgainst double, Result string"
 
@@ -110,3 +112,13 @@ def test_slices_of_time_give_the_windows_of_whole_teams(spark, monkeypatch):
     got = {r.match_id: plain(r) for r in mf.match_features(table).collect()}
     assert moved[0].select("_slice").distinct().count() > 3 and moved[0].filter("not _own").count() > 0
     assert got == want
+
+
+def test_published_values_are_rounded_as_in_the_sql(spark):
+    # exact halves in the seventh digit, of which the product with a million keeps, meets or misses the half
+    values = [1.0003125, 0.9740624999999999, -0.13218749999999999, -0.22593749999999999, 0.0003125, -2.5, 0.0, 1e306, math.inf, -math.inf, None]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, x double")
+    got = [row.x for row in rounded(df).orderBy("id").collect()]
+    assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
+    assert got[:4] == [1.000312, 0.974063, -0.132188, -0.225938]
+    assert math.isnan(rounded(spark.sql("SELECT double('nan') AS x")).first().x)
