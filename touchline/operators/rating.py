@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scale
 from touchline.operators.percentiles import with_percentile, with_percentiles, with_totals
-from touchline.operators.ranking import top_n_per_group
+from touchline.operators.ranking import top_n_of_enough
 from touchline.sources.sinks import written
 
 BY = ("role", "Season")
@@ -67,11 +67,32 @@ def with_line(df: DataFrame) -> DataFrame:
     return df.withColumn("line", line)
 
 
+def _best_first() -> list[Column]:
+    return [F.desc("rating"), F.desc("minutes"), F.asc("player")]
+
+
+def _by_line(chosen: DataFrame, arms: dict[str, Column]) -> DataFrame:
+    """Per club and season and arm, which holds the rows of its condition: the rating of each line, by minutes."""
+    cells = {f"{arm}_{x}": F.when(held & (F.col("line") == x), F.col("rating")) for arm, held in arms.items() for x in LINE_WEIGHTS}
+    return chosen.select("Season", "team", "minutes", *[c.alias(n) for n, c in cells.items()]).groupBy("Season", "team").agg(*[scale.weighted_mean(n, "minutes").alias(n) for n in cells])
+
+
+def _overall(arm: str) -> Column:
+    return scale.weighted_present({f"{arm}_{x}": w for x, w in LINE_WEIGHTS.items()}, 1.0)
+
+
 def team_strength(rated: DataFrame, best: int, least: int) -> DataFrame:
     """Per club and season: each line's rating over the best players, and the lines' weighted mean."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("Season", "team"))
-    enough = rated.withColumn("_size", size).filter(F.col("_size") >= least)
-    chosen = top_n_per_group(enough, ["Season", "team"], [F.desc("rating"), F.desc("minutes"), F.asc("player")], best)
-    lines = chosen.groupBy("Season", "team").pivot("line", list(LINE_WEIGHTS)).agg(scale.weighted_mean("rating", "minutes"))
-    named = lines.select("Season", "team", *[F.col(x).alias(f"strength_{x}") for x in LINE_WEIGHTS])
-    return named.withColumn("strength_overall", scale.weighted_present({f"strength_{x}": w for x, w in LINE_WEIGHTS.items()}, 1.0))
+    chosen = top_n_of_enough(rated, ["Season", "team"], _best_first(), best, least)
+    return _by_line(chosen, {"strength": F.lit(True)}).withColumn("strength_overall", _overall("strength"))
+
+
+def strength_without_best(rated: DataFrame, best: int, least: int) -> DataFrame:
+    """(Season, team, strength_overall, drop): what a club loses without its best player, rebuilt from the next ``best``.
+
+    Clubs that have fewer than ``least`` players without that one are left out.  Both strengths come from one sort.
+    """
+    chosen = top_n_of_enough(rated, ["Season", "team"], _best_first(), best + 1, least + 1)
+    arms = _by_line(chosen, {"full": F.col("_n") <= best, "rest": F.col("_n") > 1})
+    both = arms.select("Season", "team", _overall("full").alias("strength_overall"), _overall("rest").alias("_rest"))
+    return both.withColumn("drop", F.col("strength_overall") - F.col("_rest")).filter("drop is not null").drop("_rest")
