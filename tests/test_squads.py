@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from touchline.operators import squads
+from touchline.operators import rating, sensitivity, squads
 
 
 def test_interpolation_like_numpy(spark):
@@ -60,3 +61,26 @@ def test_strength_of_the_best(spark):
     best = squads.squad_strength(roster, {"defence": 4.0, "attack": 3.0}, best=1).filter("Team = 'T'").first()
     assert (best.squad_defence, best.squad_attack, best.n_players) == (80.0, None, 1)
     assert squads.squad_strength(roster, {"defence": 4.0, "attack": 3.0}, least=2).count() == 1
+
+
+def rated_clubs(spark):
+    lines = ("defence", "midfield", "attack")
+    return spark.createDataFrame([(s, t, t * 100 + p, lines[(p * p + t) % 3], (p * 37 + t * 11) % 60 + 30, (p * 53 + t) % 900) for s in ("2324", "2425") for t in range(9) for p in range(2 * t + 1)], "Season string, team int, player int, line string, rating int, minutes int")
+
+
+def test_strength_without_the_best_is_that_of_the_rest(spark):
+    rated, keys = rated_clubs(spark).repartition(4), ["Season", "team"]
+    rest = sensitivity.without_best(rated, keys, [F.desc("rating"), F.desc("minutes"), F.asc("player")])
+    want = sensitivity.strength_drops(rating.team_strength(rated, 4, 5), rating.team_strength(rest, 4, 5), keys, "strength_overall")
+    got = {(r.Season, r.team): (r.strength_overall, r.drop) for r in rating.strength_without_best(rated, 4, 5).collect()}
+    assert got == {(r.Season, r.team): pytest.approx((r.strength_overall, r.drop)) for r in want.collect()}
+    assert {t for _, t in got} == set(range(3, 9))  # 5 players are too few once one is gone
+
+
+def test_a_club_is_sorted_once(spark):
+    rated = rated_clubs(spark)
+    roster = rated.withColumns({"League": F.lit("A"), "rated": F.lit(True), "from_history": F.lit(True)}).withColumnRenamed("team", "Team")
+    for strength, sorts in ((rating.team_strength(rated, 15, 5), 1), (rating.strength_without_best(rated, 15, 5), 1), (squads.squad_strength(roster, rating.LINE_WEIGHTS), 2)):
+        plan = strength._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(" Sort [") == sorts
+        assert plan.count("Exchange hashpartitioning") == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scale
 from touchline.functions.seasons import season_start
 from touchline.operators.joins import asof_latest
-from touchline.operators.ranking import top_n_per_group
+from touchline.operators.ranking import top_n_of_enough
 
 #: A curve of fewer points gives way to the one of its whole season.
 MIN_CURVE_POINTS = 5
@@ -86,13 +86,12 @@ def squad_strength(roster: DataFrame, lines: dict[str, float], best: int = BEST_
     hold their minutes.  Also n_players and n_from_history, of those chosen.  Clubs of fewer than
     ``least`` rated players are left out.  The order is total: rating, minutes, player.
     """
-    weighed = line_weights(roster).filter(F.col("rated") & F.col("line").isNotNull())
     keys = ["League", "Season", "Team"]
-    enough = weighed.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter(F.col("_size") >= least)
-    chosen = top_n_per_group(enough, keys, [F.desc("rating"), F.desc("minutes"), F.asc("player")], best)
+    # dealt by club once, which serves the windows over lines, too
+    narrow = roster.select(*keys, "player", "line", "rating", "rated", "minutes", "from_history").repartition("Season", "Team")
+    weighed = line_weights(narrow).filter(F.col("rated") & F.col("line").isNotNull())
+    chosen = top_n_of_enough(weighed, keys, [F.desc("rating"), F.desc("minutes"), F.asc("player")], best, least)
     counts: list[Column] = [F.count(F.lit(1)).alias("n_players"), F.sum(F.col("from_history").cast("long")).alias("n_from_history")]
-    per_line = [scale.weighted_mean("_r", "minutes").alias("x")]
-    by_line = chosen.withColumn("_r", F.col("rating")).groupBy(*keys).pivot("line", list(lines)).agg(*per_line)
-    named = by_line.select(*keys, *[F.col(n).alias(f"squad_{n}") for n in lines])
-    joined = named.join(chosen.groupBy(*keys).agg(*counts), keys)
+    cells = chosen.withColumns({f"squad_{n}": F.when(F.col("line") == n, F.col("rating")) for n in lines})
+    joined = cells.groupBy(*keys).agg(*[scale.weighted_mean(f"squad_{n}", "minutes").alias(f"squad_{n}") for n in lines], *counts)
     return joined.withColumn("squad_overall", scale.weighted_present({f"squad_{n}": w for n, w in lines.items()}, 1.0))
