@@ -11,6 +11,7 @@ from touchline.plans.forecast_queries import CELLS_SQL, RHO
 from touchline.plans.forecast_queries import rates as goal_rates
 from touchline.plans.match_queries import rounded
 from touchline.plans.player_queries import ANCHORS, LINE_SQL, rates
+from touchline.sources import sinks
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -96,10 +97,8 @@ SELECT count(*) AS n, round(quantile_cont(lost, 0.25), 6) AS q1_drop, round(medi
 def one_player_drop(spark, sf_dir):
     """What a club's rating loses without its best player, rebuilt; quartiles over all clubs."""
     rated = rating.with_line(rating.rated_players(rates(spark, sf_dir), ANCHORS))
-    keys, order = ["Season", "team"], [F.desc("rating"), F.desc("minutes"), F.asc("player")]
-    full, without = rating.team_strength(rated, 15, 5), rating.team_strength(sensitivity.without_best(rated, keys, order), 15, 5)
-    drops = sensitivity.strength_drops(full, without, keys, "strength_overall").withColumn("drop", F.round("drop", 9))
-    return rounded(sensitivity.drop_summary(drops, keys))
+    drops, _ = sinks.written(rating.strength_without_best(rated, 15, 5).withColumn("drop", F.round("drop", 9)), "drops")
+    return rounded(sensitivity.drop_summary(drops, ["Season", "team"]))
 
 
 @query(f"""WITH {PLAYERS_SQL}, c AS (SELECT "Season", count(DISTINCT team) AS clubs FROM players GROUP BY ALL), l AS (SELECT max("Season") AS last FROM c), y AS (SELECT median(clubs) AS typical FROM c, l WHERE "Season" <> last)
