@@ -148,3 +148,9 @@ def test_percentiles(spark, seed):
     key = ["g", "metric", "value"]
     a, b = (x.groupby(key)["pct"].agg(["min", "max", "count"]).round(12) for x in (got, df))
     assert a.equals(b)
+
+
+def test_rows_are_not_looked_up_by_key(spark):
+    df = people(5, 120).drop(columns=["role"]).assign(role="CB", Season="2324", player=lambda d: d["player"] // 2)
+    frame = spark.createDataFrame([tuple(None if isinstance(v, float) and np.isnan(v) else v for v in r) for r in df.itertuples(index=False, name=None)], "player long, Season string, minutes long, nineties double, " + ", ".join(f"{m} double" for m in METRICS) + ", fifa_overall double, role string")
+    assert pr.rate_players(frame, CONFIG, ["player"]).count() == len(df)

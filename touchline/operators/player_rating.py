@@ -1,8 +1,8 @@
 """The player rating from a configuration: each role has sub-ratings of its own metrics and weights.
 
-Values are held long, one row a player and metric, and the configuration is a small table joined to
-them; so all metrics of all roles share one shuffle for their percentiles, and a role costs no
-expression of its own.
+A player's row stays whole: distinct values are ranked apart and go back to it, and the configuration is
+a small table of weights, one row a pool, that is sent to all rows; so a role costs no expression of its
+own, and rows move once, to be ranked by their composite.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scale import scale_map
+from touchline.operators.percentiles import join_small, with_percentile, with_percentiles, with_totals
 from touchline.sources.sinks import written
 
 BY = ["role", "Season"]
@@ -37,38 +38,46 @@ def long_percentiles(long: DataFrame, by: Sequence[str], name: str = "metric", v
     return long.join(ranks, match).drop("_v", *[f"_g{i}" for i in range(len(group))])
 
 
-def _spread(df: DataFrame, key: Sequence[str], columns: Sequence[str], name: str) -> DataFrame:
-    """(key, role, Season, name, value) of the columns that are not null."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("value")) for c in columns]))
-    held = list(dict.fromkeys([*key, *BY]))
-    return df.select(*held, pairs.alias("_p")).select(*held, "_p.*").filter("value is not null")
-
-
 def _weights(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     """The configuration's weights, a handful a role; those of zero take no part."""
     return F.broadcast(df.sparkSession.createDataFrame([r for r in rows if r[-1]], schema))
 
 
-def weighted(long: DataFrame, pools: DataFrame, weights: DataFrame, key: Sequence[str], target: Sequence[str], item: str, max_missing: float) -> tuple[DataFrame, DataFrame]:
-    """Weighted means of the values that are present, and what share of each definition a pool measures.
+def pool_weights(pools: DataFrame, present: dict[str, str], weights: DataFrame, targets: Sequence[str], max_missing: float) -> DataFrame:
+    """One row a pool: ``_w_target_item`` of what it measures, ``_held_target`` and ``measured_target``.
 
-    ``long``: key, role, Season, item, x; ``pools``: role, Season, size; ``weights``: role, target, item, weight.
-    A negative weight counts 1 - x.  An item that fewer than ``COVERAGE`` of a pool have is left out of
-    it; a definition that lacks more than ``max_missing`` of its weight gives nothing, nor does a player
-    who lacks more than that of what his pool has.  First: (key, target, value); second:
-    (role, Season, target, measured).
+    ``pools``: role, Season, size and how many have each item, in the columns of ``present``; ``weights``: role,
+    target, item, weight.  An item that fewer than ``COVERAGE`` of a pool have is left out of it; a
+    definition that lacks more than ``max_missing`` of its weight has no weights.
     """
-    have = long.groupBy(*BY, item).agg(F.count(F.lit(1)).alias("_have"))
-    covered = pools.join(weights, "role").join(have, [*BY, item], "left").withColumn("_usable", F.coalesce(F.col("_have") / F.col("size") >= COVERAGE, F.lit(False)))
+    have = F.explode_outer(F.array(*[F.struct(F.lit(i).alias("item"), F.col(c).alias("_have")) for i, c in present.items()])) if present else F.lit(None).cast("struct<item: string, _have: bigint>")
+    counted = pools.select(*BY, have.alias("_p")).select(*BY, "_p.*")
+    covered = pools.select(*BY, "size").join(weights, "role").join(counted, [*BY, "item"], "left").withColumn("_usable", F.coalesce(F.col("_have") / F.col("size") >= COVERAGE, F.lit(False)))
     size = F.abs("weight")
-    usable = covered.groupBy(*BY, *target).agg(F.sum(F.when(F.col("_usable"), size).otherwise(0.0)).alias("_held"), F.sum(size).alias("_all"))
+    usable = covered.groupBy(*BY, "target").agg(F.sum(F.when(F.col("_usable"), size).otherwise(0.0)).alias("_held"), F.sum(size).alias("_all"))
     usable = usable.withColumn("measured", F.col("_held") / F.col("_all"))
-    kept = covered.filter("_usable").select(*BY, *target, item, "weight").join(usable.filter((F.col("measured") >= 1 - max_missing) & (F.col("_held") > 0)), [*BY, *target])
-    met = long.join(kept, [*BY, item])
-    value = F.when(F.col("weight") > 0, F.col("x")).otherwise(1 - F.col("x")) * size
-    sums = met.groupBy(*key, *target).agg(F.sum(value).alias("_sum"), F.sum(size).alias("_present"), F.first("_held").alias("_held"))
-    found = sums.filter(F.col("_present") / F.col("_held") >= 1 - max_missing).select(*key, *target, (F.col("_sum") / F.col("_present")).alias("value"))
-    return found, usable.select(*BY, *target, "measured")
+    marked = covered.join(usable, [*BY, "target"])
+    kept = (F.col("measured") >= 1 - max_missing) & (F.col("_held") > 0)
+    cells = []
+    for t in targets:
+        own = F.col("target") == t
+        cells += [F.max(F.when(own & kept & F.col("_usable") & (F.col("item") == i), F.col("weight"))).alias(f"_w_{t}_{i}") for i in present]
+        cells += [F.max(F.when(own & kept, F.col("_held"))).alias(f"_held_{t}"), F.max(F.when(own, F.col("measured"))).alias(f"measured_{t}")]
+    return marked.groupBy(*BY).agg(*cells)
+
+
+def weighted(target: str, items: dict[str, Column], max_missing: float) -> Column:
+    """The weighted mean of the items that a row has, by the columns of ``pool_weights``.
+
+    A negative weight counts 1 - x; null for who lacks more than ``max_missing`` of what the pool has.
+    """
+    total, held = F.lit(0.0), F.lit(0.0)
+    for item, x in items.items():
+        w = F.col(f"_w_{target}_{item}")
+        there = x.isNotNull() & w.isNotNull()
+        total = total + F.when(there, F.when(w > 0, x).otherwise(1 - x) * F.abs(w)).otherwise(0.0)
+        held = held + F.when(there, F.abs(w)).otherwise(0.0)
+    return F.when((held > 0) & (held / F.col(f"_held_{target}") >= 1 - max_missing), total / held)
 
 
 def eligibility(df: DataFrame, config: dict) -> DataFrame:
@@ -78,24 +87,15 @@ def eligibility(df: DataFrame, config: dict) -> DataFrame:
     for name, why in config.get("unrated_roles", {}).items():
         reason = reason.when(role == name, why)
     reason = reason.when(F.coalesce(F.col("minutes"), F.lit(0)) < config["min_minutes"], REASONS["minutes"].format(config["min_minutes"]))
-    first = df.withColumn("unrated_reason", reason)
     least = config.get("min_group_size", 0)
-    pool = F.sum(F.col("unrated_reason").isNull().cast("int")).over(Window.partitionBy(*BY))
-    return first.withColumn("unrated_reason", F.coalesce("unrated_reason", F.when(pool < least, REASONS["pool"].format(least))))
+    pooled = with_totals(df.withColumn("unrated_reason", reason), BY, _pool=F.count(F.when(F.col("unrated_reason").isNull(), 1)))
+    return pooled.withColumn("unrated_reason", F.coalesce("unrated_reason", F.when(F.col("_pool") < least, REASONS["pool"].format(least)))).drop("_pool")
 
 
-def _shrunk(value: str, k: Column) -> Column:
+def _shrunk(value: str, mean: str, k: Column) -> Column:
     """A value drawn toward its pool's mean, by k nineties of evidence."""
     n = F.greatest(F.coalesce(F.col("nineties"), F.lit(0.0)), F.lit(0.0))
-    mean = F.avg(value).over(Window.partitionBy(*BY))
-    return n / (n + k) * F.col(value) + (1 - n / (n + k)) * mean
-
-
-def _ranked(column: str) -> Column:
-    pool = Window.partitionBy(*BY)
-    ties = F.count(column).over(Window.partitionBy(*BY, column))
-    share = (F.rank().over(pool.orderBy(F.asc_nulls_last(column))) + (ties - 1) / 2) / F.count(column).over(pool)
-    return F.when(F.col(column).isNotNull(), share)
+    return n / (n + k) * F.col(value) + (1 - n / (n + k)) * F.col(mean)
 
 
 def rate_players(df: DataFrame, config: dict, key: Sequence[str]) -> DataFrame:
@@ -112,57 +112,60 @@ def rate_players(df: DataFrame, config: dict, key: Sequence[str]) -> DataFrame:
     role's definition a season measures, the more the edition counts, and the more a player without an
     entry is drawn to the mean.
     """
-    marked = eligibility(df, config)
-    work, _ = written(marked.filter("unrated_reason is null"), "eligible")
+    base, _ = written(df, "players")
+    marked = eligibility(base, config)
+    work = marked.filter("unrated_reason is null")
     roles, discipline = config["positions"], config.get("discipline")
     subs = list(dict.fromkeys(s for spec in roles.values() for s in spec["sub_ratings"]))
     metrics = [(r, s, m, float(w)) for r, spec in roles.items() for s, of in spec["sub_ratings"].items() for m, w in of.items()]
     wanted = dict.fromkeys([m for _, _, m, _ in metrics] + list(discipline["metrics"] if discipline else []))
-    present = [m for m in wanted if m in work.columns]
-    pools = work.groupBy(*BY).agg(F.count(F.lit(1)).alias("size"))
-    ranked, _ = written(long_percentiles(_spread(work, key, present, "metric"), BY).withColumnRenamed("pct", "x").drop("value"), "percentiles")
-
-    found, _ = weighted(ranked, pools, _weights(df, metrics, "role string, sub string, metric string, weight double"), key, ["sub"], "metric", MAX_MISSING)
-    found = found.join(work.select(*dict.fromkeys([*key, *BY])), list(key)).withColumnRenamed("value", "x")
-    found, _ = written(found, "subs")
-    of_sub = [(r, "composite", s, float(w)) for r, spec in roles.items() for s, w in spec["sub_rating_weights"].items()]
-    sub_weights = _weights(df, of_sub, "role string, target string, sub string, weight double")
-    composite, measured = weighted(found, pools, sub_weights, key, ["target"], "sub", 1.0)
-    peak = found.join(sub_weights.select("role", "sub"), ["role", "sub"]).groupBy(*key).agg(F.max("x").alias("_peak"))
-    wide = found.groupBy(*key).pivot("sub", subs).agg(F.first("x")).select(*key, *[F.col(s).alias(f"sub_{s}") for s in subs])
-
-    joined = work.join(wide, list(key), "left").join(composite.select(*key, F.col("value").alias("_composite")), list(key), "left")
-    joined = joined.join(peak, list(key), "left").join(measured.select(*BY, F.col("measured").alias("measured_share")), BY, "left")
-    # a role that the configuration does not know is measured by nothing that could be missing
-    raw = F.col("_composite")
+    present = {m: f"_m{i}" for i, m in enumerate(m for m in wanted if m in df.columns)}
+    kind = "role string, target string, item string, weight double"
+
+    # what a pool measures follows from which values are there, before any is ranked
+    pools, _ = written(work.groupBy(*BY).agg(F.count(F.lit(1)).alias("size"), *[F.count(m).alias(c) for m, c in present.items()]).filter("Season is not null"), "pools")
+    sub_weights = pool_weights(pools, present, _weights(df, metrics, kind), subs, MAX_MISSING)
+    if discipline:
+        penal = [(r, "_discipline", m, float(w)) for r in roles for m, w in discipline["metrics"].items()]
+        sub_weights = join_small(sub_weights, pool_weights(pools, present, _weights(df, penal, kind), ["_discipline"], MAX_MISSING), BY)
+    sub_weights, _ = written(sub_weights, "weights")
+    with_subs = lambda rows, values: join_small(rows, sub_weights, BY).withColumns({f"sub_{s}": weighted(s, values, MAX_MISSING) for s in subs})
+    counted = with_subs(work, {m: F.col(m).cast("double") for m in present})
+    have = {s: f"_s{i}" for i, s in enumerate(subs)}
+    of_sub = [(r, "_composite", s, float(w)) for r, spec in roles.items() for s, w in spec["sub_rating_weights"].items()]
+    counts = join_small(pools, counted.groupBy(*BY).agg(*[F.count(f"sub_{s}").alias(c) for s, c in have.items()]), BY)
+    weights, _ = written(pool_weights(counts, have, _weights(df, of_sub, kind), ["_composite"], 1.0), "weights")
+
+    ranked = with_percentiles(work, BY, {c: (m, True) for m, c in present.items()} | {"_edition": ("fifa_overall", True)})
+    values = {m: F.col(c) for m, c in present.items()}
+    joined = join_small(with_subs(ranked, values), weights, BY).withColumnRenamed("measured__composite", "measured_share")
+    raw = weighted("_composite", {s: F.col(f"sub_{s}") for s in subs}, 1.0)
     if discipline:
-        penal = [(r, "discipline", m, float(w)) for r in roles for m, w in discipline["metrics"].items()]
-        flipped = ranked.withColumn("x", 1 - F.col("x"))
-        score, _ = weighted(flipped, pools, _weights(df, penal, "role string, target string, metric string, weight double"), key, ["target"], "metric", MAX_MISSING)
-        joined = joined.join(score.select(*key, F.col("value").alias("_score")), list(key), "left")
-        raw = F.when(F.col("_score").isNotNull(), raw * (1 - discipline["weight"]) + F.col("_score") * discipline["weight"]).otherwise(raw)
+        score = weighted("_discipline", {m: 1 - x for m, x in values.items()}, MAX_MISSING)
+        raw = F.when(score.isNotNull(), raw * (1 - discipline["weight"]) + score * discipline["weight"]).otherwise(raw)
     lift = float(config.get("peak_weight", 0.0))
     if lift:
-        raw = F.when(F.col("_peak").isNotNull(), (1 - lift) * raw + lift * F.col("_peak")).otherwise(raw)
-    rated, _ = written(joined.withColumn("composite_raw", raw).drop("_composite", "_peak", "_score"), "composite")
+        counting = {s: [r for r, _, t, w in of_sub if t == s and w] for s in subs}
+        peak = F.array_max(F.array(*[F.when(F.col("role").isin(named), F.col(f"sub_{s}")) for s, named in counting.items()]))
+        raw = F.when(peak.isNotNull(), (1 - lift) * raw + lift * peak).otherwise(raw)
+    # a role that the configuration does not know is measured by nothing that could be missing
+    rated, _ = written(joined.withColumn("composite_raw", raw).select(*df.columns, *[f"sub_{s}" for s in subs], "measured_share", "_edition", "composite_raw"), "composite")
 
     lost = F.col("composite_raw").isNull() & F.col("fifa_overall").isNull()
-    known = rated.filter(~lost).withColumn("composite", _shrunk("composite_raw", F.lit(float(config["shrinkage_nineties"]))))
-    known = known.withColumn("_pct", _ranked("composite")).withColumn("performance_rating", scale_map(F.col("_pct"), config["scale"])).drop("_pct")
-    known = known.withColumn("rating", _blended(config)).withColumn("fifa_on_our_scale", _on_scale(config)).withColumn("fifa_weight_used", F.when(F.col("fifa_overall").isNotNull(), _edition_weight(config)))
+    means, _ = written(rated.groupBy(*BY).agg(F.avg("composite_raw").alias("_mean")), "means")
+    known = join_small(rated.filter(~lost), means, BY).withColumn("composite", _shrunk("composite_raw", "_mean", F.lit(float(config["shrinkage_nineties"])))).drop("_mean")
+    known = with_percentile(known, BY, "composite", "_pct").withColumn("performance_rating", scale_map(F.col("_pct"), config["scale"])).drop("_pct")
+    known, _ = written(known.withColumn("fifa_on_our_scale", scale_map(F.col("_edition"), config["scale"])).drop("_edition"), "performance")
+    known = with_totals(known, BY, _mean=F.avg("performance_rating"))
+    known = known.withColumn("rating", _blended(config)).withColumn("fifa_weight_used", F.when(F.col("fifa_overall").isNotNull(), _edition_weight(config)))
 
     published = [*[F.round(F.col(f"sub_{s}") * 99, 0).alias(f"sub_{s}") for s in subs], "composite_raw", "composite", "performance_rating", "fifa_on_our_scale", "measured_share", "fifa_weight_used", F.bround("rating", 0).cast("int").alias("rating")]
-    out = known.select(*key, *published, F.lit(True).alias("rated"))
-    hollow = rated.filter(lost).select(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(key)], F.lit(REASONS["hollow"]).alias("_hollow"))
-    match = F.lit(True)
-    for i, k in enumerate(key):
-        match = match & (F.col(k) == F.col(f"_h{i}"))
-    table = marked.join(out, list(key), "left").join(hollow, match, "left").drop(*[f"_h{i}" for i in range(len(key))])
-    return table.withColumns({"rated": F.coalesce("rated", F.lit(False)), "unrated_reason": F.coalesce("unrated_reason", "_hollow")}).drop("_hollow")
-
-
-def _on_scale(config: dict) -> Column:
-    return scale_map(_ranked("fifa_overall"), config["scale"])
+    columns = [*key, *[c for c in df.columns if c not in key]]
+    out = known.select(*columns, F.lit(None).cast("string").alias("unrated_reason"), *published, F.lit(True).alias("rated"))
+    # who is not rated is added below; no row looks for its rating by key
+    hollow = rated.filter(lost).select(*columns, F.lit(REASONS["hollow"]).alias("unrated_reason"), F.lit(False).alias("rated"))
+    refused = marked.filter("unrated_reason is not null").select(*columns, "unrated_reason", F.lit(False).alias("rated"))
+    return out.unionByName(hollow, allowMissingColumns=True).unionByName(refused, allowMissingColumns=True)
 
 
 def _edition_weight(config: dict) -> Column:
@@ -176,8 +179,8 @@ def _blended(config: dict) -> Column:
     performance, own = F.col("performance_rating"), F.col("fifa_overall").isNotNull()
     if not config.get("fifa_weight"):
         return performance
-    scaled, weight = _on_scale(config), _edition_weight(config)
+    scaled, weight = F.col("fifa_on_our_scale"), _edition_weight(config)
     k = float(config.get("unmatched_shrinkage_nineties", 0.0))
     share = F.greatest(F.coalesce("measured_share", F.lit(0.0)), F.lit(0.1))
-    alone = _shrunk("performance_rating", k / share) if k else performance
+    alone = _shrunk("performance_rating", "_mean", k / share) if k else performance
     return F.when(own & performance.isNull(), scaled).when(own, performance * (1 - weight) + scaled * weight).otherwise(alone)

@@ -145,6 +145,7 @@ RATING = {
 def configured_rating(spark, sf_dir):
     """The rating with its own metrics for every role, coverage gates, measured shares and refusals."""
     base = rates(spark, sf_dir).withColumn("fifa_overall", F.when(F.col("player") % 5 != 0, F.col("fifa_overall")))
+    base = base.select("player", "team", "Season", "role", "minutes", "nineties", "goals_per90", "shots_per90", "passes_per90", "tackles_per90", "cards_per90", "fifa_overall")
     out = player_rating.rate_players(base, RATING, ["player", "team", "Season"])
     return rounded(out.select("player", "team", "Season", "rated", "unrated_reason", "sub_defence", "sub_build", "sub_attack", "measured_share", "performance_rating", "fifa_on_our_scale", "fifa_weight_used", "rating"))
 
