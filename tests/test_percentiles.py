@@ -1,6 +1,7 @@
 """Percentiles in slices are those of one window over the pool."""
 
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -25,3 +26,24 @@ def test_slices_give_the_percentiles_of_the_whole_pool(spark, monkeypatch):
 def test_totals_of_groups_go_back_to_their_rows(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "i long, g string")
     assert sorted(map(tuple, percentiles.with_totals(df, ["g"], n=F.count(F.lit(1))).select("i", "n").collect())) == [(1, 2), (2, 2), (3, 1)]
+
+
+def test_standardised_within_strata_without_bringing_them_together(spark):
+    rng = random.Random(2)
+    rows = [(i, "ab"[i % 2] if i % 7 else None, rng.choice([None, 40.0 + rng.random()]), i % 5) for i in range(300)] + [(300 + i, "few", float(i), i) for i in range(9)] + [(400 + i, "flat", 3.0, i) for i in range(12)]
+    df, _ = written(spark.createDataFrame(rows, "i long, g string, x double, y int").repartition(4), "t")
+    got = percentiles.with_standardised(df, ["g"], {"zx": "x", "zy": "y"})
+    assert got.columns == ["i", "g", "x", "y", "zx", "zy"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+    want = {}
+    for g in {r[1] for r in rows}:
+        for c in (2, 3):
+            pool = [r[c] for r in rows if r[1] == g and r[c] is not None]
+            for r in rows:
+                if r[1] == g:
+                    sd = statistics.stdev(pool)
+                    want[r[0], c] = (r[c] - statistics.mean(pool)) / sd if r[c] is not None and len(pool) >= 10 and sd else None
+    for r in got.collect():
+        for z, c in ((r.zx, 2), (r.zy, 3)):
+            assert z is None if want[r.i, c] is None else abs(z - want[r.i, c]) < 1e-9

@@ -26,6 +26,18 @@ def with_totals(df: DataFrame, by: Sequence[str], **totals: Column) -> DataFrame
     return join_small(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()]), by)
 
 
+def with_standardised(df: DataFrame, by: Sequence[str], metrics: Mapping[str, str], least: int = 10) -> DataFrame:
+    """Adds the z-score (sample deviation) of each column within its stratum, under its name; null in strata below ``least`` values.
+
+    ``df`` is a written table, read twice: no stratum is brought together, only its moments go back to its rows.
+    """
+    totals = {}
+    for i, c in enumerate(metrics.values()):
+        totals |= {f"_c{i}": F.count(c), f"_m{i}": F.avg(c), f"_s{i}": F.stddev_samp(c)}
+    scores = {out: F.when(F.col(f"_c{i}") >= least, (F.col(c) - F.col(f"_m{i}")) / F.nullif(F.col(f"_s{i}"), F.lit(0.0))) for i, (out, c) in enumerate(metrics.items())}
+    return with_totals(df, by, **totals).withColumns(scores).drop(*totals)
+
+
 def _ranked(df: DataFrame, by: Sequence[str], value: str, weight: Column) -> DataFrame:
     """Adds ``_share``: the average rank of ``value``, of which a row stands for ``weight``, over the weight of its group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring, seasons
-from touchline.operators import ablation, aggregates, boosting, conditional_rho, match_features, models, ranking, rating, regression, sequential
+from touchline.operators import ablation, boosting, conditional_rho, match_features, models, percentiles, ranking, rating, regression, sequential
 from touchline.plans.bridge import MATCHES_SQL, TMH_SQL, matches, table, team_matches
 from touchline.plans.forecast_queries import rates as goal_rates
 from touchline.plans.match_queries import rounded
@@ -40,7 +40,8 @@ def moves(spark, sf_dir) -> DataFrame:
     """A rated row a player and season, with the next season's standing in the edition where there is one."""
     rated = rating.rated_players(rates(spark, sf_dir), ANCHORS)
     main = ranking.latest(rated, ["player", "Season"], [F.desc("minutes"), F.asc("team")])
-    main = main.withColumn("z_prior", aggregates.standardised("fifa_overall", ["Season"])).withColumn("z_perf", aggregates.standardised("performance_rating", ["role", "Season"]))
+    main, _ = sinks.written(main.select("player", "team", "League", "role", "Season", "age", "fifa_overall", "performance_rating"), "main")
+    main = percentiles.with_standardised(percentiles.with_standardised(main, ["Season"], {"z_prior": "fifa_overall"}), rating.BY, {"z_perf": "performance_rating"})
     table_, _ = sinks.written(main.select("player", "team", "League", "Season", "age", "z_prior", "z_perf"), "moves")
     later = table_.select("player", seasons.previous_season(F.col("Season")).alias("Season"), F.col("team").alias("next_team"), F.col("z_prior").alias("z_next"))
     joined = table_.filter("z_perf is not null").join(later, ["player", "Season"], "left")
