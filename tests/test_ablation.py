@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.operators import ablation, boosting, sequential
+from touchline.operators import ablation, boosting, heads, models, sequential
 from touchline.operators import match_features as mf
 from touchline.sources import registry
+from touchline.sources.sinks import written
 
 
 def test_families_cover_the_feature_table():
@@ -130,3 +131,35 @@ def test_extra_matches_teach_and_have_no_rows(spark):
     long = home.select("match_id", F.explode(F.array(*[F.struct(F.lit(v).alias("Venue"), F.col(t).alias("Team")) for v, t in (("Home", "HomeTeam"), ("Away", "AwayTeam"))])).alias("s")).select("match_id", "s.*")
     rows = {(r.match_id, r.Venue): (r.elo, r.opponent_elo) for r in sequential.long_elo(long, sequential.elo_with_extra(home, extra)).collect()}
     assert len(rows) == 80 and all(rows[i, "Home"] == pytest.approx(got[i]) and rows[i, "Away"] == pytest.approx(got[i][::-1]) for i in got)
+
+
+def test_heads_are_those_of_a_fit_each_from_few_passes(spark):
+    """Shares as from a logistic fit on filled columns and flags, all coalitions from a few jobs, and separable or absent columns do no harm."""
+    df, _ = written(games(spark).withColumn("home_points_last_5", F.col("home_points_last_5") * 1e-3 + 1e6).withColumn("home_goals_for_last_5", F.col("home_points_last_5") * 2), "games")
+    columns = {"one": ["elo_diff"], "two": ["home_points_last_5", "home_goals_for_last_5", "league_code"], "all": ["elo_diff", "home_points_last_5", "home_xg_for_last_5"], "none": []}
+    spark.sparkContext.setJobGroup("heads", "")
+    found = heads.fit_heads(df, columns)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("heads"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs < 30
+    got = {r.match_id: r for r in found.predict(df, ["match_id"]).collect()}
+    for i, own in enumerate([["e"], ["p", "m"], ["e", "p", "m", "x"]]):
+        plain = df.withColumns({"e": F.col("elo_diff"), "p": F.coalesce((F.col("home_points_last_5") - 1e6) * 1e3, F.lit(0.0)), "m": F.col("home_points_last_5").isNull().cast("double"), "x": F.col("home_xg_for_last_5")})
+        for r in models.head_probabilities(models.fit_outcome_head(plain, own), plain, own).select("match_id", "ph", "pd", "pa").collect():
+            assert [got[r.match_id][f"{p}_{i}"] for p in ("ph", "pd", "pa")] == pytest.approx([r.ph, r.pd, r.pa], abs=2e-3)
+    n = df.count()
+    assert got[0].ph_3 == pytest.approx(df.filter("FTR = 'H'").count() / n) and got[0].pa_3 == pytest.approx(df.filter("FTR = 'A'").count() / n)
+    parted, _ = written(df.withColumn("elo_diff", F.when(F.col("FTR") == "H", 1.0).otherwise(0.0)).filter("FTR <> 'A'"), "parted")
+    for r in heads.fit_heads(parted, {"one": ["elo_diff"]}).predict(parted, ["FTR"]).collect():
+        assert (r.ph_0 if r.FTR == "H" else r.pd_0) > 0.999
+
+
+def test_scores_of_coalitions_come_from_few_jobs(spark):
+    """Before, each of the 8 coalitions had a fit of its own, of up to 100 passes, and a join to the others."""
+    by = ablation.classify(["elo_diff", "home_points_last_5", "home_xg_for_last_5", "league_code"])
+    df = games(spark)
+    spark.sparkContext.setJobGroup("coalitions", "")
+    got = ablation.coalition_scores(df, by, ["elo", "form", "xg"], folds=1)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("coalitions"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert jobs < 40 and got.count() == 300 and len(got.columns) == 10

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions import scoring
-from touchline.operators import models
+from touchline.operators import heads
 from touchline.operators.resampling import coalitions, shapley_column
 from touchline.sources.sinks import delete, written
 
@@ -64,55 +65,49 @@ def aligned(left: DataFrame, right: DataFrame, key: Sequence[str]) -> int:
     return a.count()
 
 
-class FilledHead:
-    """A three-way head that takes a missing input as its training mean, with a flag beside it."""
-
-    def __init__(self, train: DataFrame, columns: Sequence[str], actual: str = "FTR"):
-        row = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first() if columns else None
-        self.columns = [c for i, c in enumerate(columns) if row[i] is not None]
-        self.means = {c: float(row[i]) for i, c in enumerate(columns) if row[i] is not None}
-        self.names = [f"_v{i}" for i in range(len(self.columns))] + [f"_m{i}" for i in range(len(self.columns))] or ["_none"]
-        self.model = models.fit_outcome_head(self._filled(train), self.names, actual)
-
-    def _filled(self, df: DataFrame) -> DataFrame:
-        parts = {f"_v{i}": F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])) for i, c in enumerate(self.columns)}
-        parts |= {f"_m{i}": F.col(c).isNull().cast("double") for i, c in enumerate(self.columns)}
-        return df.withColumns(parts or {"_none": F.lit(0.0)})
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        return models.head_probabilities(self.model, self._filled(df), self.names).drop(*self.names)
-
-
-def coalition_scores(df: DataFrame, by_family: dict[str, list[str]], members: Sequence[str], folds: int | None = None, fit: Callable = FilledHead, actual: str = "FTR") -> DataFrame:
+def coalition_scores(df: DataFrame, by_family: dict[str, list[str]], members: Sequence[str], folds: int | None = None, fit: Callable | None = None, actual: str = "FTR") -> DataFrame:
     """match_id, Season, and one ranked probability score a coalition of the members: ``rps``, ``rps_elo``, ``rps_elo_form``, ...
 
     Every coalition also has the columns of ``base``.  A season is forecast by a fit on all seasons before
     it; ``folds`` takes the last so many, None all but the first.  ``df`` has match_id, Season, start (the year the
-    season starts) and the result.  ``fit(train, columns)`` returns what has ``predict(df)`` with ph and pd.
-    The table is read from one written copy, and each coalition's scores are written.
+    season starts) and the result.  Three-way heads of all coalitions are fitted and scored in the same passes over
+    one written copy of the columns they need.  ``fit(train, columns)``, if given, takes their place one coalition
+    at a time, and returns what has ``predict(df)`` with ph and pd.
     """
     spark = df.sparkSession
-    base, base_path = written(df.filter(F.col(actual).isNotNull()), "ablation")
+    every = {score_name(c): columns_of(by_family, ["base", *c]) for c in coalitions(list(members))}
+    needed = list(dict.fromkeys(["match_id", "Season", "start", actual, *[c for own in every.values() for c in own]]))
+    base, base_path = written((df if fit else df.select(*needed)).filter(F.col(actual).isNotNull()), "ablation")
     starts = [r[0] for r in base.select("start").distinct().orderBy("start").collect()][1:]
     starts = starts[-folds:] if folds else starts
+    if not starts:
+        raise ValueError("there is no season with one before it")
+    result, _ = written((_one_by_one if fit else _together)(base, every, starts, fit, actual), "coalitions")
+    delete(spark, base_path)
+    return result
+
+
+def _together(base: DataFrame, every: dict[str, list[str]], starts: Sequence, fit: None, actual: str) -> DataFrame:
+    parts = []
+    for start in starts:
+        found = heads.fit_heads(base.filter(F.col("start") < start), every, actual).predict(base.filter(F.col("start") == start), ["match_id", "Season", actual])
+        parts.append(found.select("match_id", "Season", *[scoring.rps(F.col(f"ph_{i}"), F.col(f"pd_{i}"), F.col(actual)).alias(name) for i, name in enumerate(every)]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _one_by_one(base: DataFrame, every: dict[str, list[str]], starts: Sequence, fit: Callable, actual: str) -> DataFrame:
+    """Each coalition's scores are written and joined to those before, if they have the same matches."""
     joined = None
-    for coalition in coalitions(list(members)):
-        columns, parts = columns_of(by_family, ["base", *coalition]), None
-        for start in starts:
-            fold = fit(base.filter(F.col("start") < start), columns).predict(base.filter(F.col("start") == start))
-            scored = fold.select("match_id", "Season", scoring.rps(F.col("ph"), F.col("pd"), F.col(actual)).alias(score_name(coalition)))
-            parts = scored if parts is None else parts.unionByName(scored)
-        if parts is None:
-            raise ValueError("there is no season with one before it")
-        scores, _ = written(parts, "scores")
+    for name, columns in every.items():
+        folds = [fit(base.filter(F.col("start") < start), columns).predict(base.filter(F.col("start") == start)) for start in starts]
+        parts = [fold.select("match_id", "Season", scoring.rps(F.col("ph"), F.col("pd"), F.col(actual)).alias(name)) for fold in folds]
+        scores, _ = written(reduce(DataFrame.unionByName, parts), "scores")
         if joined is None:
             joined = scores
         else:
             aligned(joined, scores, ["match_id", "Season"])
             joined = joined.join(scores, ["match_id", "Season"])
-    result, _ = written(joined, "coalitions")
-    delete(spark, base_path)
-    return result
+    return joined
 
 
 def score_name(coalition: Sequence[str]) -> str:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,25 +30,39 @@ class EloState:
         self.rating: dict[str, float] = {}
         self.season: dict[str, str] = {}
 
-    def before(self, team: str, season: str) -> float:
-        """The rating a team brings into a match; a new season draws it toward the start."""
-        rating = self.rating.get(team, START)
-        if self.season.get(team, season) != season:
-            rating += (START - rating) * self.regression
-        self.rating[team], self.season[team] = rating, season
-        return rating
-
     def match(self, home: str, away: str, season: str, goals_home: float | None, goals_away: float | None, neutral: bool = False) -> tuple[float, float]:
         """Ratings before the match; afterwards both have moved by the same amount, opposite ways."""
-        a, b = self.before(home, season), self.before(away, season)
-        if goals_home is not None and goals_away is not None and goals_home == goals_home and goals_away == goals_away:
-            edge = 0.0 if neutral else self.home_advantage
-            chance = 1 / (1 + 10 ** ((b - a - edge) / 400))
-            score = 1.0 if goals_home > goals_away else 0.0 if goals_home < goals_away else 0.5
-            move = self.k * max(1.0, math.log1p(abs(goals_home - goals_away))) * (score - chance)
-            self.rating[home], self.rating[away] = a + move, b - move
+        (a,), (b,), _, _ = self.walk([(home, away, season, goals_home, goals_away, neutral)])
         return a, b
 
+    def walk(self, rows: Iterable[tuple]) -> tuple[list[float], list[float], list[float], list[float]]:
+        """``match`` for rows of its arguments: the ratings of both before, and of both after.
+
+        A new season draws the rating that a team brings into a match toward the start.
+        """
+        rating, last, k, advantage, regression, log1p = self.rating, self.season, self.k, self.home_advantage, self.regression, math.log1p
+        out = [], [], [], []
+        put_a, put_b, put_home, put_away = [values.append for values in out]
+        for home, away, season, x, y, neutral in rows:
+            a = rating.get(home, START)
+            if last.get(home, season) != season:
+                a += (START - a) * regression
+            rating[home], last[home] = a, season
+            b = rating.get(away, START)
+            if last.get(away, season) != season:
+                b += (START - b) * regression
+            rating[away], last[away] = b, season
+            put_a(a)
+            put_b(b)
+            if x is not None and y is not None and x == x and y == y:
+                chance = 1 / (1 + 10 ** ((b - a - (0.0 if neutral else advantage)) / 400))
+                score = 1.0 if x > y else 0.0 if x < y else 0.5
+                move = k * max(1.0, log1p(abs(x - y))) * (score - chance)
+                rating[home], rating[away] = a + move, b - move
+            put_home(rating[home])
+            put_away(rating[away])
+        return out
+
 
 def walk_batch(ratings: DataFrame, matches: DataFrame, options: dict) -> DataFrame:
     """Ratings first, then matches in order, in one task of a group: a row for each match, then (``played`` null) a row a team with the rating after all.
@@ -59,31 +74,40 @@ def walk_batch(ratings: DataFrame, matches: DataFrame, options: dict) -> DataFra
     rows = known.unionByName(matches.withColumn("kind", F.lit(1)).withColumn("rating", F.lit(None).cast("double")))
     columns = [c.split()[0] for c in WALKED.split(", ")]
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, elo = None, EloState(**options)
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = elo = None
 
-        def after() -> pd.DataFrame:
+        def after(schema: pa.Schema) -> pa.RecordBatch:
             teams = list(elo.rating)
-            return pd.DataFrame(dict.fromkeys(columns) | {"part": part, "HomeTeam": teams, "Season": [elo.season[t] for t in teams], "home_after": [elo.rating[t] for t in teams]})
-
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                if r.part != part:
-                    if part is not None:
-                        yield after()
-                    part, elo = r.part, EloState(**options)
-                if r.kind == 0:
-                    elo.rating[r.HomeTeam], elo.season[r.HomeTeam] = r.rating, r.Season
+            known = {"part": [part] * len(teams), "HomeTeam": teams, "Season": [elo.season[t] for t in teams], "home_after": [elo.rating[t] for t in teams]}
+            return pa.RecordBatch.from_arrays([pa.array(known.get(f.name, [None] * len(teams)), f.type) for f in schema], schema=schema)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            schema = pa.schema([pa.field(c, batch.schema.field(c).type if c in batch.schema.names else pa.float64()) for c in columns])
+            parts, kinds = batch.column("part").to_pandas().to_numpy(), batch.column("kind").to_numpy()
+            held = [batch.column(c).to_pandas().tolist() for c in ("HomeTeam", "AwayTeam", "Season", "h", "a", "n")]
+            ratings, found = batch.column("rating").to_pandas().tolist(), ([], [], [], [])
+            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(kinds)], strict=True):
+                if elo is None or parts[i] != part:
+                    if elo is not None:
+                        yield after(schema)
+                    part, elo = parts[i], EloState(**options)
+                if kinds[i] == 0:
+                    elo.rating.update(zip(held[0][i:j], ratings[i:j], strict=True))
+                    elo.season.update(zip(held[0][i:j], held[2][i:j], strict=True))
                 else:
-                    before = elo.match(r.HomeTeam, r.AwayTeam, r.Season, r.h, r.a, bool(r.n))
-                    out.append((r.part, r.match_id, r.Date, r.played, r.Season, r.HomeTeam, r.AwayTeam, *before, elo.rating[r.HomeTeam], elo.rating[r.AwayTeam]))
-            yield pd.DataFrame(out, columns=columns)
-        if part is not None:
-            yield after()
+                    for values, more in zip(found, elo.walk(zip(*[h[i:j] for h in held], strict=True)), strict=True):
+                        values += more
+            kept = batch.filter(pa.array(kinds == 1))
+            yield pa.RecordBatch.from_arrays([kept.column(c) for c in columns[:-4]] + [pa.array(v, pa.float64()) for v in found], schema=schema)
+        if elo is not None:
+            yield after(schema)
 
     ordered = rows.repartition("part").sortWithinPartitions("part", "kind", "Date", "played", "match_id")
-    return ordered.mapInPandas(walk, WALKED)
+    return ordered.mapInArrow(walk, WALKED)
 
 
 def walk_stages(ratings: DataFrame, matches: DataFrame, options: dict) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scoring, seasons
 from touchline.operators import ablation, boosting, conditional_rho, match_features, models, percentiles, ranking, rating, regression, sequential
-from touchline.plans.bridge import MATCHES_SQL, TMH_SQL, matches, table, team_matches
+from touchline.operators.sides import unpivot_sides
+from touchline.plans.bridge import KEYS, MATCHES_SQL, SIDES, TMH_SQL, matches, table, team_matches
 from touchline.plans.forecast_queries import rates as goal_rates
 from touchline.plans.match_queries import rounded
 from touchline.plans.player_queries import ANCHORS, rates
@@ -140,11 +141,13 @@ def events_parked(spark, sf_dir):
 @query()
 def ablation_families(spark, sf_dir):
     """What Elo, form and expected goals are worth over the last season: the ladder, leave-one-out and shares of the gain."""
-    games = matches(spark, sf_dir)
-    walked, _ = sinks.written(sequential.elo_walk(games), "elo")
-    wide = match_features.match_features(team_matches(spark, sf_dir)).drop("HomeTeam", "AwayTeam", "League", "Date")
-    base = wide.join(walked, "match_id").withColumn("elo_diff", F.col("home_elo") - F.col("away_elo")).join(games.select("match_id", "FTR"), "match_id").withColumn("start", seasons.season_start(F.col("Season")))
-    columns = [c for c in match_features.model_inputs(wide) if c.endswith("_diff")] + ["elo_diff"]
+    games, _ = sinks.written(matches(spark, sf_dir), "games")
+    walked = sequential.elo_walk(games)
+    wide = match_features.match_features(unpivot_sides(games, KEYS, SIDES))
+    wide = wide.select("match_id", "Season", *[c for c in match_features.model_inputs(wide) if c.endswith("_diff")])
+    rated = walked.select("match_id", (F.col("home_elo") - F.col("away_elo")).alias("elo_diff")).join(games.select("match_id", "FTR"), "match_id")
+    base = wide.join(rated, "match_id").withColumn("start", seasons.season_start(F.col("Season")))
+    columns = [c for c in base.columns if c.endswith("_diff")]
     members = ["elo", "form", "xg"]
     scores = ablation.coalition_scores(base, ablation.classify(columns), members, folds=1)
     null = F.lit(None).cast("double")
