@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import forecast_frame as ff
-from touchline.operators import search, sensitivity
+from touchline.operators import pair_distances, ranking, search, sensitivity
 
 
 def test_frame_against_plain_grids(spark):
@@ -91,6 +91,21 @@ def test_likeness(spark):
     assert search.reference_distance(flat.limit(1), "i", "v") == 0.0
 
 
+def test_usual_distance_is_that_of_all_pairs(spark, monkeypatch):
+    """More rows than any sample once had, in blocks, with ties and odd rows; few enough pairs and too many to keep."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(ranking, "BROADCAST_BYTES", 500 * 3 * 8)
+    for x in (rng.normal(size=(901, 3)) ** 3 * 1e200, np.repeat([[1.0, 2.0, 3.0], [4.0, 6.0, 3.0]], 350, axis=0)):
+        rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(9990, None), (9991, [0.0]), (9992, [0.0, None, 1.0]), (9993, [math.nan, 0.0, 0.0])]
+        vectors = spark.createDataFrame(rows, "i int, v array<double>").repartition(3)
+        y = x / np.abs(x).max()
+        usual = np.median(np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))[np.triu_indices(len(x), 1)]) * np.abs(x).max()
+        assert search.reference_distance(vectors, "i", "v") == pytest.approx(usual, rel=1e-12)
+        with monkeypatch.context() as few:
+            few.setattr(pair_distances, "KEPT", 10)
+            assert search.reference_distance(vectors.repartition(5), "i", "v") == pytest.approx(usual, rel=1e-12)
+
+
 def test_quota(spark):
     rows = [("c", i, line, r) for i, (line, r) in enumerate([("d", 90), ("d", 89), ("d", 88), ("a", 70), ("a", 60), ("m", 87), ("m", 50), ("g", 10)])] + [("thin", 20, "d", 5)]
     df = spark.createDataFrame(rows, "club string, i int, line string, r int")
