@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import rating, sensitivity, squads
+from touchline.sources import sinks
 
 
 def test_interpolation_like_numpy(spark):
@@ -84,3 +85,30 @@ def test_a_club_is_sorted_once(spark):
         plan = strength._jdf.queryExecution().executedPlan().toString()
         assert plan.count(" Sort [") == sorts
         assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_an_edition_dealt_by_player_does_not_move(spark):
+    """What an entry asks of the history and of the curves comes to it; the tables that the rating passes through are deleted."""
+    entries = spark.createDataFrame([("L", "0001", "T", x, "CB", 70) for x in ("p", "q", "r")], "League string, Season string, Team string, player string, role string, fifa_overall int")
+    made = []
+
+    def kept(df, name, written=squads.written):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(squads, "written", kept)
+        patch.setattr(squads, "BROADCAST_ANSWERS", 10)
+        roster = squads.rosters(entries.repartition("player"), past(spark))
+    assert roster.count() == 3
+    plan = dict(made)["rosters"]
+    assert "Window" in plan and "Union" not in plan  # the history has its ends, and entries meet it by player
+    assert "Exchange hashpartitioning" not in roster._jdf.queryExecution().executedPlan().toString()
+
+    first = []
+
+    def passing():
+        first.append(sinks.written(spark.range(5), "first"))
+        return first[0][0].filter("id > 2")
+
+    assert sinks.distilled(spark, passing, "last").count() == 2 and not sinks.exists(spark, first[0][1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scale
 from touchline.operators.percentiles import with_percentile, with_percentiles, with_totals
 from touchline.operators.ranking import top_n_of_enough
-from touchline.sources.sinks import written
+from touchline.sources.sinks import distilled, written
 
 BY = ("role", "Season")
 #: Fixed values of the rating: eligibility, weights, shrinkage and blend.
@@ -48,12 +48,17 @@ def with_composite(df: DataFrame) -> DataFrame:
     return df.withColumn("composite", F.col("base") * (1 - PEAK) + F.greatest(*SUB_RATINGS) * PEAK)
 
 
-def rated_players(df: DataFrame, anchors: Sequence[tuple[float, float]]) -> DataFrame:
-    """All of it: performance rating, the edition on the same scale, and the blend of both."""
+def _shrunk(df: DataFrame) -> DataFrame:
+    """The composite, drawn to the mean of its pool where minutes are few, and the edition's percentile."""
     df = with_composite(with_sub_ratings(eligible(df)))
     mean = with_totals(df, BY, _mean=F.avg("composite"))
     shrunk = (F.col("nineties") * F.col("composite") + F.lit(float(SHRINK_NINETIES)) * F.col("_mean")) / (F.col("nineties") + F.lit(float(SHRINK_NINETIES)))
-    df, _ = written(with_percentiles(mean.withColumn("shrunk", F.round(shrunk, 9)).drop("_mean"), BY, {"fifa_pct": ("fifa_overall", True)}), "composites")
+    return with_percentiles(mean.withColumn("shrunk", F.round(shrunk, 9)).drop("_mean"), BY, {"fifa_pct": ("fifa_overall", True)})
+
+
+def rated_players(df: DataFrame, anchors: Sequence[tuple[float, float]]) -> DataFrame:
+    """All of it: performance rating, the edition on the same scale, and the blend of both."""
+    df = distilled(df.sparkSession, lambda: _shrunk(df), "composites")
     df = with_percentile(df, BY, "shrunk", "performance_pct")
     df = df.withColumn("performance_rating", F.round(scale.scale_map(F.col("performance_pct"), anchors), 6)).withColumn("fifa_on_our_scale", F.round(scale.scale_map(F.col("fifa_pct"), anchors), 6))
     weight = F.when(F.col("tackles_per90").isNull(), EDITION_UNMEASURED).otherwise(EDITION)

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from touchline.functions import scale
 from touchline.functions.seasons import season_start
-from touchline.operators.joins import asof_latest
+from touchline.operators.percentiles import join_small
 from touchline.operators.ranking import top_n_of_enough
+from touchline.sources.sinks import written
 
 #: A curve of fewer points gives way to the one of its whole season.
 MIN_CURVE_POINTS = 5
+#: Values read off curves that are broadcast at most.
+BROADCAST_ANSWERS = 200_000
 #: Players of a club that a strength is made of.
 BEST_N = 15
 
@@ -50,11 +53,16 @@ def interpolate(df: DataFrame, points: DataFrame, by: Sequence[str], x: str, out
 
 
 def on_our_scale(df: DataFrame, published: DataFrame, x: str, y: str, out: str, least: int = MIN_CURVE_POINTS) -> DataFrame:
-    """The edition's ``x`` on our scale: by the curve of (role, Season), or of the Season where that has few points."""
+    """The edition's ``x`` on our scale: by the curve of (role, Season), or of the Season where that has few points.
+
+    Both curves are read off at the distinct values that are asked for; where these are few, no row of ``df`` moves.
+    """
     own = curve_points(published, ["role", "Season"], x, y).filter(F.col("points") >= least)
     pooled = curve_points(published, ["Season"], x, y)
-    both = interpolate(interpolate(df, own, ["role", "Season"], x, "_own"), pooled, ["Season"], x, "_pooled")
-    return both.withColumn(out, F.coalesce("_own", "_pooled")).drop("_own", "_pooled")
+    asked = df.select("role", "Season", F.col(x).cast("double").alias("_x")).filter("_x is not null").distinct()
+    both = interpolate(interpolate(asked, own, ["role", "Season"], "_x", "_own"), pooled, ["Season"], "_x", "_pooled")
+    answers, _ = written(both.select("role", "Season", "_x", F.coalesce("_own", "_pooled").alias(out)), "answers")
+    return join_small(df.withColumn("_x", F.col(x).cast("double")), answers, ["role", "Season", "_x"], answers.count() <= BROADCAST_ANSWERS).drop("_x")
 
 
 def rosters(edition: DataFrame, history: DataFrame, include_current: bool = False) -> DataFrame:
@@ -64,11 +72,16 @@ def rosters(edition: DataFrame, history: DataFrame, include_current: bool = Fals
     rating, minutes, fifa_overall, fifa_on_our_scale, one row a player and season.  Adds rating,
     minutes (of that season; null without one), from_history and rated.  A season is before another by
     the year it starts in; ``include_current`` takes the season itself, too.
+
+    A row of the history holds until the player's next one, so an entry meets one of them, and an edition
+    that is dealt by player does not move.  The entries found are written, as the curves read them again.
     """
-    past = history.filter(F.col("rating").isNotNull()).select("player", F.col("Season").alias("had"), season_start(F.col("Season")).alias("had_start"), F.col("rating").cast("double").alias("rating"), F.col("minutes").cast("double").alias("minutes"))
-    asked = edition.withColumn("start", season_start(F.col("Season")))
-    found = asof_latest(asked, past, ["player"], "start", "had_start", ["rating", "minutes"], include_current, tie=["had"])
-    found = found.withColumn("from_history", F.col("rating").isNotNull()).drop("start", "asof_had_start")
+    had, start = season_start(F.col("Season")), F.col("_start")
+    past = history.filter(F.col("rating").isNotNull()).select(F.col("player").alias("_player"), had.alias("_had"), F.lead(had).over(Window.partitionBy("player").orderBy(had, "Season")).alias("_until"), F.col("rating").cast("double").alias("rating"), F.col("minutes").cast("double").alias("minutes"))
+    since, until = (F.col("_had") <= start, start < F.col("_until")) if include_current else (F.col("_had") < start, start <= F.col("_until"))
+    asked = edition.withColumn("_start", had)
+    found = asked.join(past, (F.col("player") == F.col("_player")) & since & (F.col("_until").isNull() | until), "left")
+    found, _ = written(found.withColumn("from_history", F.col("rating").isNotNull()).drop("_start", "_player", "_had", "_until"), "rosters")
     scaled = on_our_scale(found, history, "fifa_overall", "fifa_on_our_scale", "_scaled")
     return scaled.withColumn("rating", F.coalesce("rating", "_scaled")).withColumn("rated", F.col("rating").isNotNull()).drop("_scaled")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from touchline.operators import rating, ranking, squads
 from touchline.plans.bridge import players, start_sql
 from touchline.plans.player_queries import ANCHORS, RATING_SQL, rates
+from touchline.sources.sinks import distilled
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -28,10 +29,14 @@ def steady(df: DataFrame) -> DataFrame:
 
 
 def history(spark, sf_dir) -> DataFrame:
-    """One rated row a player and season: the club of most minutes."""
-    rated = rating.rated_players(rates(spark, sf_dir), ANCHORS)
-    chosen = ranking.latest(rated, ["player", "Season"], [F.desc("minutes"), F.asc("team")])
-    return chosen.select("player", "Season", "role", "rating", "minutes", "fifa_overall", "fifa_on_our_scale")
+    """One rated row a player and season: the club of most minutes; the tables of the rating go."""
+
+    def chosen() -> DataFrame:
+        rated = rating.rated_players(rates(spark, sf_dir), ANCHORS)
+        best = ranking.latest(rated, ["player", "Season"], [F.desc("minutes"), F.asc("team")])
+        return best.select("player", "Season", "role", "rating", "minutes", "fifa_overall", "fifa_on_our_scale")
+
+    return distilled(spark, chosen, "history")
 
 
 def edition(spark, sf_dir) -> DataFrame:
