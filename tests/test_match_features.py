@@ -122,3 +122,21 @@ def test_published_values_are_rounded_as_in_the_sql(spark):
     assert got == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
     assert got[:4] == [1.000312, 0.974063, -0.132188, -0.225938]
     assert math.isnan(rounded(spark.sql("SELECT double('nan') AS x")).first().x)
+
+
+def test_a_slice_is_taken_at_once_and_repeated_sides_count_by_their_greatest(spark, monkeypatch):
+    """No sliding frame of Spark is left in a sliced table; nulls, and a match that has a side twice or lacks one, are as before."""
+    rows = [list(r) for r in games(300)]
+    for i, r in enumerate(rows):
+        if i % 7 == 0:
+            r[7] = r[13] = None
+        if i % 5 == 0:
+            r[11] = None
+    rows = [r for i, r in enumerate(rows) if i % 31] + [[*r[:4], "Z", *r[5:]] for r in rows[::37]]
+    table = spark.createDataFrame(rows, KIND).repartition(3)
+    want = {r.match_id: plain(r) for r in mf.match_features(table).collect()}
+    monkeypatch.setattr(mf, "SLICE_ROWS", 280)
+    sliced = mf.match_features(table)
+    plan = sliced._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "specifiedwindowframe(RowFrame, -19, -1)" not in plan
+    assert {r.match_id: plain(r) for r in sliced.collect()} == want

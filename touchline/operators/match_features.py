@@ -2,7 +2,8 @@
 
 For played matches one window specification per grouping serves all metrics; a long table is cut into
 slices of time, which hold all teams, so that both sides of a match are met where its windows are
-taken and wide rows never move.  For fixtures, form is
+taken and wide rows never move.  There a slice is one group of Arrow batches, as Spark's sliding windows
+add up every frame anew, metric by metric.  For fixtures, form is
 that of the last matches before them, found by an as-of union; a team may have any number of fixtures,
 since fixtures are no rows of the history and cannot push matches out of a window.
 """
@@ -14,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.form_slices import slice_features
 from touchline.operators.joins import asof_latest
 from touchline.operators.percentiles import join_small
 from touchline.operators.sides import prepare, repivot, with_diffs
@@ -99,11 +101,11 @@ def _block(metrics: dict[str, tuple[str, str]], frame, suffix: str) -> dict[str,
     return columns | {f"matches_used_{suffix}": F.count("Points").over(frame)}
 
 
-def with_forms(long: DataFrame, order: Sequence[str], windows: Sequence[int] = WINDOWS, within: Sequence[str] = ()) -> DataFrame:
+def with_forms(long: DataFrame, order: Sequence[str], windows: Sequence[int] = WINDOWS) -> DataFrame:
     """Every block of form of each row, from the rows before it; null where there is none."""
     metrics, columns = available(long), {}
     for keys, w, suffix in groupings(windows):
-        columns |= _block(metrics, prev_window([*within, *keys], order, w), suffix)
+        columns |= _block(metrics, prev_window(keys, order, w), suffix)
     return long.withColumns(columns)
 
 
@@ -134,14 +136,28 @@ def match_features(tmh: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFram
     base, _ = written(tmh.select(*key, "Team", "Venue", *[c for c in tmh.columns if c in FORM or c == "Result"]), "sides")
     rows, teams = base.agg(F.count(F.lit(1)), F.approx_count_distinct("Team")).first()
     base = _with_congestion(base)
-    within, reach = [], max(windows)
+    reach = max(windows)
     if rows > SLICE_ROWS and 2 * reach * teams <= SLICE_ROWS:
-        base, within = _in_slices(base, order, reach, -(-rows // SLICE_ROWS)), ["_slice"]
-    long = with_forms(prepared(base), order, windows, within)
-    long = long.withColumn("days_since_last_match", F.datediff("Date", F.lag("Date").over(Window.partitionBy(*within, "Team").orderBy(*order))))
+        wide = _of_slices(prepared(_in_slices(base, order, reach, -(-rows // SLICE_ROWS))), order, key, windows)
+        return with_diffs(wide, diff_stems(feature_names(prepared(base), windows), windows))
+    long = with_forms(prepared(base), order, windows)
+    long = long.withColumn("days_since_last_match", F.datediff("Date", F.lag("Date").over(Window.partitionBy("Team").orderBy(*order))))
     names = feature_names(long, windows)
-    own = long.filter("_own") if within else long
-    return with_diffs(repivot(own, [*within, *key], names).drop(*within), diff_stems(names, windows))
+    return with_diffs(repivot(long, key, names), diff_stems(names, windows))
+
+
+def _of_slices(long: DataFrame, order: Sequence[str], key: Sequence[str], windows: Sequence[int]) -> DataFrame:
+    """``repivot`` of the forms of each slice, which is one group: its windows are sums of shifted columns."""
+    metrics = available(long)
+    blocks = [(keys, w, suffix, [(m, how, name) for m, (how, name) in metrics.items()]) for keys, w, suffix in groupings(windows)]
+    types = {f"matches_used_{suffix}": "bigint" for _, _, suffix in groupings(windows)} | {"days_since_last_match": "int", "matches_last_14_days": "bigint"}
+    kinds = dict(long.dtypes)
+    fields = [f"`{c}` {kinds[c]}" for c in key] + ["HomeTeam string", "AwayTeam string"]
+    fields += [f"{side}_{n} {types.get(n, 'double')}" for side in ("home", "away") for n in feature_names(long, windows)]
+    place, day = F.row_number().over(Window.partitionBy("_slice").orderBy(*order)), F.datediff("Date", F.lit("1970-01-01").cast("date"))
+    numbers = [F.col(m).cast("double").alias(m) for m in dict.fromkeys(["Points", *metrics])]
+    asked = long.select("_slice", *key, "Team", "Venue", "_own", "matches_last_14_days", place.alias("_order"), day.alias("_day"), *numbers)
+    return asked.groupBy("_slice").applyInArrow(lambda table: slice_features(table, key, blocks), ", ".join(fields))
 
 
 def _with_congestion(base: DataFrame) -> DataFrame:
